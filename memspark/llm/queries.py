@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, line_dedup, packing, quality, sentencepiece_codec
+from . import jaccard_join, line_dedup, packing, quality, sentencepiece_codec, substring_dedup
 from .common import table
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), kept_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, q = quality.quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("doc_id", f"{q}.*")
@@ -33,6 +37,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", f"{p}.*")
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_best_fit_packing, op6_ngram_jaccard_join, op9_line_dedup, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_quality_rules, op5_best_fit_packing, op6_ngram_jaccard_join, op9_line_dedup, op10_sentencepiece)}
 
 ORACLE_SQL = {"op9_line_dedup": line_dedup.ORACLE}

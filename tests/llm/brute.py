@@ -46,3 +46,20 @@ def jaccard_components(rows, width, percent):
     links = [(a, b) for (a, b), n in both.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)]
     found = roots(list(sets), links)
     return {i: (len(s), found[i]) for i, s in sets.items()}
+
+
+def substring_dedup(rows, width=35):
+    """rows: (id, text); (id, n_words, n_removed, kept text) for each."""
+    words = [(i, WORD.findall(t or "")) for i, t in rows]
+    seen = defaultdict(int)
+    for _, w in words:
+        for k in range(len(w) - width + 1):
+            seen[tuple(w[k : k + width])] += 1
+    out = []
+    for i, w in words:
+        gone = set()
+        for k in range(len(w) - width + 1):
+            if seen[tuple(w[k : k + width])] > 1:
+                gone.update(range(k, k + width))
+        out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return out
