@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, line_dedup, packing, quality, sentencepiece_codec, substring_dedup
+from . import embedding_dedup, jaccard_join, line_dedup, packing, quality, sentencepiece_codec, substring_dedup
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -37,6 +41,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", f"{p}.*")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_quality_rules, op5_best_fit_packing, op6_ngram_jaccard_join, op9_line_dedup, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_quality_rules, op5_best_fit_packing, op6_ngram_jaccard_join, op7_embedding_near_dedup, op9_line_dedup, op10_sentencepiece)}
 
 ORACLE_SQL = {"op9_line_dedup": line_dedup.ORACLE}

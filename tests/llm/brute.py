@@ -63,3 +63,21 @@ def substring_dedup(rows, width=35):
                 gone.update(range(k, k + width))
         out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
     return out
+
+
+def near_vectors(rows, threshold=0.93):
+    """rows: (id, vector, label); id -> (links, component)."""
+    import numpy as np
+
+    good = [(i, np.array(v, dtype=np.float64), lab) for i, v, lab in rows if v is not None and lab is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    pairs = []
+    for n, (i, v, lab) in enumerate(good):
+        for j, u, other in good[:n]:
+            if lab == other and len(u) == len(v) and v @ u / np.sqrt(v @ v) / np.sqrt(u @ u) >= threshold:
+                pairs.append((i, j))
+    found = roots([r[0] for r in rows], pairs)
+    links = {r[0]: 0 for r in rows}
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    return {i: (links[i], found[i]) for i in found}
