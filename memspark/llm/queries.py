@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, jaccard_join, line_dedup, packing, quality, sentencepiece_codec, substring_dedup
-from .common import table
+from . import embedding_dedup, jaccard_join, line_dedup, packing, quality, sentencepiece_codec, substring_dedup, warc
+from .common import new_path, table
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,12 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    manifest = warc.write_warc(table(spark, sf_dir, "pages"), folder, min_bytes=0)
+    return warc.read_warc(manifest, folder, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -41,6 +47,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", f"{p}.*")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_quality_rules, op5_best_fit_packing, op6_ngram_jaccard_join, op7_embedding_near_dedup, op9_line_dedup, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_quality_rules, op5_best_fit_packing, op6_ngram_jaccard_join, op7_embedding_near_dedup, op8_warc, op9_line_dedup, op10_sentencepiece)}
 
-ORACLE_SQL = {"op9_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL = {"op8_warc": warc.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
