@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, jaccard_join, line_dedup, packing, quality, sentencepiece_codec, substring_dedup, warc
+from . import embedding_dedup, jaccard_join, language_id, line_dedup, packing, quality, sentencepiece_codec, substring_dedup, warc
 from .common import new_path, table
 
 
@@ -14,6 +14,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), kept_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out_of = language_id.held_out(F.col("doc_id"))
+    model = language_id.fit(docs.filter(~out_of).select(F.col("doc_id").alias("id"), "text", "lang"))
+    out, name = language_id.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return out.select("doc_id", out_of.alias("held_out"), f"{name}.*")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, q = quality.quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("doc_id", f"{q}.*")
@@ -47,6 +55,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", f"{p}.*")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_quality_rules, op5_best_fit_packing, op6_ngram_jaccard_join, op7_embedding_near_dedup, op8_warc, op9_line_dedup, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_language_id, op4_quality_rules, op5_best_fit_packing, op6_ngram_jaccard_join, op7_embedding_near_dedup, op8_warc, op9_line_dedup, op10_sentencepiece)}
 
 ORACLE_SQL = {"op8_warc": warc.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
