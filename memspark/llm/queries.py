@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, jaccard_join, language_id, line_dedup, packing, quality, sentencepiece_codec, substring_dedup, warc
+from . import embedding_dedup, jaccard_join, language_id, line_dedup, packing, pii, quality, sentencepiece_codec, substring_dedup, warc
 from .common import new_path, table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, n = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *[n[k] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")])
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), kept_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -55,6 +60,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", f"{p}.*")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_language_id, op4_quality_rules, op5_best_fit_packing, op6_ngram_jaccard_join, op7_embedding_near_dedup, op8_warc, op9_line_dedup, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_language_id, op4_quality_rules, op5_best_fit_packing, op6_ngram_jaccard_join, op7_embedding_near_dedup, op8_warc, op9_line_dedup, op10_sentencepiece)}
 
 ORACLE_SQL = {"op8_warc": warc.ORACLE, "op9_line_dedup": line_dedup.ORACLE}

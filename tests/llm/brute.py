@@ -81,3 +81,30 @@ def near_vectors(rows, threshold=0.93):
         links[a] += 1
         links[b] += 1
     return {i: (links[i], found[i]) for i in found}
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def personal_data(text):
+    """Base spans (start, kind number, end) of one text, sorted."""
+    text = text or ""
+
+    def luhn(d):
+        total = 0
+        for i, c in enumerate(reversed(d)):
+            x = int(c) * (1 + i % 2)
+            total += x - 9 if x > 9 else x
+        return total % 10 == 0
+
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    checks = (
+        (EMAIL, lambda m: True),
+        (IP, lambda m: all(int(p) <= 255 for p in m.split("."))),
+        (CARD, lambda m: 12 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        (PHONE, lambda m: 9 <= len(digits(m)) <= 15),
+    )
+    return sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(checks) for m in p.finditer(text) if ok(m.group()))
