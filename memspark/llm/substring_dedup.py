@@ -9,17 +9,18 @@ so edges are sieved first:
    mostly share an anchor, which leaves about a tenth of the words as rows. A window function over the
    anchor tells which repeat.
 2. Edges. Texts meet their repeated anchors in a join on the document, and emit only the edges above such
-   anchors, named by 128 bits of the words, with hashes of the words before and after. A window function over
-   the edge finds those that start at two places; where predecessors or successors differ, the node before
-   or after branches.
-3. Paths. Runs of repeated edges within a document, cut at branching nodes, are walks along nonbranching
-   paths; each becomes one row (document, first word, number of edges, head edge). That is the compaction:
-   the rows no longer depend on the length of what repeats. Walks with equal heads and lengths are one
-   path, and source coordinates carry the path back to its texts.
-4. A second join on the same key removes the covered words.
+   anchors. Consecutive edges with one anchor travel as one row (a super-k-mer, as in BCALM 2, Chikhi et al.
+   2016) to the anchor's partition, where a window function finds those that start at two places - an edge is
+   known by two 64-bit hashes, its anchor's and its own, under different bases. Where the predecessors or the
+   successors of an edge differ, the node before or after it branches.
+3. Paths. Each super-k-mer's findings fold into bits, which meet the text in a second join on the same key (so
+   that the text moves once). There, runs of repeated edges, cut at branching nodes, are compacted into walks
+   along nonbranching paths: (first word, number of edges). A passage is read back from its source coordinates,
+   and passages with the same words have the same path hash. Words under a walk go.
 
 What a map task sees twice itself is combined before the shuffle: one row with weight 2 goes on, the others
-need no partner. So a hot anchor or edge costs a row a batch, wherever its copies are.
+need no partner. So a hot anchor or passage costs a row a batch, wherever its copies are. (Rows that need no partner see no
+neighbours either: their walks are cut less often, and cover the same words.)
 
 Defined results: null and empty texts have no words; a text shorter than a window loses nothing; equal
 rows are two occurrences each of their windows; very long texts are read whole; rows are told apart by
@@ -120,11 +121,15 @@ def find_anchors(rows: DataFrame, width: int, size: int) -> DataFrame:
 
 
 def find_edges(rows: DataFrame, width: int, size: int) -> DataFrame:
-    """id, tk, pos, e1, e2, weight, around: the edges above the given anchors of each text; around: 16-bit hashes of the words before and after."""
+    """a, id, tk, pos, weight, before, after, edges: the edges above each of the given anchors, in one row.
+
+    Consecutive windows with one anchor are a super-k-mer: edges holds their hashes in order, pos is the first
+    one's first word; before and after are hashes of the words around (0 at a text's ends).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            out: list[list[np.ndarray]] = [[] for _ in range(8)]
             for ids, tks, w, h, part in slices(batch):
                 mine = part.column("anchors")
                 lengths = mine.value_lengths().fill_null(0).to_numpy()
@@ -133,78 +138,118 @@ def find_edges(rows: DataFrame, width: int, size: int) -> DataFrame:
                 doc = np.repeat(np.arange(len(ids)), lengths)
                 marked = np.zeros(len(h) + 1, dtype=bool)
                 marked[w.first[doc] + mine.flatten().to_numpy()] = True
-                starts, at, _ = anchors(w, h, width, size)
-                starts = starts[marked[at]]
+                starts, at, grams = anchors(w, h, width, size)
+                some = marked[at]
+                starts, at = starts[some], at[some]
+                if not len(starts):
+                    continue
                 doc = w.doc[starts]
-                e1 = K.ranges_hash(h, starts, starts + width, K.WORD_BASES[0])
-                e2 = K.ranges_hash(h, starts, starts + width, K.WORD_BASES[1])
-                small = (h & U64(0x7FFF)).astype(np.int32) + 1
-                before = np.where(starts > w.first[doc], small[np.maximum(starts - 1, 0)], 0)
-                ends = starts + width
-                after = np.where(ends < w.first[doc + 1], small[np.minimum(ends, len(h) - 1)], 0)
-                for column, x in zip(out, (ids[doc], tks[doc], (starts - w.first[doc]).astype(np.int32), e1, e2, before << 16 | after), strict=True):
+                edges = K.ranges_hash(h, starts, starts + width, K.WORD_BASES[1])
+                head = np.ones(len(starts), dtype=bool)
+                head[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
+                first = np.flatnonzero(head)
+                last = np.append(first[1:], len(starts)) - 1
+                small = (h & U64(0x7FFFFFFF)).astype(np.int32) | 1
+                d = doc[first]
+                before = np.where(starts[first] > w.first[d], small[np.maximum(starts[first] - 1, 0)], 0)
+                ends = starts[last] + width
+                after = np.where(ends < w.first[d + 1], small[np.minimum(ends, len(h) - 1)], 0)
+                for column, x in zip(out, (grams[at[first]], ids[d], tks[d], (starts[first] - w.first[d]).astype(np.int32), before, after, last - first + 1, edges), strict=True):
                     column.append(x)
             if not out[0]:
                 continue
-            ids, tks, pos, e1, e2, around = (np.concatenate(x) for x in out)
-            weight, known = combine([e1, e2])
-            spread = K.mix(e1 ^ ids.astype(U64) ^ K.mix(pos.astype(U64)), 8)
-            key = np.where(known, spread, e1)
+            a, ids, tks, pos, before, after, lengths, edges = (np.concatenate(x) for x in out)
+            ends = np.cumsum(lengths)
+            weight, known = combine([a, K.ranges_hash(edges, ends - lengths, ends, K.WORD_BASES[0])])
+            a = np.where(known, K.mix(a ^ ids.astype(U64) ^ K.mix(pos.astype(U64)), 8), a)  # needs no partner, so goes anywhere
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(edges.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(tks), pa.array(pos), pa.array(key.view(np.int64)), pa.array(np.where(known, e1, e2).view(np.int64)), pa.array(weight), pa.array(known), pa.array(around)],
-                names=["id", "tk", "pos", "e1", "e2", "weight", "known", "around"],
+                [pa.array(a.view(np.int64)), pa.array(ids), pa.array(tks), pa.array(pos), pa.array(weight), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)), lists],
+                names=["a", "id", "tk", "pos", "weight", "before", "after", "edges"],
             )
 
-    return rows.mapInArrow(run, "id bigint, tk int, pos int, e1 bigint, e2 bigint, weight int, known boolean, around int")
+    return rows.mapInArrow(run, "a bigint, id bigint, tk int, pos int, weight int, before int, after int, edges array<bigint>")
 
 
-def repeated_paths(edges: DataFrame) -> DataFrame:
-    """id, tk, start, n_edges, head: the walks of each text along nonbranching paths of repeated edges."""
-    over = Window.partitionBy("e1", "e2")
-    before, after = F.shiftright("around", 16), F.col("around").bitwiseAND(0xFFFF)
-    # A known row went elsewhere; its batch's leader has weight 2 and is repeated as well.
-    marked = edges.select(
-        "id", "tk", "pos", F.when(F.col("known"), F.col("e2")).otherwise(F.col("e1")).alias("edge"), F.sum("weight").over(over).alias("times"),
-        (F.min(before).over(over) != F.max(before).over(over)).alias("joins"), (F.min(after).over(over) != F.max(after).over(over)).alias("parts"),
-    ).filter("times > 1")
-    each = Window.partitionBy("id", "tk").orderBy("pos")
-    cut = (F.lag("pos").over(each) != F.col("pos") - 1) | F.col("joins") | F.lag("parts").over(each)
-    numbered = marked.withColumn("cut", F.coalesce(cut, F.lit(True)).cast("int")).withColumn("run", F.sum("cut").over(each.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("id", "tk", "run").agg(F.min("pos").alias("start"), F.count(F.lit(1)).cast("int").alias("n_edges"), F.min_by("edge", "pos").alias("head")).drop("run")
-
+def repeated_edges(found: DataFrame) -> DataFrame:
+    """id, tk, pos and bits for each super-k-mer with repeated edges: which repeat, and before or after which the path branches.
 
-def paths_and_texts(docs: DataFrame, width: int, size: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """The texts that hold anchors which repeat (id, tk, text, anchors), all texts in fact, and the walks along repeated paths."""
+    Equal edges have equal anchors, so one exchange by anchor brings them together; they unfold after it, and fold
+    into bits again before the next.
+    """
+    each = found.repartition("a").select("a", "id", "tk", "pos", "weight", "before", "after", "edges", F.posexplode("edges").alias("i", "e"))
+    each = each.select("a", "id", "tk", "pos", "weight", "i", "e", F.coalesce(F.get("edges", F.col("i") - 1), F.col("before").cast("long")).alias("prev"), F.coalesce(F.get("edges", F.col("i") + 1), F.col("after").cast("long")).alias("next"))
+    over = Window.partitionBy("a", "e")
+    marked = each.select(
+        "a", "id", "tk", "pos", "i", F.sum("weight").over(over).alias("times"),
+        (F.min("prev").over(over) != F.max("prev").over(over)).alias("joins"), (F.min("next").over(over) != F.max("next").over(over)).alias("parts"),
+    ).filter("times > 1")
+    bit = F.expr("shiftleft(1L, i)")
+    bits = lambda c: F.bit_or(F.when(F.col(c), bit).otherwise(F.lit(0).cast("long"))).alias(c)
+    return marked.groupBy("a", "id", "tk", "pos").agg(F.bit_or(bit).alias("repeats"), bits("joins"), bits("parts")).drop("a")
+
+
+def walks_of(marks: list[dict], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First edge and number of edges of a text's walks along nonbranching paths of repeated edges."""
+    pos = np.array([m["pos"] for m in marks], dtype=np.int64)
+    rows = {k: np.array([m[k] for m in marks], dtype=np.int64) for k in ("repeats", "joins", "parts")}
+    bit = np.arange(width, dtype=np.int64)
+    flags = {k: (v[:, None] >> bit & 1).astype(bool) for k, v in rows.items()}
+    at = (pos[:, None] + bit)[flags["repeats"]]
+    # Equal rows of the table give their marks more than once.
+    at, order = np.unique(at, return_index=True)
+    joins, parts = flags["joins"][flags["repeats"]][order], flags["parts"][flags["repeats"]][order]
+    cut = np.ones(len(at), dtype=bool)
+    cut[1:] = (at[1:] != at[:-1] + 1) | joins[1:] | parts[:-1]
+    start = np.flatnonzero(cut)
+    return at[start], np.diff(np.append(start, len(at)))
+
+
+def texts_and_marks(docs: DataFrame, width: int, size: int, id_col: str, text: str) -> DataFrame:
+    """id, tk, text and marks (of the super-k-mers with repeated edges, or null) for every row."""
+    if not 1 <= width - size + 1 <= 62:
+        raise ValueError("an anchor must be shorter than a window, by 61 words at most")
     rows = docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), F.hash(F.col(f"`{text}`")).alias("tk"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")
     )
     found = find_anchors(rows, width, size).withColumn("times", F.sum("weight").over(Window.partitionBy("a"))).filter("times > 1")
-    marks = found.groupBy("id", "tk").agg(F.collect_set("pos").alias("anchors"))
-    both = rows.join(marks, ["id", "tk"], "left")
-    return both, repeated_paths(find_edges(both.filter("anchors IS NOT NULL"), width, size))
+    places = found.groupBy("id", "tk").agg(F.collect_set("pos").alias("anchors"))
+    both = rows.join(places, ["id", "tk"], "left")
+    edges = repeated_edges(find_edges(both.filter("anchors IS NOT NULL"), width, size))
+    marks = edges.groupBy("id", "tk").agg(F.collect_list(F.struct("pos", "repeats", "joins", "parts")).alias("marks"))
+    return both.join(marks, ["id", "tk"], "left").select("id", "tk", "text", "marks")
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, size: int = ANCHOR, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, start_word, n_words, path (the head edge): long repeated passages by their source coordinates."""
-    _, paths = paths_and_texts(docs, width, size, id_col, text)
-    return paths.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), F.col("start").alias("start_word"), (F.col("n_edges") + width - 1).alias("n_words"), F.col("head").alias("path"))
+    """doc_id, start_word, n_words, path: the repeated passages by their source coordinates; path is a hash of a passage's words, read there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for doc, t, marks in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+                words = t.encode().split()
+                for start, n in zip(*(x.tolist() for x in walks_of(marks, width)), strict=True):
+                    span = words[start : start + n + width - 1]
+                    for column, x in zip(out, (None if doc == NO_ID else doc, start, len(span), hashlib.sha256(b" ".join(span)).hexdigest()), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "start_word", "n_words", "path"])
+
+    return texts_and_marks(docs, width, size, id_col, text).filter("marks IS NOT NULL").mapInArrow(run, "doc_id bigint, start_word bigint, n_words bigint, path string")
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, size: int = ANCHOR, id_col: str = "doc_id", text: str = "text", kept_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and the kept words joined by single spaces."""
-    both, paths = paths_and_texts(docs, width, size, id_col, text)
-    walks = paths.groupBy("id", "tk").agg(F.collect_list(F.struct("start", "n_edges")).alias("walks"))
-    all_of = both.join(walks, ["id", "tk"], "left").select("id", "tk", "text", F.col("walks.start").alias("starts"), F.col("walks.n_edges").alias("counts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_slices(batch, "text", 4 << 20):
                 out: list[list] = [[], [], [], [], []]
-                for doc, t, starts, counts in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), part.column("starts").to_pylist(), part.column("counts").to_pylist(), strict=True):
+                for doc, t, marks in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), part.column("marks").to_pylist(), strict=True):
                     words = t.encode().split()
                     kept = words
-                    if starts:
-                        gone = K.covered(len(words), np.array(starts), np.array(counts) + width - 1)
+                    if marks:
+                        start, n = walks_of(marks, width)
+                        gone = K.covered(len(words), start, n + width - 1)
                         kept = [x for x, g in zip(words, gone.tolist(), strict=True) if not g]
                     left = b" ".join(kept)
                     for column, x in zip(out, (None if doc == NO_ID else doc, len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest(), left.decode() if kept_text else None), strict=True):
@@ -212,4 +257,4 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, size: int = ANCHOR, id
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, types, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return all_of.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    return texts_and_marks(docs, width, size, id_col, text).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
