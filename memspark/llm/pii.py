@@ -12,7 +12,7 @@ entity e. The corpus tells how much a term t near it discloses:
     IC(e) = log2(N / c(e)),   PMI(t; e) = log2(N c(t, e) / (c(t) c(e))),   disclosure = PMI / IC
 
 with c(e) the distinct contexts of e, c(t, e) those that hold t, c(t) the documents with t and N all
-documents. 1 means that the term gives the entity away whenever it occurs. Terms of MIN_CONTEXTS contexts
+rows. 1 means that the term gives the entity away whenever it occurs. Terms of MIN_CONTEXTS contexts
 or more with a disclosure of GENERALISE or more are replaced by their kind of word, from REMOVE on they are
 removed, in every document. Contexts are told apart by their words, so copies of one passage count once.
 
@@ -110,27 +110,34 @@ def base_spans() -> Column:
 
 
 def contexts(found: DataFrame) -> DataFrame:
-    """entity (a hash), context (a hash of its words), terms: one row for each found value. found has _text and _spans."""
-    each = found.select("_text", F.explode("_spans").alias("s")).select("_text", "s.*")
+    """_id, _key, entity (a hash), context (a hash of its words), terms: one row for each found value. found has _id, _key, _text, _spans."""
+    each = found.select("_id", "_key", "_text", F.explode("_spans").alias("s")).select("_id", "_key", "_text", "s.*")
     start, stop = F.col("start"), F.col("stop")
     value = F.lower(F.substr("_text", start + 1, stop - start))
     entity = F.xxhash64("kind", F.when(F.col("kind").isin("card", "phone"), F.regexp_replace(value, "[^0-9]", "")).otherwise(value))
     left = F.substr("_text", F.greatest(start - CONTEXT_CHARS + 1, F.lit(1)), F.least(start, F.lit(CONTEXT_CHARS)))
     right = F.substr("_text", stop + 1, F.lit(CONTEXT_CHARS))
-    some = each.select(entity.alias("entity"), F.regexp_extract_all(left, F.lit(TERM), F.lit(0)).alias("l"), F.regexp_extract_all(right, F.lit(TERM), F.lit(0)).alias("r"), (start > CONTEXT_CHARS).alias("cut_left"), (F.length("_text") > stop + CONTEXT_CHARS).alias("cut_right"))
+    some = each.select("_id", "_key", entity.alias("entity"), F.regexp_extract_all(left, F.lit(TERM), F.lit(0)).alias("l"), F.regexp_extract_all(right, F.lit(TERM), F.lit(0)).alias("r"), (start > CONTEXT_CHARS).alias("cut_left"), (F.length("_text") > stop + CONTEXT_CHARS).alias("cut_right"))
     # A word that the window cuts is no word.
-    some = some.select("entity", F.when(F.col("cut_left") & (F.size("l") > 0), F.slice("l", F.lit(2), F.size("l"))).otherwise(F.col("l")).alias("l"), F.when(F.col("cut_right") & (F.size("r") > 0), F.slice("r", F.lit(1), F.size("r") - 1)).otherwise(F.col("r")).alias("r"))
+    some = some.select("_id", "_key", "entity", F.when(F.col("cut_left") & (F.size("l") > 0), F.slice("l", F.lit(2), F.size("l"))).otherwise(F.col("l")).alias("l"), F.when(F.col("cut_right") & (F.size("r") > 0), F.slice("r", F.lit(1), F.size("r") - 1)).otherwise(F.col("r")).alias("r"))
     near = F.when(F.size("l") > CONTEXT_WORDS, F.slice("l", F.size("l") - (CONTEXT_WORDS - 1), F.lit(CONTEXT_WORDS))).otherwise(F.col("l"))
-    some = some.select("entity", near.alias("l"), F.slice("r", 1, CONTEXT_WORDS).alias("r"))
-    return some.select("entity", F.xxhash64("l", "r").alias("context"), F.array_distinct(F.concat("l", "r")).alias("terms"))
+    some = some.select("_id", "_key", "entity", near.alias("l"), F.slice("r", 1, CONTEXT_WORDS).alias("r"))
+    return some.select("_id", "_key", "entity", F.xxhash64("l", "r").alias("context"), F.array_distinct(F.concat("l", "r")).alias("terms"))
 
 
-def candidate_terms(found: DataFrame) -> DataFrame:
-    """entity, term, together (c(t, e)) and of_entity (c(e)) for pairs with enough distinct contexts."""
-    once = contexts(found).groupBy("entity", "context").agg(F.first("terms").alias("terms"))
+def candidate_terms(found: DataFrame, n: int) -> DataFrame:
+    """entity, term, together (c(t, e)) and of_entity (c(e)) for pairs that can disclose enough.
+
+    A term occurs in all documents that have it near any value, at least; where that alone keeps its disclosure
+    below the threshold, the corpus needn't be asked. So common words end here.
+    """
+    every = written(contexts(found), "contexts")
+    once = every.groupBy("entity", "context").agg(F.first("terms").alias("terms"))
     entities = once.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity")).filter(F.col("of_entity") >= MIN_CONTEXTS)
     pairs = once.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= MIN_CONTEXTS)
-    return pairs.join(entities, "entity")
+    least = every.select("_id", "_key", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("least"))
+    most = disclosure(F.col("together"), F.col("least"), F.col("of_entity"), F.lit(float(n)))
+    return pairs.join(entities, "entity").join(least, "term").filter(most >= GENERALISE).drop("least")
 
 
 def disclosure(together: Column, of_term: Column, of_entity: Column, n: Column) -> Column:
@@ -151,7 +158,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     consequence) and sanitised.
     """
     base = find_base(docs.withColumns({"_id": F.col(f"`{id_col}`"), "_key": F.xxhash64(F.col(f"`{text}`"))}), text).withColumn("_spans", base_spans())
-    candidates = written(candidate_terms(base.filter(F.size("_spans") > 0).select("_id", "_key", "_text", "_spans").dropDuplicates(["_id", "_key"])), "terms")
+    n = docs.count()
+    candidates = written(candidate_terms(base.filter(F.size("_spans") > 0).select("_id", "_key", "_text", "_spans").dropDuplicates(["_id", "_key"]), n), "terms")
     none = F.array().cast("array<struct<term:string,removed:boolean>>")
     if candidates.isEmpty():
         joined = base.withColumn("_terms", none)
@@ -159,11 +167,11 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         corpus = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
         words = corpus.select("_id", "_key", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(TERM), F.lit(0)))).alias("term"))
         met = written(words.join(candidates.select("term").distinct(), "term").distinct(), "met")
-        n = corpus.select("_id", "_key").distinct().count()
         of_term = met.groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
         told = candidates.join(of_term, "term").withColumn("d", disclosure(F.col("together"), F.col("of_term"), F.col("of_entity"), F.lit(float(n))))
         telling = told.groupBy("term").agg(F.max("d").alias("d")).filter(F.col("d") >= GENERALISE).select("term", (F.col("d") >= REMOVE).alias("removed"))
-        mine = met.join(telling, "term").groupBy(F.col("_id").alias("_of_id"), F.col("_key").alias("_of_key")).agg(F.sort_array(F.collect_set(F.struct("term", "removed"))).alias("_telling"))
+        # A written table has a known size, so Spark broadcasts it if that is small, and else moves the texts.
+        mine = written(met.join(telling, "term").groupBy(F.col("_id").alias("_of_id"), F.col("_key").alias("_of_key")).agg(F.sort_array(F.collect_set(F.struct("term", "removed"))).alias("_telling")), "telling")
         joined = base.join(mine, F.col("_id").eqNullSafe(F.col("_of_id")) & (F.col("_key") == F.col("_of_key")), "left")
         joined = joined.withColumn("_terms", F.coalesce("_telling", none)).drop("_of_id", "_of_key", "_telling")
     # The longest alternatives need no order: terms are whole words, so at most one fits a place.
