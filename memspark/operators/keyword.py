@@ -22,7 +22,8 @@ def postings(passages: DataFrame, fields: dict[str, float] | None = None) -> Dat
     fields = fields or {"text": 1.0}
     lists = [tokens(F.coalesce(F.col(c), F.lit(""))) for c in fields]
     sized = passages.select("passage_id", sum((F.size(x) for x in lists), F.lit(0)).alias("length"), *[x.alias(f"_{i}") for i, x in enumerate(lists)])
-    weighted = F.flatten(F.array(*[F.transform(f"_{i}", lambda t, w=w: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))) for i, w in enumerate(fields.values())]))
+    weigh = lambda w: lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))
+    weighted = F.flatten(F.array(*[F.transform(f"_{i}", weigh(w)) for i, w in enumerate(fields.values())]))
     each = sized.select("passage_id", "length", F.explode(weighted).alias("x"))
     return each.groupBy("passage_id", "length", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
 
@@ -74,6 +75,7 @@ def entity_cues(queries: DataFrame, names: DataFrame, least_length: int = 3) ->
     if not lengths:
         return queries.select("query_id").join(names.select("node_id"), F.lit(False))
     text = queries.select("query_id", words(F.col("text")).alias("w"))
-    grams = F.flatten(F.array(*[F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.array_join(F.slice("w", i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>")) for n in lengths]))
+    gram = lambda n: lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")
+    grams = F.flatten(F.array(*[F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), gram(n))).otherwise(F.array().cast("array<string>")) for n in lengths]))
     cues = text.select("query_id", F.explode(F.array_distinct(grams)).alias("gram"))
     return cues.join(known.select("node_id", "gram"), "gram").select("query_id", "node_id").distinct()

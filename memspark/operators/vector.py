@@ -69,7 +69,7 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     dealt = vectors.filter("vector IS NOT NULL").select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("side"))
     each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
 
-    def run(key, t: pa.Table) -> pa.Table:
+    def run(key, t):
         ids, side, v = t.column("id").to_numpy(), t.column("side").to_numpy(), unit_rows(t.column("vector").to_pylist())
         one, two = np.flatnonzero(side == key[0].as_py()), np.flatnonzero(side == key[1].as_py())
         s = v[one] @ v[two].T

@@ -1,4 +1,4 @@
-"""Registered queries."""
+"""Registered queries: every operator over the driver's tables, with SQL for DuckDB."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import evaluation, facts, graphs, retrieval, upkeep  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
