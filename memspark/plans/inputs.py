@@ -119,7 +119,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Access log: a user's events are accesses of a document.
 
-ACCESS = "access AS (SELECT 'd' || user_id AS node, epoch_ms(ts) AS t, 'u' || user_id || '-' || CAST(ts AS DATE) AS session, event_id FROM events)"
+ACCESS = "access AS (SELECT 'd' || user_id AS node, epoch_us(ts) // 1000 AS t, 'u' || user_id || '-' || CAST(ts AS DATE) AS session, event_id FROM events)"
 
 
 def access(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ def run_to_end(stream: DataFrame, tag: str, mode: str = "update") -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    rows = spark.read.schema(stream.schema.add("_batch", "int")).parquet(out)
+    rows = spark.read.schema(stream.schema.add("_batch", "integer")).parquet(out)
     newest = rows.groupBy("node").agg(F.max_by(F.struct(*stream.columns), "_batch").alias("v"))
     return newest.select("v.*")
 
