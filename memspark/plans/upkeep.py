@@ -13,6 +13,7 @@ from ..operators import dreams, federate, index
 from ..operators import graph as g
 from ..operators import recall as r
 from ..sources.vault import versions_at
+from ..storage import written
 from ..streaming import access as stream
 from . import graphs
 from . import inputs as I
@@ -159,8 +160,10 @@ def memory(spark: SparkSession, sf_dir: str) -> tuple[r.Memory, DataFrame]:
 
 def recalled(spark: SparkSession, sf_dir: str, cfg: Config = CFG, mode: str = "auto", cued: bool = False) -> DataFrame:
     mem, _ = memory(spark, sf_dir)
+    # An index is a table; here it is made first.
+    mem.passages, mem.edges = written(mem.passages, "passages"), written(mem.edges, "edges")
     asked = I.queries(spark, sf_dir)
-    hits = searched(spark, sf_dir)
+    hits = written(searched(spark, sf_dir), "hits")
     seeds = hits.select("query_id", F.col("passage_id").alias("node"), (1.0 / (60.0 + F.col("rank"))).alias("value"))
     cues = hits.filter("rank = 1").select("query_id", F.substring_index("passage_id", "#", 1).alias("node_id")) if cued else None
     return r.recall(asked, seeds, mem, cfg, mode, NOW, cues=cues, has_triples=False)
