@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .common import written
 from .components import block_tasks, components, map_groups
 
@@ -121,24 +122,28 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                u = unit(vectors_of(part.column("v"), int(dim)))
+                u, labels = unit(vectors_of(part.column("v"), int(dim))), part.column("mark").to_numpy().view(np.uint64)
                 per = max(1, int(dim) // bits)  # keys of one rotation
                 take = min(bits, int(dim))
                 for number in range(-(-n_keys // per)):
                     signs = (u @ rotation(int(dim), number)) >= 0
                     for k in range(min(per, n_keys - number * per)):
                         key = signs[:, k * take : (k + 1) * take] @ (1 << np.arange(take, dtype=np.int64))
-                        n = len(u)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number * per + k, dtype=np.int32)), pa.array(key), part.column("label"), part.column("dim"), part.column("node"), part.column("v")], names=["nth", "key", "label", "dim", "node", "v"])
+                        g = K.mix(K.mix(key.view(np.uint64), number * per + k) ^ labels, int(dim))
+                        yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), part.column("node")], names=["g", "node"])
 
-    kind = single.schema["label"].dataType.simpleString()
-    keys = single.select("node", "label", "v", "dim").mapInArrow(keyed, f"nth int, key bigint, label {kind}, dim int, node bigint, v array<double>")
-    groups = keys.withColumn("g", F.xxhash64("nth", "key", "label", "dim"))
-    tasks = block_tasks(groups, "g", "node", BLOCK)
+    # Keys travel without vectors; those join once it is known which groups have two members or more.
+    keys = single.select("node", "v", "dim", F.xxhash64("label").alias("mark")).mapInArrow(keyed, "g bigint, node bigint")
+    tasks = block_tasks(keys, "g", "node", BLOCK).join(single.select("node", "label", "v", "dim"), "node")
 
     def likely(t: pa.Table) -> pa.Table | None:
-        if len(set(zip(t.column("nth").to_pylist(), t.column("label").to_pylist(), t.column("dim").to_pylist(), strict=True))) > 1:
-            return None if t.num_rows < 2 else pa.concat_tables([x for x in map(likely, split(t)) if x is not None] or [empty()])
+        if t.num_rows < 2:
+            return None
+        kinds = list(zip(t.column("label").to_pylist(), t.column("dim").to_pylist(), strict=True))
+        if len(set(kinds)) > 1:  # two keys of one hash
+            parts = [likely(t.filter(pa.array([x == k for x in kinds]))) for k in dict.fromkeys(kinds)]
+            parts = [p for p in parts if p is not None]
+            return pa.concat_tables(parts) if parts else None
         u = unit(vectors_of(t.column("v"), t.column("dim")[0].as_py()))
         node = t.column("node").to_numpy()
         c = Coded(u)
@@ -147,14 +152,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
         found = forest(len(u), ((int(i), np.flatnonzero(maybe[i])) for i in np.flatnonzero(maybe.any(axis=1))))
         return pa.table({"a": pa.array([node[i] for i, _ in found], pa.int64()), "b": pa.array([node[j] for _, j in found], pa.int64())})
 
-    def split(t: pa.Table) -> list[pa.Table]:
-        """A group whose hash covers several keys, key by key."""
-        mark = list(zip(t.column("nth").to_pylist(), t.column("key").to_pylist(), t.column("label").to_pylist(), t.column("dim").to_pylist(), strict=True))
-        return [t.filter(pa.array([m == k for m in mark])) for k in dict.fromkeys(mark)]
-
-    def empty() -> pa.Table:
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-
     links = map_groups(tasks, ["g", "_lo", "_hi"], likely, "a bigint, b bigint")
     candidates = components(links.distinct())
     members = single.select("node", "label", "v", "dim", "times").join(candidates, "node")
