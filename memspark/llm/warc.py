@@ -33,7 +33,7 @@ from .common import delete, written
 
 DATE = "2024-01-01T00:00:00Z"
 ROLL_BYTES = 64 << 20
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 CELLS = 4096
 LEVEL = 6
 SPACE_ID = uuid.UUID("6f1a5a0e-5d0b-4c36-9d5e-0f5f3f4f7a11")
@@ -142,7 +142,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: in
     shard = F.coalesce(F.size(F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: s <= cell)) - 1, F.lit(0)) if len(starts) > 1 else F.lit(0)
     each = rows.withColumns({"shard": shard.cast("int"), "kind": F.lit(1), "refers_to": F.lit(None).cast("long"), "sha": F.lit(None).cast("string")})
     notes = revisits.withColumns({"shard": shard.cast("int"), "kind": F.lit(0), "url": F.lit(None).cast("string"), "payload": F.lit(None).cast("binary")})
-    sorted_rows = each.unionByName(notes).repartition("shard").sortWithinPartitions("shard", "page_id", "kind", "sha", "payload", "url")
+    sorted_rows = each.unionByName(notes).repartition(2 * len(starts), "shard").sortWithinPartitions("shard", "page_id", "kind", "sha", "payload", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(roller: Roller) -> pa.RecordBatch:
@@ -247,7 +247,8 @@ def read_warc(manifest: DataFrame, folder: str, payload: bool = True) -> DataFra
                 if rows:
                     yield batch_of(rows)
 
-    return manifest.select("file").repartition("file").mapInArrow(read, READ)
+    # A number keeps Spark from putting these few rows into one task.
+    return manifest.select("file").repartition(min(10_000, max(1, manifest.count()))).mapInArrow(read, READ)
 
 
 ORACLE = """
