@@ -16,8 +16,10 @@ import hashlib
 import re
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import annotate
 
@@ -100,9 +102,6 @@ def encode_texts(docs: DataFrame, model_path: str, keep: list[str] | None = None
 
 def decode_ids(rows: DataFrame, model_path: str, column: str = "ids", into: str = "text") -> DataFrame:
     """rows with the text that the ids stand for; null ids give null."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("string")
     def decoded(x: pd.Series) -> pd.Series:
         c = codec(model_path)
