@@ -4,7 +4,7 @@ The lengths' histogram (at most CAPACITY sizes, whatever the corpus) is all that
 driver. A configuration is a multiset of sizes that fits one sequence. Multiplicative weights solve the
 covering program: each round prices the sizes, a knapsack dynamic program finds the best configuration
 for each size that leads one, and those near the best share the round's mass; sizes that are covered
-too much lose weight. Rounding takes whole numbers of each configuration; what is left is packed best
+too much lose weight. Rounding takes whole numbers of each configuration that is full; what is left is packed best
 fit, the longest first with the subset of the rest that fills it best, again in whole histogram counts.
 
 The plan is a list of runs "k sequences of this configuration". The pieces of one size are numbered by a
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import in_slices, written
 
 CAPACITY, END_ID = 1024, 2
-ROUNDS, NEAR, SHARPNESS = 150, 0.02, 6.0
+ROUNDS, NEAR = 150, 0.02
+#: How fast a weight grows with what its size is behind, and how far it may get from 1 (as a logarithm).
+SHARPNESS, WIDEST = 0.03, 0.2
 #: Ranks are counted apart for each of so many salts; one more for every SALT_ROWS pieces.
 SALTS, SALT_ROWS = 16, 4_000_000
 
@@ -136,7 +138,7 @@ def fractional(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[
         behind[sizes] = goal - cover[sizes] / counts[sizes]
         price = np.zeros(len(counts))
         # A size's price is its length times a weight that grows with how far it is behind.
-        price[sizes] = lengths[sizes] * np.exp(np.clip(SHARPNESS * rounds * behind[sizes] / 10, -30, 30))
+        price[sizes] = lengths[sizes] * np.exp(np.clip(SHARPNESS * rounds * behind[sizes], -WIDEST, WIDEST))
         value, take = best_values(price, capacity)
         lead = price[sizes] + value[capacity - sizes]
         near = sizes[(lead >= (1 - NEAR) * value[capacity]) | (behind[sizes] > 2 / rounds)]
@@ -191,9 +193,10 @@ def solve(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, tuple
         return k > 0
 
     shares = fractional(left, capacity)
-    # The fullest first: what rounding leaves behind should be what fills badly.
-    for config, x in sorted(shares.items(), key=lambda c: (-sum(c[0]), -c[1], c[0])):
-        use(config, int(x))
+    # Full configurations only: what rounding leaves behind packs better anew than what wastes room.
+    for config, x in sorted(shares.items(), key=lambda c: (-c[1], c[0])):
+        if sum(config) == capacity:
+            use(config, int(x))
     while left.any():
         longest = int(np.flatnonzero(left)[-1])
         left[longest] -= 1
