@@ -17,7 +17,15 @@ def ranked(rows: DataFrame, by: list[str], score: str, tie: str, limit: int | No
     return out.filter(F.col(rank) <= limit) if limit else out
 
 
-def postings(passages: DataFrame, fields: dict[str, float] | None = None) -> DataFrame:
+def stemmed(rows: DataFrame) -> DataFrame:
+    """rows with their terms' Porter stems; each distinct term is stemmed once."""
+    from ..functions.porter import porter
+
+    stems = rows.select("term").distinct().withColumn("_stem", porter(F.col("term")))
+    return rows.join(stems, "term").withColumn("term", F.col("_stem")).drop("_stem")
+
+
+def postings(passages: DataFrame, fields: dict[str, float] | None = None, stem: bool = False) -> DataFrame:
     """term, passage_id, tf, length. fields: columns and their weights in tf (by default the column text, once)."""
     fields = fields or {"text": 1.0}
     lists = [tokens(F.coalesce(F.col(c), F.lit(""))) for c in fields]
@@ -25,7 +33,8 @@ def postings(passages: DataFrame, fields: dict[str, float] | None = None) -> Dat
     weigh = lambda w: lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))
     weighted = F.flatten(F.array(*[F.transform(f"_{i}", weigh(w)) for i, w in enumerate(fields.values())]))
     each = sized.select("passage_id", "length", F.explode(weighted).alias("x"))
-    return each.groupBy("passage_id", "length", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
+    out = each.groupBy("passage_id", "length", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
+    return stemmed(out).groupBy("passage_id", "length", "term").agg(F.sum("tf").alias("tf")) if stem else out
 
 
 def statistics(passages: DataFrame, fields: list[str] = ("text",)) -> DataFrame:
@@ -40,14 +49,15 @@ def bm25(tf: Column, df: Column, n: Column, length: Column, average: Column, k1:
     return idf * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * share))
 
 
-def bm25_search(queries: DataFrame, passages: DataFrame, limit: int, fields: dict[str, float] | None = None) -> DataFrame:
-    """query_id, passage_id, score, rank. queries: query_id, text; passages: passage_id and the fields.
+def bm25_search(queries: DataFrame, passages: DataFrame, limit: int, fields: dict[str, float] | None = None, stem: bool = False) -> DataFrame:
+    """query_id, passage_id, score, rank. queries: query_id, text; passages: passage_id and the fields; stem: by Porter stems.
 
     The queries' distinct terms cut the postings down before anything is counted, so documents that no query
     touches never leave their scan.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    held = postings(passages, fields).join(terms.select("term").distinct(), "term", "left_semi")
+    terms = stemmed(terms).distinct() if stem else terms
+    held = postings(passages, fields, stem).join(terms.select("term").distinct(), "term", "left_semi")
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = statistics(passages, list(fields or {"text": 1.0}))
     weights = held.join(df, "term").join(F.broadcast(stats))  # one row

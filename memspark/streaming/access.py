@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..storage import new_path
 
@@ -52,7 +53,7 @@ def run_to_end(stream: DataFrame, tag: str, mode: str = "update") -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    rows = spark.read.schema(stream.schema.add("_batch", "integer")).parquet(out)
+    rows = spark.read.schema(StructType(list(stream.schema.fields)).add("_batch", "integer")).parquet(out)
     newest = rows.groupBy("node").agg(F.max_by(F.struct(*stream.columns), "_batch").alias("v"))
     return newest.select("v.*")
 
