@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import in_slices, written
 
@@ -252,7 +253,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             names = b.schema.names
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-2]), pa.array(sequence), pa.array(offset)], names=[*names[:-2], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, pieces.schema.add("sequence_id", "long").add("offset", "long"))
+    return ranked.mapInArrow(run, StructType(list(pieces.schema.fields)).add("sequence_id", "long").add("offset", "long"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False) -> DataFrame:
