@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,6 +20,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 def written(df: DataFrame, tag: str) -> DataFrame:
     """storage.written, after which the driver lets go of the shuffles that led there, so that executors can drop their files."""
     out = storage.written(df, tag)
+    gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
 

@@ -50,7 +50,8 @@ from .common import in_slices, written
 from .components import block_tasks, components, map_groups
 
 FEW = 2
-BLOCK = 512
+#: Members of a block, as texts and as sketches, of which a task holds two blocks.
+BLOCK, SKETCH_BLOCK = 512, 2048
 U64 = np.uint64
 
 
@@ -317,7 +318,7 @@ def pairs_table(ids: np.ndarray, forest: list[tuple[int, int]]) -> pa.Table:
 
 def likely_links(members: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) between members of a group (g, doc) that their sketches (doc, n, sketch) leave possible."""
-    work = block_tasks(members, "g", "doc", BLOCK).join(sketches.hint("merge"), "doc").select("g", "_lo", "_hi", "_side", "doc", "n", "sketch")
+    work = block_tasks(members, "g", "doc", SKETCH_BLOCK).join(sketches.hint("merge"), "doc").select("g", "_lo", "_hi", "_side", "doc", "n", "sketch")
 
     def meet(t: pa.Table) -> pa.Table | None:
         if t.num_rows < 2:

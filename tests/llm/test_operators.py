@@ -158,6 +158,7 @@ def least_bins(counts, capacity):
 @pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
 def test_jaccard_join(spark, monkeypatch, width, percent):
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)  # several blocks a group
+    monkeypatch.setattr(jaccard_join, "SKETCH_BLOCK", 16)
     every = [*near_copies(width), *ODD, "one", "ONE"]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_components(docs(spark, every), width, percent).collect()}
     assert got == brute.jaccard_components(list(enumerate(every)), width, percent)
