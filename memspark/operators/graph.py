@@ -22,8 +22,6 @@ from ..storage import written
 
 #: Up to so many directed edges a graph is sent to each task; beyond, PageRank runs as joins.
 KERNEL_EDGES = 1_000_000
-#: Queries that one kernel call advances together.
-KERNEL_QUERIES = 64
 
 
 def mode_edges(edges: DataFrame, mode: str, weights: dict[str, float]) -> DataFrame:
@@ -115,54 +113,58 @@ def seed_shares(seeds: DataFrame, adjacent: DataFrame) -> DataFrame:
     return present.withColumn("s", F.col("value") / F.sum("value").over(Window.partitionBy("query_id"))).select("query_id", "node", "s")
 
 
-def pagerank(seeds: DataFrame, adjacent: DataFrame, damping: float = 0.5, tolerance: float = 1e-8, most: int = 100, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+def pagerank(seeds: DataFrame, adjacent: DataFrame, damping: float = 0.5, tolerance: float = 1e-8, most: int = 100, kernel_edges: int = KERNEL_EDGES, top: int | None = None) -> DataFrame:
     """query_id, node, mass > 0: p = (1 - d) s + d W'p for every query of seeds (query_id, node, value).
 
+    top: only each query's heaviest nodes are wanted (by nine digits, then by name), so the others needn't leave their task.
+
     The number of rounds is known beforehand, so no round is an action of its own. A graph up to kernel_edges,
-    which is counted, goes to the tasks as arrays and many queries advance in one product; a larger one stays a
+    which is counted, goes to the tasks as arrays, where a round is one weighted count; a larger one stays a
     table: a round is one join and one sum, and its lineage is cut every few rounds.
     """
     rounds = iterations(damping, tolerance, most)
     adjacent = written(adjacent, "adjacency")
     if adjacent.count() <= kernel_edges:
-        return _kernel(seed_shares(seeds, adjacent), adjacent, damping, rounds)
-    return _by_joins(seed_shares(seeds, adjacent), transitions(adjacent), damping, rounds)
+        return _kernel(seed_shares(seeds, adjacent), adjacent, damping, rounds, top)
+    mass = _by_joins(seed_shares(seeds, adjacent), transitions(adjacent), damping, rounds)
+    return heaviest(mass, top) if top else mass
+
+
+def heaviest(mass: DataFrame, limit: int) -> DataFrame:
+    """Each query's heaviest nodes."""
+    order = Window.partitionBy("query_id").orderBy(F.round("mass", 9).desc(), "node")
+    return mass.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= limit).drop("_nth")
 
 
-def _kernel(shares: DataFrame, adjacent: DataFrame, damping: float, rounds: int) -> DataFrame:
+def _kernel(shares: DataFrame, adjacent: DataFrame, damping: float, rounds: int, top: int | None = None) -> DataFrame:
     held = transitions(adjacent).toPandas()  # at most KERNEL_EDGES rows
     names, codes = np.unique(np.concatenate([held["a"].to_numpy(dtype=object), held["b"].to_numpy(dtype=object)]).astype(str), return_inverse=True)
     src, dst, p = codes[: len(held)], codes[len(held) :], held["p"].to_numpy()
-    order = np.argsort(dst, kind="stable")
-    src, dst, p = src[order], dst[order], p[order]
-    starts = np.flatnonzero(np.append(True, dst[1:] != dst[:-1])) if len(dst) else np.zeros(0, np.int64)
-    heads = dst[starts] if len(dst) else dst
     spark = shares.sparkSession
-    arrays = spark.sparkContext.broadcast((names, src, p, starts, heads))
+    arrays = spark.sparkContext.broadcast((names, src, dst, p))
 
     def run(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        names, src, p, starts, heads = arrays.value
-        queries = np.unique(t["query_id"].to_numpy())
-        row = np.searchsorted(queries, t["query_id"].to_numpy())
+        names, src, dst, p = arrays.value
         out = []
-        for lo in range(0, len(queries), KERNEL_QUERIES):
-            mine = (row >= lo) & (row < lo + KERNEL_QUERIES)
-            n = min(KERNEL_QUERIES, len(queries) - lo)
-            s = np.zeros((len(names), n))
-            np.add.at(s, (np.searchsorted(names, t["node"].to_numpy()[mine].astype(str)), row[mine] - lo), t["s"].to_numpy()[mine])
-            mass = s.copy()
+        for query, seeds in t.groupby("query_id", sort=True):
+            s = np.bincount(np.searchsorted(names, seeds["node"].to_numpy().astype(str)), weights=seeds["s"].to_numpy(), minlength=len(names))
+            mass = s
             for _ in range(rounds):
-                moved = np.zeros_like(mass)
-                moved[heads] = np.add.reduceat(mass[src] * p[:, None], starts, axis=0)
-                mass = (1 - damping) * s + damping * moved
-            node, q = np.nonzero(mass > 0)
-            out.append(pd.DataFrame({"query_id": queries[lo + q], "node": names[node], "mass": mass[node, q]}))
+                mass = (1 - damping) * s + damping * np.bincount(dst, weights=mass[src] * p, minlength=len(names))
+            node = np.flatnonzero(mass > 0)
+            if top and len(node) > top:
+                key = np.round(mass[node], 9)
+                least = np.partition(key, len(node) - top)[len(node) - top]
+                some = np.flatnonzero(key >= least)
+                # Names are sorted, so a stable order by mass breaks ties by name.
+                node = node[some[np.argsort(-key[some], kind="stable")[:top]]]
+            out.append(pd.DataFrame({"query_id": query, "node": names[node], "mass": mass[node]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "node": [], "mass": []})
 
     if not len(names):
         return shares.select("query_id", "node", F.col("s").alias("mass")).limit(0)
     kind = shares.schema["query_id"].dataType.simpleString()
-    dealt = shares.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(1024)))
+    dealt = shares.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(4 * spark.sparkContext.defaultParallelism)))
     return dealt.groupBy("g").applyInPandas(run, f"query_id {kind}, node string, mass double")
 
 

@@ -21,6 +21,9 @@ def test_mass_is_one_and_both_ways_agree(spark):
     for q in (1, 2):
         assert abs(sum(v for k, v in one.items() if k[0] == q) - 1) < 1e-9
     assert (2, "gone") not in one and (1, "x") not in one
+    for edges_at_most in (graph.KERNEL_EDGES, 0):
+        top = {(r["query_id"], r["node"]) for r in graph.pagerank(seeds, adjacent, top=2, kernel_edges=edges_at_most).collect()}
+        assert top == {(q, n) for q in (1, 2) for _, n in sorted((-round(m, 9), n) for (k, n), m in one.items() if k == q)[:2]}
     alone = graph.with_isolated(graph.pagerank(seeds, adjacent), seeds, 0.5).filter("node = 'gone'").head()
     assert alone["mass"] == 4.5
 
