@@ -13,6 +13,7 @@ from .operators import consolidate, evaluate, federate, graph, index, keyword, t
 from .operators.fusion import fuse, in_scope
 from .operators.recall import Memory, access_events, recall
 from .sources import vault as source
+from .storage import written
 
 
 @dataclass
@@ -32,8 +33,9 @@ class MemorySession:
     @classmethod
     def open(cls, spark: SparkSession, root: str, cfg: Config | None = None, access_log: str | None = None) -> MemorySession:
         cfg = checked(cfg or Config())
-        notes = source.read_vault(spark, root, cfg.vault).cache()
-        built = index.build(notes, cfg)
+        # The index is tables: queries start from them and not from the files.
+        notes = written(source.read_vault(spark, root, cfg.vault), "notes")
+        built = {k: written(v, k) for k, v in index.build(notes, cfg).items()}
         return cls(spark, built["nodes"], built["edges"], built["names"], cfg, source.read_access(spark, access_log) if access_log else None, notes)
 
     def queries(self, *texts: str) -> DataFrame:
