@@ -9,16 +9,18 @@ their runs give nothing back, so a long run costs its length and not its square.
 Method (information-theoretic sanitising, after Sanchez and Batet 2016): every found value is a protected
 entity e. The corpus tells how much a term t near it discloses:
 
-    IC(e) = log2(N / c(e)),   PMI(t; e) = log2(N c(t, e) / (c(t) c(e))),   disclosure = PMI / IC
+    IC(e) = log2(N / c(e)),   PMI(t; e) = log2(N c(t, e) / ((c(t) + UNSEEN) c(e))),   disclosure = PMI / IC
 
-with c(e) the distinct contexts of e, c(t, e) those that hold t, c(t) the documents with t and N all
-rows. 1 means that the term gives the entity away whenever it occurs. Terms of MIN_CONTEXTS contexts
-or more with a disclosure of GENERALISE or more are replaced by their kind of word, from REMOVE on they are
-removed, in every document. Contexts are told apart by their words, so copies of one passage count once.
+with c(e) the texts with e, c(t, e) those that hold t too, anywhere, c(t) the documents with t and N all
+rows. Near 1 the term gives the entity away whenever it occurs; UNSEEN stands for an occurrence elsewhere that
+the corpus doesn't show, so that one meeting says less than many. Every found value is scored, also one
+of a single text, against every word of its texts that stands outside values somewhere in them. Terms with a
+disclosure of GENERALISE or more are replaced by their kind of word, from REMOVE on they are removed, in every
+document.
 
-Only documents with found values emit context rows. The whole corpus' words meet the candidate terms in one
-join, which counts documents and finds where to apply in one go; Spark broadcasts the terms only below its
-own size limit. Counts combine before the shuffle.
+Only texts with found values emit pairs; values found in the same texts disclose alike and make one pair with a
+term. The whole corpus' words meet the candidate terms in one join, which counts documents and finds where to
+apply in one go; Spark broadcasts the terms only below its own size limit. Counts combine before the shuffle.
 
 Defined results: null is the empty text and stays null in the sanitised column; rows with the same id and text
 are one document in counts and are returned each; a null id is an id like any other; overlapping spans are
@@ -44,8 +46,7 @@ IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TERM_KIND = "term"
 
 TERM = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]+(?![\p{L}\p{N}])"
-CONTEXT_WORDS, CONTEXT_CHARS = 8, 160
-MIN_CONTEXTS = 3
+UNSEEN = 1
 GENERALISE, REMOVE = 0.9, 0.97
 
 SPANS = "array<struct<start:int,stop:int>>"
@@ -109,42 +110,53 @@ def base_spans() -> Column:
     return F.array_sort(F.concat(*[tagged(k, i, F.col(f"_{k}")) for i, k in enumerate(PATTERNS)]))
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """_id, _key, entity (a hash), context (a hash of its words), terms: one row for each found value. found has _id, _key, _text, _spans."""
-    each = found.select("_id", "_key", "_text", F.explode("_spans").alias("s")).select("_id", "_key", "_text", "s.*")
-    start, stop = F.col("start"), F.col("stop")
-    value = F.lower(F.substr("_text", start + 1, stop - start))
+def entities_of(found: DataFrame) -> DataFrame:
+    """_key, entity, of_entity (c(e)): the values of each text, those of the same texts as one. found has _key, _text, _spans."""
+    each = found.select("_key", "_text", F.explode("_spans").alias("s")).select("_key", "_text", "s.*")
+    value = F.lower(F.substr("_text", F.col("start") + 1, F.col("stop") - F.col("start")))
     entity = F.xxhash64("kind", F.when(F.col("kind").isin("card", "phone"), F.regexp_replace(value, "[^0-9]", "")).otherwise(value))
-    left = F.substr("_text", F.greatest(start - CONTEXT_CHARS + 1, F.lit(1)), F.least(start, F.lit(CONTEXT_CHARS)))
-    right = F.substr("_text", stop + 1, F.lit(CONTEXT_CHARS))
-    some = each.select("_id", "_key", entity.alias("entity"), F.regexp_extract_all(left, F.lit(TERM), F.lit(0)).alias("l"), F.regexp_extract_all(right, F.lit(TERM), F.lit(0)).alias("r"), (start > CONTEXT_CHARS).alias("cut_left"), (F.length("_text") > stop + CONTEXT_CHARS).alias("cut_right"))
-    # A word that the window cuts is no word.
-    some = some.select("_id", "_key", "entity", F.when(F.col("cut_left") & (F.size("l") > 0), F.slice("l", F.lit(2), F.size("l"))).otherwise(F.col("l")).alias("l"), F.when(F.col("cut_right") & (F.size("r") > 0), F.slice("r", F.lit(1), F.size("r") - 1)).otherwise(F.col("r")).alias("r"))
-    near = F.when(F.size("l") > CONTEXT_WORDS, F.slice("l", F.size("l") - (CONTEXT_WORDS - 1), F.lit(CONTEXT_WORDS))).otherwise(F.col("l"))
-    some = some.select("_id", "_key", "entity", near.alias("l"), F.slice("r", 1, CONTEXT_WORDS).alias("r"))
-    return some.select("_id", "_key", "entity", F.xxhash64("l", "r").alias("context"), F.array_distinct(F.concat("l", "r")).alias("terms"))
+    held = written(each.select("_key", entity.alias("value")).distinct(), "values")
+    # The same texts: as many, with the same sums of two hashes.
+    texts = held.groupBy("value").agg(F.count(F.lit(1)).alias("of_entity"), F.bit_xor("_key").alias("x"), F.bit_xor(F.xxhash64("_key")).alias("y"))
+    return held.join(texts.select("value", "of_entity", F.xxhash64("of_entity", "x", "y").alias("entity")), "value").select("_key", "entity", "of_entity").distinct()
+
+
+def outside() -> Column:
+    """_text with a space for each of _spans."""
+
+    def step(done: Column, s: Column) -> Column:
+        piece = F.substr("_text", done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
+        return F.struct(F.greatest(done["at"], s["stop"]).alias("at"), F.concat(done["out"], F.array(piece)).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate("_spans", begin, step, lambda d: F.concat(F.array_join(d["out"], " "), F.lit(" "), F.substr("_text", d["at"] + 1, F.length("_text"))))
+
+
+def distinct_words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
 
 
 def candidate_terms(found: DataFrame, n: int) -> DataFrame:
     """entity, term, together (c(t, e)) and of_entity (c(e)) for pairs that can disclose enough.
 
-    A term occurs in all documents that have it near any value, at least; where that alone keeps its disclosure
+    A term occurs in all texts that have it beside any value, at least; where that alone keeps its disclosure
     below the threshold, the corpus needn't be asked. So common words end here.
     """
-    every = written(contexts(found), "contexts")
-    once = every.groupBy("entity", "context").agg(F.first("terms").alias("terms"))
-    entities = once.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity")).filter(F.col("of_entity") >= MIN_CONTEXTS)
-    pairs = once.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= MIN_CONTEXTS)
-    least = every.select("_id", "_key", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("least"))
+    marked = lambda words, out: F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(out).alias("out")))
+    words = found.select("_key", F.explode(F.concat(marked(distinct_words(F.col("_text")), 0), marked(distinct_words(outside()), 1))).alias("w")).select("_key", "w.*")
+    words = written(words, "words")
+    holding, apart = F.sum(1 - F.col("out")), F.max("out")
+    pairs = words.join(entities_of(found), "_key").groupBy("entity", "of_entity", "term").agg(holding.alias("together"), apart.alias("out")).filter("out = 1").drop("out")
+    least = words.groupBy("term").agg(holding.alias("least"))
     most = disclosure(F.col("together"), F.col("least"), F.col("of_entity"), F.lit(float(n)))
-    return pairs.join(entities, "entity").join(least, "term").filter(most >= GENERALISE).drop("least")
+    return pairs.join(least, "term").filter(most >= GENERALISE).drop("least")
 
 
 def disclosure(together: Column, of_term: Column, of_entity: Column, n: Column) -> Column:
-    """PMI(t; e) / IC(e), at most 1; 0 for an entity in every document."""
+    """Smoothed PMI(t; e) / IC(e); 0 for an entity in every document."""
     ic = F.log2(n / of_entity)
-    pmi = F.log2(n * together / (of_term * of_entity))
-    return F.when(ic > 0, F.least(pmi / ic, F.lit(1.0))).otherwise(0.0)
+    pmi = F.log2(n * together / ((of_term + UNSEEN) * of_entity))
+    return F.when(ic > 0, F.try_divide(pmi, ic)).otherwise(0.0)
 
 
 def quoted(term: Column) -> Column:
@@ -159,13 +171,13 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     """
     base = find_base(docs.withColumns({"_id": F.col(f"`{id_col}`"), "_key": F.xxhash64(F.col(f"`{text}`"))}), text).withColumn("_spans", base_spans())
     n = docs.count()
-    candidates = written(candidate_terms(base.filter(F.size("_spans") > 0).select("_id", "_key", "_text", "_spans").dropDuplicates(["_id", "_key"]), n), "terms")
+    candidates = written(candidate_terms(written(base.filter(F.size("_spans") > 0).select("_key", "_text", "_spans").dropDuplicates(["_key"]), "found"), n), "terms")
     none = F.array().cast("array<struct<term:string,removed:boolean>>")
     if candidates.isEmpty():
         joined = base.withColumn("_terms", none)
     else:
         corpus = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
-        words = corpus.select("_id", "_key", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(TERM), F.lit(0)))).alias("term"))
+        words = corpus.select("_id", "_key", F.explode(distinct_words(F.col("_text"))).alias("term"))
         met = written(words.join(candidates.select("term").distinct(), "term").distinct(), "met")
         of_term = met.groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
         told = candidates.join(of_term, "term").withColumn("d", disclosure(F.col("together"), F.col("of_term"), F.col("of_entity"), F.lit(float(n))))

@@ -312,6 +312,16 @@ def test_terms_that_disclose(spark):
     assert all(rows[i][n["spans"]] == "" and rows[i][n["sanitised"]] == clean[i - 6] for i in range(6, 206))
 
 
+def test_terms_that_disclose_a_value_of_one_text(spark):
+    """A value found once is scored too, by words anywhere in its text."""
+    far = "the man wrote words " * 60
+    rows = [f"Moriarty {far} m@x.org", *(f"clean{i} text the man wrote words" for i in range(2000))]
+    out, n = pii.find_personal_data(docs(spark, rows))
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[0][n["spans"]].startswith("term:0:8,email:") and got[0][n["sanitised"]] == f"[NAME] {far} [EMAIL]"
+    assert all(got[i][n["sanitised"]] == rows[i] for i in range(1, 2001))
+
+
 # 3
 
 
