@@ -11,19 +11,21 @@ entity e. The corpus tells how much a term t near it discloses:
 
     IC(e) = log2(N / c(e)),   PMI(t; e) = log2(N c(t, e) / ((c(t) + UNSEEN) c(e))),   disclosure = PMI / IC
 
-with c(e) the texts with e, c(t, e) those that hold t too, anywhere, c(t) the documents with t and N all
-rows. Near 1 the term gives the entity away whenever it occurs; UNSEEN stands for an occurrence elsewhere that
-the corpus doesn't show, so that one meeting says less than many. Every found value is scored, also one
+with c(e) the distinct texts with e, c(t, e) those that hold t too, anywhere, c(t) all with t and N all there
+are, so copies of a text count once everywhere. Near 1 the term gives the entity away whenever it occurs;
+UNSEEN stands for an occurrence elsewhere that the corpus doesn't show, so that one meeting says less than
+many. Every found value is scored, also one
 of a single text, against every word of its texts that stands outside values somewhere in them. Terms with a
 disclosure of GENERALISE or more are replaced by their kind of word, from REMOVE on they are removed, in every
 document.
 
 Only texts with found values emit pairs; values found in the same texts disclose alike and make one pair with a
-term. The whole corpus' words meet the candidate terms in one join, which counts documents and finds where to
-apply in one go; Spark broadcasts the terms only below its own size limit. Counts combine before the shuffle.
+term. The corpus' words are counted over distinct texts, and counts combine before the shuffle. A telling term that
+has no text but those is applied from their words; only for the others the corpus is read again, and Spark
+broadcasts these terms only below its own size limit.
 
-Defined results: null is the empty text and stays null in the sanitised column; rows with the same id and text
-are one document in counts and are returned each; a null id is an id like any other; overlapping spans are
+Defined results: null is the empty text and stays null in the sanitised column; rows with the same text
+are one text in counts and are returned each; a null id is an id like any other; overlapping spans are
 all listed, and the sanitised text takes the first; an empty table gives an empty table; extra columns pass
 through, and result columns that clash take a free name.
 """
@@ -136,24 +138,27 @@ def distinct_words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
 
 
-def candidate_terms(found: DataFrame, n: int) -> DataFrame:
-    """entity, term, together (c(t, e)) and of_entity (c(e)) for pairs that can disclose enough.
+def words_of(found: DataFrame) -> DataFrame:
+    """_key, term, out: the words of each text (out 0), and again those that stand outside values (out 1)."""
+    marked = lambda words, out: F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(out).alias("out")))
+    return found.select("_key", F.explode(F.concat(marked(distinct_words(F.col("_text")), 0), marked(distinct_words(outside()), 1))).alias("w")).select("_key", "w.*")
+
+
+def candidate_terms(found: DataFrame, words: DataFrame, n: int) -> DataFrame:
+    """entity, term, together (c(t, e)), of_entity (c(e)) and least (texts of found with t) for pairs that can disclose enough.
 
     A term occurs in all texts that have it beside any value, at least; where that alone keeps its disclosure
     below the threshold, the corpus needn't be asked. So common words end here.
     """
-    marked = lambda words, out: F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(out).alias("out")))
-    words = found.select("_key", F.explode(F.concat(marked(distinct_words(F.col("_text")), 0), marked(distinct_words(outside()), 1))).alias("w")).select("_key", "w.*")
-    words = written(words, "words")
     holding, apart = F.sum(1 - F.col("out")), F.max("out")
     pairs = words.join(entities_of(found), "_key").groupBy("entity", "of_entity", "term").agg(holding.alias("together"), apart.alias("out")).filter("out = 1").drop("out")
     least = words.groupBy("term").agg(holding.alias("least"))
     most = disclosure(F.col("together"), F.col("least"), F.col("of_entity"), F.lit(float(n)))
-    return pairs.join(least, "term").filter(most >= GENERALISE).drop("least")
+    return pairs.join(least, "term").filter(most >= GENERALISE)
 
 
 def disclosure(together: Column, of_term: Column, of_entity: Column, n: Column) -> Column:
-    """Smoothed PMI(t; e) / IC(e); 0 for an entity in every document."""
+    """Smoothed PMI(t; e) / IC(e); 0 for an entity in every text."""
     ic = F.log2(n / of_entity)
     pmi = F.log2(n * together / ((of_term + UNSEEN) * of_entity))
     return F.when(ic > 0, F.try_divide(pmi, ic)).otherwise(0.0)
@@ -163,27 +168,36 @@ def quoted(term: Column) -> Column:
     return F.concat(F.lit(r"\Q"), term, F.lit(r"\E"))
 
 
+def text_key(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """docs with the sanitised text and the spans; also the result columns' names.
 
     Names: n_email, n_ip, n_card, n_phone, base_sha256, spans, terms (of each term span its disclosure's
     consequence) and sanitised.
     """
-    base = find_base(docs.withColumns({"_id": F.col(f"`{id_col}`"), "_key": F.xxhash64(F.col(f"`{text}`"))}), text).withColumn("_spans", base_spans())
-    n = docs.count()
-    candidates = written(candidate_terms(written(base.filter(F.size("_spans") > 0).select("_key", "_text", "_spans").dropDuplicates(["_key"]), "found"), n), "terms")
+    base = find_base(docs.withColumns({"_id": F.col(f"`{id_col}`"), "_key": text_key(text)}), text).withColumn("_spans", base_spans())
+    n = docs.select(text_key(text).alias("_key")).distinct().count()
+    found = written(base.filter(F.size("_spans") > 0).select("_key", "_text", "_spans").dropDuplicates(["_key"]), "found")
+    near = written(words_of(found), "words")
+    candidates = written(candidate_terms(found, near, n), "terms")
     none = F.array().cast("array<struct<term:string,removed:boolean>>")
     if candidates.isEmpty():
         joined = base.withColumn("_terms", none)
     else:
-        corpus = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
-        words = corpus.select("_id", "_key", F.explode(distinct_words(F.col("_text"))).alias("term"))
-        met = written(words.join(candidates.select("term").distinct(), "term").distinct(), "met")
-        of_term = met.groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
+        corpus = docs.select(F.col(f"`{id_col}`").alias("_id"), text_key(text).alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
+        each = lambda rows: rows.select("_key", F.explode(distinct_words(F.col("_text"))).alias("term"))
+        of_term = each(corpus.select("_key", "_text").dropDuplicates(["_key"])).groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
         told = candidates.join(of_term, "term").withColumn("d", disclosure(F.col("together"), F.col("of_term"), F.col("of_entity"), F.lit(float(n))))
-        telling = told.groupBy("term").agg(F.max("d").alias("d")).filter(F.col("d") >= GENERALISE).select("term", (F.col("d") >= REMOVE).alias("removed"))
+        telling = told.groupBy("term").agg(F.max("d").alias("d"), F.max(F.col("of_term") > F.col("least")).alias("elsewhere")).filter(F.col("d") >= GENERALISE)
+        telling = written(telling.select("term", (F.col("d") >= REMOVE).alias("removed"), "elsewhere"), "telling")
+        here = near.filter("out = 0").select("_key", "term").join(telling.filter("NOT elsewhere"), "term")
+        there = each(corpus).join(telling.filter("elsewhere"), "term")
+        met = written(here.unionByName(there).groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("term", "removed"))).alias("_telling")), "met")
         # A written table has a known size, so Spark broadcasts it if that is small, and else moves the texts.
-        mine = written(met.join(telling, "term").groupBy(F.col("_id").alias("_of_id"), F.col("_key").alias("_of_key")).agg(F.sort_array(F.collect_set(F.struct("term", "removed"))).alias("_telling")), "telling")
+        mine = written(corpus.select(F.col("_id").alias("_of_id"), F.col("_key").alias("_of_key")).distinct().join(met.withColumnRenamed("_key", "_of_key"), "_of_key"), "mine")
         joined = base.join(mine, F.col("_id").eqNullSafe(F.col("_of_id")) & (F.col("_key") == F.col("_of_key")), "left")
         joined = joined.withColumn("_terms", F.coalesce("_telling", none)).drop("_of_id", "_of_key", "_telling")
     # The longest alternatives need no order: terms are whole words, so at most one fits a place.

@@ -322,6 +322,16 @@ def test_terms_that_disclose_a_value_of_one_text(spark):
     assert all(got[i][n["sanitised"]] == rows[i] for i in range(1, 2001))
 
 
+def test_copies_do_not_hide_terms(spark):
+    """Copies of the texts of a value count once for the value, the term and the corpus."""
+    told = [f"Moriarty wrote words {i} m@x.org" for i in range(3)] * 30
+    clean = [f"clean{i} text the man wrote words" for i in range(300)]
+    out, n = pii.find_personal_data(docs(spark, [*told, *clean]))
+    got = {r["doc_id"]: r[n["sanitised"]] for r in out.collect()}
+    assert all(got[i] == f"[NAME] wrote words {i % 3} [EMAIL]" for i in range(90))
+    assert all(got[90 + i] == clean[i] for i in range(300))
+
+
 # 3
 
 
