@@ -16,13 +16,16 @@ are, so copies of a text count once everywhere. Near 1 the term gives the entity
 UNSEEN stands for an occurrence elsewhere that the corpus doesn't show, so that one meeting says less than
 many. Every found value is scored, also one
 of a single text, against every word of its texts that stands outside values somewhere in them. Terms with a
-disclosure of GENERALISE or more are replaced by their kind of word, from REMOVE on they are removed, in every
-document.
+disclosure of GENERALISE or more are replaced by their kind of word, from REMOVE on they are removed: in every text
+with found values, and in other texts if the share c(t, e) / c(t) of a term's texts that hold the value is surely
+SURE or more (the lower end of Wilson's interval at SURE_Z), since a few chance meetings make rare words telling in
+the texts with the value but are no evidence about a text without any.
 
 Only texts with found values emit pairs; values found in the same texts disclose alike and make one pair with a
-term. The corpus' words are counted over distinct texts, and counts combine before the shuffle. A telling term that
-has no text but those is applied from their words; only for the others the corpus is read again, and Spark
-broadcasts these terms only below its own size limit.
+term. The corpus is read once for words: those of telling candidates are sieved by a bitmap of fixed size (a chance
+hit only adds a row), and what is left, a row for a text and a candidate, gives both c(t) over distinct texts and
+the texts to change. Texts themselves move only if the texts to change outgrow Spark's broadcast limit; a text that
+many rows share is salted there.
 
 Defined results: null is the empty text and stays null in the sanitised column; rows with the same text
 are one text in counts and are returned each; a null id is an id like any other; overlapping spans are
@@ -32,6 +35,10 @@ through, and result columns that clash take a free name.
 
 from __future__ import annotations
 
+import json
+import struct
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +56,15 @@ TERM_KIND = "term"
 
 TERM = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]+(?![\p{L}\p{N}])"
 UNSEEN = 1
+SURE, SURE_Z = 0.5, 1.2816  # one-sided 90 %
 GENERALISE, REMOVE = 0.9, 0.97
 
+#: Bits of the candidates' sieve, whatever their number: beyond millions of candidates it lets more through, to the same result.
+SIEVE_BITS = 1 << 22
+BITMAP_BITS = 8 * 4096  # of one bitmap_construct_agg
+#: Rows of one text that meet its terms in one task.
+SALT_ROWS = 100_000
+
 SPANS = "array<struct<start:int,stop:int>>"
 
 
@@ -91,9 +105,9 @@ def spans_of(text: Column, pattern: Column | str, matches: Column, ok) -> Column
     return F.when(F.size(matches) > 0, F.aggregate(each, begin, step, lambda d: d["spans"])).otherwise(F.array().cast(SPANS))
 
 
-def find_base(docs: DataFrame, text: str) -> DataFrame:
-    """docs with an array of spans for each kind: _email, _ip, _card, _phone."""
-    out = docs.withColumn("_text", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+def find_base(rows: DataFrame) -> DataFrame:
+    """rows (with _text) with an array of spans for each kind: _email, _ip, _card, _phone."""
+    out = rows
     maybe = {"email": F.instr("_text", "@") > 0, "ip": F.instr("_text", ".") > 0, "card": F.lit(True), "phone": F.instr("_text", "+") > 0}
     hit = lambda k: F.when(maybe[k], F.regexp_extract_all("_text", F.lit(PATTERNS[k]), F.lit(0))).otherwise(F.array().cast("array<string>"))
     out = out.select("*", *[hit(k).alias(f"_m_{k}") for k in PATTERNS])
@@ -164,42 +178,60 @@ def disclosure(together: Column, of_term: Column, of_entity: Column, n: Column)
     return F.when(ic > 0, F.try_divide(pmi, ic)).otherwise(0.0)
 
 
+def least_share(some: Column, of: Column) -> Column:
+    """The lower end of Wilson's interval of the share some / of."""
+    share, z2 = some / of, SURE_Z**2
+    return (share + z2 / (2 * of) - SURE_Z * F.sqrt((share * (1 - share) + z2 / (4 * of)) / of)) / (1 + z2 / of)
+
+
 def quoted(term: Column) -> Column:
     return F.concat(F.lit(r"\Q"), term, F.lit(r"\E"))
 
 
-def text_key(text: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+def sieve(terms: DataFrame) -> Callable[[Column], Column]:
+    """A test of words against a bitmap of the terms' hashes, which passes every term and few other words."""
+    at = lambda term: F.pmod(F.xxhash64(term), F.lit(SIEVE_BITS))
+    maps = terms.select(at(F.col("term")).alias("at")).groupBy(F.expr(f"at div {BITMAP_BITS}").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits"))
+    words = [0] * (SIEVE_BITS // 64)
+    each = BITMAP_BITS // 64
+    for n, bits in maps.collect():  # SIEVE_BITS / BITMAP_BITS rows at most
+        words[n * each : (n + 1) * each] = struct.unpack(f"<{each}q", bits)
+    # A constant, folded once into an array.
+    held = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+    return lambda term: F.call_function("shiftright", F.get(held, F.call_function("div", at(term), F.lit(64)).cast("int")), (at(term) % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict[str, str]]:
+def find_personal_data(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """docs with the sanitised text and the spans; also the result columns' names.
 
-    Names: n_email, n_ip, n_card, n_phone, base_sha256, spans, terms (of each term span its disclosure's
-    consequence) and sanitised.
+    Names: n_email, n_ip, n_card, n_phone, base_sha256, spans (base and terms') and sanitised.
     """
-    base = find_base(docs.withColumns({"_id": F.col(f"`{id_col}`"), "_key": text_key(text)}), text).withColumn("_spans", base_spans())
-    n = docs.select(text_key(text).alias("_key")).distinct().count()
+    # The input's columns travel in one struct, so no name of theirs meets ours.
+    whole = F.col(f"`{text}`").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), whole.isNull().alias("_null"), F.coalesce(whole, F.lit("")).alias("_text"))
+    rows = rows.withColumn("_key", F.xxhash64("_text"))
+    base = find_base(rows).withColumn("_spans", base_spans())
+    n, most = rows.groupBy("_key").count().agg(F.count(F.lit(1)), F.max("count")).head()
     found = written(base.filter(F.size("_spans") > 0).select("_key", "_text", "_spans").dropDuplicates(["_key"]), "found")
     near = written(words_of(found), "words")
     candidates = written(candidate_terms(found, near, n), "terms")
+
+    may_tell = sieve(candidates.select("term").distinct())
+    words = rows.select("_key", F.explode(F.regexp_extract_all("_text", F.lit(TERM), F.lit(0))).alias("term")).filter(may_tell(F.col("term")))
+    held = written(words.distinct(), "held")
+    of_term = held.groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
+    told = candidates.join(of_term, "term").withColumn("d", disclosure(F.col("together"), F.col("of_term"), F.col("of_entity"), F.lit(float(n)))).filter(F.col("d") >= GENERALISE)
+    telling = told.groupBy("term").agg(F.max("d").alias("d"), F.max(least_share(F.col("together"), F.col("of_term")) >= SURE).alias("everywhere"))
+    telling = written(telling.select("term", (F.col("d") >= REMOVE).alias("removed"), "everywhere"), "telling")
+    here = near.filter("out = 0").select("_key", "term").join(telling, "term").drop("everywhere")
+    there = held.join(telling.filter("everywhere"), "term").drop("everywhere")
+    met = written(here.unionByName(there).groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("term", "removed"))).alias("_telling")), "met")
+    # A written table has a known size, so Spark broadcasts it if that is small, and else moves the texts.
+    salts = 1 + (most or 0) // SALT_ROWS
+    met = met.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     none = F.array().cast("array<struct<term:string,removed:boolean>>")
-    if candidates.isEmpty():
-        joined = base.withColumn("_terms", none)
-    else:
-        corpus = docs.select(F.col(f"`{id_col}`").alias("_id"), text_key(text).alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
-        each = lambda rows: rows.select("_key", F.explode(distinct_words(F.col("_text"))).alias("term"))
-        of_term = each(corpus.select("_key", "_text").dropDuplicates(["_key"])).groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
-        told = candidates.join(of_term, "term").withColumn("d", disclosure(F.col("together"), F.col("of_term"), F.col("of_entity"), F.lit(float(n))))
-        telling = told.groupBy("term").agg(F.max("d").alias("d"), F.max(F.col("of_term") > F.col("least")).alias("elsewhere")).filter(F.col("d") >= GENERALISE)
-        telling = written(telling.select("term", (F.col("d") >= REMOVE).alias("removed"), "elsewhere"), "telling")
-        here = near.filter("out = 0").select("_key", "term").join(telling.filter("NOT elsewhere"), "term")
-        there = each(corpus).join(telling.filter("elsewhere"), "term")
-        met = written(here.unionByName(there).groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("term", "removed"))).alias("_telling")), "met")
-        # A written table has a known size, so Spark broadcasts it if that is small, and else moves the texts.
-        mine = written(corpus.select(F.col("_id").alias("_of_id"), F.col("_key").alias("_of_key")).distinct().join(met.withColumnRenamed("_key", "_of_key"), "_of_key"), "mine")
-        joined = base.join(mine, F.col("_id").eqNullSafe(F.col("_of_id")) & (F.col("_key") == F.col("_of_key")), "left")
-        joined = joined.withColumn("_terms", F.coalesce("_telling", none)).drop("_of_id", "_of_key", "_telling")
+    joined = base.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(met, ["_key", "_salt"], "left")
+    joined = joined.withColumn("_terms", F.coalesce("_telling", none))
     # The longest alternatives need no order: terms are whole words, so at most one fits a place.
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("_terms", lambda t: quoted(t["term"])), "|"), F.lit(r")(?![\p{L}\p{N}])"))
     joined = joined.withColumn("_pattern", F.when(F.size("_terms") > 0, pattern))
@@ -208,11 +240,11 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     joined = joined.withColumn("_more", more).withColumn("_all", F.array_sort(F.concat("_spans", tagged(TERM_KIND, len(PATTERNS), F.col("_more")))))
     names = {k: free_name(docs, k) for k in (*(f"n_{k}" for k in PATTERNS), "base_sha256", "spans", "sanitised")}
     out = joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col("_row").getField(c).alias(c) for c in docs.columns],
         *[F.size(f"_{k}").cast("long").alias(names[f"n_{k}"]) for k in PATTERNS],
         F.sha2(written_out(F.col("_spans")), 256).alias(names["base_sha256"]),
         written_out(F.col("_all")).alias(names["spans"]),
-        F.when(F.col(f"`{text}`").isNotNull(), sanitised()).alias(names["sanitised"]),
+        F.when(~F.col("_null"), sanitised()).alias(names["sanitised"]),
     )
     return out, names
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+
+import regex
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -108,3 +111,40 @@ def personal_data(text):
         (PHONE, lambda m: 9 <= len(digits(m)) <= 15),
     )
     return sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(checks) for m in p.finditer(text) if ok(m.group()))
+
+
+TERM = regex.compile(r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]+(?![\p{L}\p{N}])")
+
+
+def term_spans(texts, unseen=1, least=0.9, sure=0.5, z=1.2816):
+    """Of each text the (start, end) of the words that disclose a value, by smoothed PMI over the distinct texts."""
+    whole = sorted({t or "" for t in texts})
+    words, outside, values = {}, {}, {}
+    for t in whole:
+        spans = personal_data(t)
+        words[t] = set(TERM.findall(t))
+        if not spans:
+            continue
+        values[t] = {(k, re.sub("[^0-9]", "", t[a:b]) if k in (2, 3) else t[a:b].lower()) for a, k, b in spans}
+        at, left = 0, []
+        for a, _, b in spans:
+            left.append(t[at:a] if a > at else "")
+            at = max(at, b)
+        outside[t] = set(TERM.findall(" ".join([*left, t[at:]])))
+    of_term = Counter(w for t in whole for w in words[t])
+    holders = defaultdict(set)
+    for t, vs in values.items():
+        for v in vs:
+            holders[v].add(t)
+    anywhere, elsewhere = set(), set()
+    for held in {frozenset(h) for h in holders.values()}:
+        together = Counter(w for t in held for w in words[t])
+        for w in set().union(*(outside[t] for t in held)):
+            n, c, both, e = len(whole), of_term[w], together[w], len(held)
+            ic = math.log2(n / e)
+            if ic > 0 and math.log2(n * both / ((c + unseen) * e)) / ic >= least:
+                anywhere.add(w)
+                p = both / c
+                if (p + z * z / (2 * c) - z * math.sqrt((p * (1 - p) + z * z / (4 * c)) / c)) / (1 + z * z / c) >= sure:
+                    elsewhere.add(w)
+    return {t: [m.span() for m in TERM.finditer(t) if m.group() in (anywhere if t in values else elsewhere)] for t in whole}

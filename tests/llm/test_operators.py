@@ -302,6 +302,30 @@ def test_personal_data(spark, texts):
     assert pii.find_personal_data(docs(spark, []))[0].count() == 0
 
 
+def test_terms_are_those_of_brute_force(spark, sf_dir):
+    """Smoothed PMI over all documents, and over texts that share values and words."""
+    rng = random.Random(8)
+    shared = [" ".join([*rng.sample([f"name{i}" for i in range(12)], 3), *rng.sample([f"pad{i}" for i in range(90)], 12), *rng.sample(["a@b.cc", "9.8.7.6", "+1 234 555 1234", "Q@b.cc", "", ""], 2)]) for _ in range(60)]
+    plain = [" ".join(rng.sample([f"pad{i}" for i in range(90)], 9)) for _ in range(1500)]
+    every = [r[0] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    for some in ([*shared, *plain, *shared[:9], *ODD], every):
+        out, n = pii.find_personal_data(docs(spark, some))
+        want = brute.term_spans(some)
+        found = 0
+        for r in out.collect():
+            terms = [tuple(map(int, x.split(":")[1:])) for x in r[n["spans"]].split(",") if x.startswith("term:")]
+            assert terms == want[some[r["doc_id"]] or ""], r["doc_id"]
+            found += len(terms)
+        assert found > 10 or some is every
+
+
+def test_internal_names_are_free(spark):
+    rows = [(1, "mail a@b.cc now", "x", "y", 5), (2, None, "z", None, 6)]
+    out, n = pii.find_personal_data(spark.createDataFrame(rows, "_id long, text string, _text string, _spans string, _key int"))
+    got = sorted(tuple(r[c] for c in ("_id", "text", "_text", "_spans", "_key")) for r in out.collect())
+    assert got == rows and [r[n["n_email"]] for r in out.orderBy("_id").collect()] == [1, 0]
+
+
 def test_terms_that_disclose(spark):
     told = [f"pad {i} words the man Moriarty wrote from m@x.org about case{i} and more{i}" for i in range(6)]
     clean = [f"clean{i} text about the man and what wrote words from pad" for i in range(200)]
