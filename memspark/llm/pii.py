@@ -128,13 +128,15 @@ def base_spans() -> Column:
 
 def entities_of(found: DataFrame) -> DataFrame:
     """_key, entity, of_entity (c(e)): the values of each text, those of the same texts as one. found has _key, _text, _spans."""
-    each = found.select("_key", "_text", F.explode("_spans").alias("s")).select("_key", "_text", "s.*")
-    value = F.lower(F.substr("_text", F.col("start") + 1, F.col("stop") - F.col("start")))
-    entity = F.xxhash64("kind", F.when(F.col("kind").isin("card", "phone"), F.regexp_replace(value, "[^0-9]", "")).otherwise(value))
-    held = written(each.select("_key", entity.alias("value")).distinct(), "values")
+
+    def value(s: Column) -> Column:
+        said = F.lower(F.substr("_text", s["start"] + 1, s["stop"] - s["start"]))
+        return F.xxhash64(s["kind"], F.when(s["kind"].isin("card", "phone"), F.regexp_replace(said, "[^0-9]", "")).otherwise(said))
+
+    held = written(found.select("_key", F.explode(F.array_distinct(F.transform("_spans", value))).alias("value")), "values")
     # The same texts: as many, with the same sums of two hashes.
     texts = held.groupBy("value").agg(F.count(F.lit(1)).alias("of_entity"), F.bit_xor("_key").alias("x"), F.bit_xor(F.xxhash64("_key")).alias("y"))
-    return held.join(texts.select("value", "of_entity", F.xxhash64("of_entity", "x", "y").alias("entity")), "value").select("_key", "entity", "of_entity").distinct()
+    return written(held.join(texts.select("value", "of_entity", F.xxhash64("of_entity", "x", "y").alias("entity")), "value").select("_key", "entity", "of_entity").distinct(), "entities")
 
 
 def outside() -> Column:
@@ -153,22 +155,27 @@ def distinct_words(text: Column) -> Column:
 
 
 def words_of(found: DataFrame) -> DataFrame:
-    """_key, term, out: the words of each text (out 0), and again those that stand outside values (out 1)."""
-    marked = lambda words, out: F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(out).alias("out")))
-    return found.select("_key", F.explode(F.concat(marked(distinct_words(F.col("_text")), 0), marked(distinct_words(outside()), 1))).alias("w")).select("_key", "w.*")
+    """_key, term, whole, out: the words of each text; whole is 1 for words of the text, out for words of what is outside values."""
+    marked = lambda words, whole, out: F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(whole).alias("whole"), F.lit(out).alias("out")))
+    both = found.select("_key", distinct_words(F.col("_text")).alias("w"), distinct_words(outside()).alias("o"))
+    each = F.concat(marked(F.array_intersect("w", "o"), 1, 1), marked(F.array_except("w", "o"), 1, 0), marked(F.array_except("o", "w"), 0, 1))
+    return both.select("_key", F.explode(each).alias("w")).select("_key", "w.*")
 
 
-def candidate_terms(found: DataFrame, words: DataFrame, n: int) -> DataFrame:
+def candidate_terms(words: DataFrame, entities: DataFrame, n: int) -> DataFrame:
     """entity, term, together (c(t, e)), of_entity (c(e)) and least (texts of found with t) for pairs that can disclose enough.
 
     A term occurs in all texts that have it beside any value, at least; where that alone keeps its disclosure
-    below the threshold, the corpus needn't be asked. So common words end here.
+    below the threshold, the corpus needn't be asked. So common words end here: no value discloses through a term
+    with least + UNSEEN above c(e) ^ GENERALISE * N ^ (1 - GENERALISE).
     """
-    holding, apart = F.sum(1 - F.col("out")), F.max("out")
-    pairs = words.join(entities_of(found), "_key").groupBy("entity", "of_entity", "term").agg(holding.alias("together"), apart.alias("out")).filter("out = 1").drop("out")
-    least = words.groupBy("term").agg(holding.alias("least"))
+    most_of = entities.agg(F.max("of_entity")).head()[0] or 0
+    least = words.groupBy("term").agg(F.sum("whole").alias("least"))
+    few = written(least.filter(F.col("least") + UNSEEN <= most_of**GENERALISE * float(n) ** (1 - GENERALISE) * (1 + 1e-9)), "few")
+    may = sieve(few)
+    pairs = words.filter(may(F.col("term"))).join(entities, "_key").groupBy("entity", "of_entity", "term").agg(F.sum("whole").alias("together"), F.max("out").alias("out")).filter("out = 1").drop("out")
     most = disclosure(F.col("together"), F.col("least"), F.col("of_entity"), F.lit(float(n)))
-    return pairs.join(least, "term").filter(most >= GENERALISE)
+    return pairs.join(few, "term").filter(most >= GENERALISE)
 
 
 def disclosure(together: Column, of_term: Column, of_entity: Column, n: Column) -> Column:
@@ -206,15 +213,16 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> tuple[DataFrame,
 
     Names: n_email, n_ip, n_card, n_phone, base_sha256, spans (base and terms') and sanitised.
     """
-    # The input's columns travel in one struct, so no name of theirs meets ours.
+    # The input's other columns travel in one struct, so no name of theirs meets ours.
     whole = F.col(f"`{text}`").cast("string")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), whole.isNull().alias("_null"), F.coalesce(whole, F.lit("")).alias("_text"))
+    others = [c for c in docs.columns if c.lower() != text.lower()]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), whole.isNull().alias("_null"), F.coalesce(whole, F.lit("")).alias("_text"))
     rows = rows.withColumn("_key", F.xxhash64("_text"))
     base = find_base(rows).withColumn("_spans", base_spans())
     n, most = rows.groupBy("_key").count().agg(F.count(F.lit(1)), F.max("count")).head()
     found = written(base.filter(F.size("_spans") > 0).select("_key", "_text", "_spans").dropDuplicates(["_key"]), "found")
     near = written(words_of(found), "words")
-    candidates = written(candidate_terms(found, near, n), "terms")
+    candidates = written(candidate_terms(near, entities_of(found), n), "terms")
 
     may_tell = sieve(candidates.select("term").distinct())
     words = rows.select("_key", F.explode(F.regexp_extract_all("_text", F.lit(TERM), F.lit(0))).alias("term")).filter(may_tell(F.col("term")))
@@ -223,7 +231,7 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> tuple[DataFrame,
     told = candidates.join(of_term, "term").withColumn("d", disclosure(F.col("together"), F.col("of_term"), F.col("of_entity"), F.lit(float(n)))).filter(F.col("d") >= GENERALISE)
     telling = told.groupBy("term").agg(F.max("d").alias("d"), F.max(least_share(F.col("together"), F.col("of_term")) >= SURE).alias("everywhere"))
     telling = written(telling.select("term", (F.col("d") >= REMOVE).alias("removed"), "everywhere"), "telling")
-    here = near.filter("out = 0").select("_key", "term").join(telling, "term").drop("everywhere")
+    here = near.filter("whole = 1").select("_key", "term").join(telling, "term").drop("everywhere")
     there = held.join(telling.filter("everywhere"), "term").drop("everywhere")
     met = written(here.unionByName(there).groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("term", "removed"))).alias("_telling")), "met")
     # A written table has a known size, so Spark broadcasts it if that is small, and else moves the texts.
@@ -240,7 +248,7 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> tuple[DataFrame,
     joined = joined.withColumn("_more", more).withColumn("_all", F.array_sort(F.concat("_spans", tagged(TERM_KIND, len(PATTERNS), F.col("_more")))))
     names = {k: free_name(docs, k) for k in (*(f"n_{k}" for k in PATTERNS), "base_sha256", "spans", "sanitised")}
     out = joined.select(
-        *[F.col("_row").getField(c).alias(c) for c in docs.columns],
+        *[F.col("_row").getField(c).alias(c) if c in others else F.when(~F.col("_null"), F.col("_text")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns],
         *[F.size(f"_{k}").cast("long").alias(names[f"n_{k}"]) for k in PATTERNS],
         F.sha2(written_out(F.col("_spans")), 256).alias(names["base_sha256"]),
         written_out(F.col("_all")).alias(names["spans"]),
