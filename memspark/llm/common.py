@@ -61,6 +61,13 @@ def _lengths(col: pa.Array):
     return pc.fill_null(pc.binary_length(col), 0)
 
 
+def filesystem(uri: str):
+    """A pyarrow file system and the path in it; local paths may come without a scheme."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -75,16 +82,17 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def annotate(
     df: DataFrame,
-    f: Callable[[pa.Array], dict[str, object]],
+    f: Callable[[pa.Array], dict[str, object]] | None,
     fields: str,
     into: str,
     keep: list[str] | None = None,
     text: str = "text",
     slice_bytes: int = 1 << 20,
+    start: Callable[[], Callable[[pa.Array], dict[str, object]]] | None = None,
 ) -> tuple[DataFrame, str]:
     """Add one struct column that f computes from the text column, slice by slice of Arrow batches.
 
-    keep: columns that are passed through (all by default), so that a caller who needs no text back
+    start gives each task an f of its own. keep: columns that are passed through (all by default), so that a caller who needs no text back
     doesn't pay for it. Returns the DataFrame and the struct's name, which never clashes.
     """
     keep = df.columns if keep is None else keep
@@ -94,9 +102,10 @@ def annotate(
     out_schema = rows.drop(source).schema.add(name, T.StructType.fromDDL(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = start() if start else f
         for batch in batches:
             for part in in_slices(batch, source, slice_bytes):
-                got = f(part.column(source))
+                got = of(part.column(source))
                 struct = pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in got.values()], names=list(got))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), struct], names=[*part.schema.names[:-1], name])
 

@@ -2,9 +2,18 @@
 
 In a model whose pieces hold the white-space marker at their front only, no merge crosses the place
 before a marker. So a text falls into chunks - spaces, then what follows up to the next space - and each
-distinct chunk is segmented by the library once, in a table that a Python worker keeps and bounds;
-the chunks' ids come back by position. A model with pieces that cross markers is refused this path and
-encodes whole texts.
+distinct chunk of the corpus is segmented by the library once:
+
+1. Every input partition asks for the distinct chunks of each of its slices of texts, dealt into buckets by hash.
+2. A bucket's requests meet in one task, which segments each chunk the first time that it is asked for and answers
+   every request. Only distinct chunks of slices move, never texts.
+3. The answers are written by input partition to the shared folder. Each partition reads its own, and the ids come
+   back by position. Where a partition finds other texts than it asked for (a plan that isn't deterministic), it
+   segments the missing chunks itself.
+
+Memory: a slice's distinct chunks in a reading task, and a bucket's share of the vocabulary in a segmenting one;
+there are as many buckets as shuffle partitions, MIN_BUCKETS at least. A model with pieces that cross markers is
+refused this path and encodes whole texts.
 
 Defined results: null is the empty text and has no ids; an empty table gives an empty table; repeated
 rows are encoded each; texts are never cut; extra columns pass through.
@@ -14,20 +23,29 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate
+from .common import annotate, filesystem, new_path
 
 MARK = "▁"
-TABLE_ROWS = 400_000
 CHUNK = re.compile(r" +[^ ]*")
-#: A chunk this long gains nothing from being kept.
-LONG = 200
+#: Characters of text that share a set of distinct chunks.
+SLICE_CHARS = 32 << 20
+MIN_BUCKETS = 256
+#: Between chunks without their first space: inside a chunk no space follows anything else.
+BETWEEN = "\n "
+BATCH_ROWS = 64
 
 FIELDS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -47,35 +65,36 @@ class Codec:
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         #: Text goes through unchanged but for the dummy prefix, and no piece crosses a marker.
         self.by_chunk = not any(MARK in p.lstrip(MARK) for p in pieces) and self.plain()
-        self.table: dict[str, list[int]] = {}
+        self.id_type = np.dtype("<u2" if len(pieces) <= 1 << 16 else "<u4")
 
     def plain(self) -> bool:
         """Whether the model keeps text as it is and adds one marker before it."""
         return all("".join(self.model.encode(x, out_type=str)) == y for x, y in (("a", MARK + "a"), (" a", MARK * 2 + "a"), ("a  b ", MARK + "a" + MARK * 2 + "b" + MARK)))
 
-    def encode(self, text: str) -> list[int]:
-        if not self.by_chunk:
-            return self.model.encode(text)
+    def chunks(self, text: str) -> list[str]:
+        """The chunks of a text that isn't empty, without their first space: the library puts the first marker there by itself."""
+        return [c[1:] for c in CHUNK.findall(" " + text.replace(MARK, " "))]
+
+    def segment(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk."""
+        ids = self.model.encode(chunks, num_threads=1)
+        lone = [self.model.piece_to_id(MARK)]  # the library puts no marker before an empty text
+        return [np.array(i if c else lone, dtype=self.id_type).tobytes() for c, i in zip(chunks, ids, strict=True)]
+
+    def encode(self, text: str, table: dict[str, bytes]) -> list[int]:
+        """The text's ids by a table of chunks, which gets those that it lacks."""
         if not text:
             return []
-        chunks = CHUNK.findall(" " + text.replace(MARK, " "))
-        table = self.table
-        new = list({c for c in chunks if c not in table})
-        if new:
-            if len(table) + len(new) > TABLE_ROWS:
-                table.clear()
-                new = list(set(chunks))
-            # The library puts the first marker there by itself.
-            table.update(zip(new, self.model.encode([c[1:] for c in new], num_threads=1), strict=True))
-            if " " in table:
-                table[" "] = [self.model.piece_to_id(MARK)]  # ... but not before an empty text
-        ids: list[int] = []
-        for c in chunks:
-            ids += table[c]
-        for c in new:
-            if len(c) > LONG:
-                table.pop(c, None)
-        return ids
+        if not self.by_chunk:
+            return self.model.encode(text)
+        chunks = self.chunks(text)
+        try:
+            found = b"".join(map(table.__getitem__, chunks))
+        except KeyError:
+            new = [c for c in dict.fromkeys(chunks) if c not in table]
+            table.update(zip(new, self.segment(new), strict=True))
+            found = b"".join(map(table.__getitem__, chunks))
+        return np.frombuffer(found, dtype=self.id_type).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids) if ids else ""
@@ -85,19 +104,114 @@ def sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def encode_texts(docs: DataFrame, model_path: str, keep: list[str] | None = None, text: str = "text", ids: bool = True) -> tuple[DataFrame, str]:
-    """docs with a struct of the ids (if wanted), their number, and digests of ids and decoded text."""
+ASKED = "bucket int, part int, slice int, chunks string"
+ANSWERED = "part int, slice int, chunks string, lengths binary, ids binary"
+
+
+def ask(texts: DataFrame, model_path: str, buckets: int) -> DataFrame:
+    """The distinct chunks of each slice of texts (text) in each partition, by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, part, done = codec(model_path), TaskContext.get().partitionId(), 0
+        now, seen = 0, {}
+
+        def requests() -> Iterator[pa.RecordBatch]:
+            dealt: dict[int, list[str]] = {}
+            for x in seen:
+                dealt.setdefault(zlib.crc32(x.encode()) % buckets, []).append(x)
+            held = [(b, BETWEEN.join(x)) for b, x in dealt.items()]
+            for k in range(0, len(held), BATCH_ROWS):
+                numbers, blobs = zip(*held[k : k + BATCH_ROWS], strict=True)
+                n = len(blobs)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((numbers, pa.int32()), ([part] * n, pa.int32()), ([now] * n, pa.int32()), (blobs, pa.string()))], names=["bucket", "part", "slice", "chunks"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if done // SLICE_CHARS != now:
+                    yield from requests()
+                    now, seen = done // SLICE_CHARS, {}
+                if text:
+                    seen.update(dict.fromkeys(c.chunks(text)))
+                    done += len(text)
+        yield from requests()
+
+    return texts.mapInArrow(run, ASKED)
+
+
+def answer(asked: DataFrame, model_path: str) -> DataFrame:
+    """Every request with its ids; each chunk is segmented once, in its bucket's task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, last, table = codec(model_path), None, {}
+        for whole in batches:
+            for k in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(k, BATCH_ROWS)
+                lengths, ids = [], []
+                for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("chunks").to_pylist(), strict=True):
+                    if bucket != last:
+                        last, table = bucket, {}
+                    chunks = blob.split(BETWEEN)
+                    new = [x for x in chunks if x not in table]
+                    if new:
+                        table.update(zip(new, c.segment(new), strict=True))
+                    found = [table[x] for x in chunks]
+                    lengths.append(np.fromiter(map(len, found), "<u4", len(found)).tobytes())
+                    ids.append(b"".join(found))
+                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("part", "slice", "chunks")), pa.array(lengths, pa.binary()), pa.array(ids, pa.binary())], names=["part", "slice", "chunks", "lengths", "ids"])
+
+    return asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ANSWERED)
+
+
+def table_of(folder: str, part: int, number: int) -> dict[str, bytes]:
+    """What the slice of that number was answered."""
+    files, path = filesystem(f"{folder}/part={part}")
+    out: dict[str, bytes] = {}
+    for info in files.get_file_info(FileSelector(path, allow_not_found=True)):
+        if not info.path.endswith(".parquet"):
+            continue
+        with files.open_input_file(info.path) as source:
+            for batch in pq.ParquetFile(source).iter_batches(BATCH_ROWS, columns=["slice", "chunks", "lengths", "ids"]):
+                for n, chunks, lengths, ids in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                    if n == number:
+                        ends = np.cumsum(np.frombuffer(lengths, "<u4")).tolist()
+                        out.update(zip(chunks.split(BETWEEN), (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+    return out
 
-    def run(col: pa.Array) -> dict[str, object]:
-        c = codec(model_path)
-        found = [c.encode(t) if t else [] for t in col.to_pylist()]
-        out: dict[str, object] = {"ids": pa.array(found, pa.list_(pa.int32()))} if ids else {}
-        out["n_tokens"] = pa.array([len(x) for x in found], pa.int64())
-        out["ids_sha256"] = pa.array([sha(",".join(map(str, x))) for x in found], pa.string())
-        out["decoded_sha256"] = pa.array([sha(c.decode(x)) for x in found], pa.string())
-        return out
-
-    return annotate(docs, run, ("ids array<int>, " if ids else "") + FIELDS, "pieces", keep, text)
+
+def encode_texts(docs: DataFrame, model_path: str, keep: list[str] | None = None, text: str = "text", ids: bool = True) -> tuple[DataFrame, str]:
+    """docs with a struct of the ids (if wanted), their number, and digests of ids and decoded text.
+
+    docs is read twice, best from a table: partitions that differ between the readings cost time, not results.
+    """
+    spark = docs.sparkSession
+    folder = None
+    if codec(model_path).by_chunk:
+        folder = new_path(spark, "chunks")
+        buckets = max(MIN_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        asked = ask(docs.select(F.col(f"`{text}`").cast("string").alias("text")), model_path, buckets)
+        answer(asked, model_path).repartition("part").sortWithinPartitions("part", "slice").write.partitionBy("part").parquet(folder)
+
+    def start() -> Callable[[pa.Array], dict[str, object]]:
+        c, part, done, now, table = codec(model_path), TaskContext.get().partitionId(), 0, None, {}
+
+        def run(col: pa.Array) -> dict[str, object]:
+            nonlocal done, now, table
+            found = []
+            for t in col.to_pylist():
+                if folder and done // SLICE_CHARS != now:
+                    now = done // SLICE_CHARS
+                    table = table_of(folder, part, now)
+                found.append(c.encode(t or "", table))
+                done += len(t or "")
+            out: dict[str, object] = {"ids": pa.array(found, pa.list_(pa.int32()))} if ids else {}
+            out["n_tokens"] = pa.array([len(x) for x in found], pa.int64())
+            out["ids_sha256"] = pa.array([sha(",".join(map(str, x))) for x in found], pa.string())
+            out["decoded_sha256"] = pa.array([sha(c.decode(x)) for x in found], pa.string())
+            return out
+
+        return run
+
+    return annotate(docs, None, ("ids array<int>, " if ids else "") + FIELDS, "pieces", keep, text, start=start)
 
 
 def decode_ids(rows: DataFrame, model_path: str, column: str = "ids", into: str = "text") -> DataFrame:

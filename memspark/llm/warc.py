@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, written
+from .common import delete, filesystem, written
 
 DATE = "2024-01-01T00:00:00Z"
 ROLL_BYTES = 64 << 20
@@ -40,13 +40,6 @@ SPACE_ID = uuid.UUID("6f1a5a0e-5d0b-4c36-9d5e-0f5f3f4f7a11")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def filesystem(uri: str):
-    """A pyarrow file system and the path in it; local paths may come without a scheme."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
-
-
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 

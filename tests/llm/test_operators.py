@@ -97,6 +97,23 @@ def test_sentencepiece_is_the_librarys(spark, texts):
     assert all(r["text"] == model.decode(model.encode(every[r["doc_id"]] or "")) for r in back)
 
 
+def test_sentencepiece_odd_tables(spark, monkeypatch):
+    """Slices of few texts, repeated rows, a clashing struct name, rows that differ between the readings, an empty table."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(sentencepiece_codec, "SLICE_CHARS", 50)
+    rows = [(i, t, "p") for i, t in enumerate([*ODD, "a\n b", "a\n\n  b\n", *ODD])]
+    df = spark.createDataFrame([*rows, *rows[:4]], "doc_id bigint, text string, pieces string")
+    for some in (df.repartition(3), df.select("doc_id", F.concat("text", F.rand().cast("string")).alias("text"), "pieces")):
+        out, p = sentencepiece_codec.encode_texts(some, path)
+        got = out.select("*", f"{p}.*").collect()
+        assert p != "pieces" and all(r["pieces"] == "p" for r in got) and len(got) == len(rows) + 4
+        assert all(r["ids"] == model.encode(r["text"] or "") for r in got)
+    assert sentencepiece_codec.encode_texts(df.limit(0), path)[0].count() == 0
+
+
 # 5
 
 
