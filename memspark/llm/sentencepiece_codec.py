@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
+import zstandard
 from pyarrow.fs import FileSelector
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -104,8 +105,21 @@ def sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-ASKED = "bucket int, part int, slice int, chunks string"
-ANSWERED = "part int, slice int, chunks string, lengths binary, ids binary"
+#: Chunks, and their ids' lengths in bytes and ids, are compressed where they are made.
+ASKED = "bucket int, part int, slice int, chunks binary"
+ANSWERED = "part int, slice int, chunks binary, ids binary"
+
+
+def packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def split_chunks(blob: bytes) -> list[str]:
+    return unpacked(blob).decode().split(BETWEEN)
 
 
 def ask(texts: DataFrame, model_path: str, buckets: int) -> DataFrame:
@@ -119,11 +133,11 @@ def ask(texts: DataFrame, model_path: str, buckets: int) -> DataFrame:
             dealt: dict[int, list[str]] = {}
             for x in seen:
                 dealt.setdefault(zlib.crc32(x.encode()) % buckets, []).append(x)
-            held = [(b, BETWEEN.join(x)) for b, x in dealt.items()]
+            held = [(b, packed(BETWEEN.join(sorted(x)).encode())) for b, x in dealt.items()]
             for k in range(0, len(held), BATCH_ROWS):
                 numbers, blobs = zip(*held[k : k + BATCH_ROWS], strict=True)
                 n = len(blobs)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((numbers, pa.int32()), ([part] * n, pa.int32()), ([now] * n, pa.int32()), (blobs, pa.string()))], names=["bucket", "part", "slice", "chunks"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((numbers, pa.int32()), ([part] * n, pa.int32()), ([now] * n, pa.int32()), (blobs, pa.binary()))], names=["bucket", "part", "slice", "chunks"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -146,18 +160,17 @@ def answer(asked: DataFrame, model_path: str) -> DataFrame:
         for whole in batches:
             for k in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(k, BATCH_ROWS)
-                lengths, ids = [], []
+                ids = []
                 for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("chunks").to_pylist(), strict=True):
                     if bucket != last:
                         last, table = bucket, {}
-                    chunks = blob.split(BETWEEN)
+                    chunks = split_chunks(blob)
                     new = [x for x in chunks if x not in table]
                     if new:
                         table.update(zip(new, c.segment(new), strict=True))
                     found = [table[x] for x in chunks]
-                    lengths.append(np.fromiter(map(len, found), "<u4", len(found)).tobytes())
-                    ids.append(b"".join(found))
-                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("part", "slice", "chunks")), pa.array(lengths, pa.binary()), pa.array(ids, pa.binary())], names=["part", "slice", "chunks", "lengths", "ids"])
+                    ids.append(packed(np.fromiter(map(len, found), "<u4", len(found)).tobytes() + b"".join(found)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("part", "slice", "chunks")), pa.array(ids, pa.binary())], names=["part", "slice", "chunks", "ids"])
 
     return asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ANSWERED)
 
@@ -170,11 +183,12 @@ def table_of(folder: str, part: int, number: int) -> dict[str, bytes]:
         if not info.path.endswith(".parquet"):
             continue
         with files.open_input_file(info.path) as source:
-            for batch in pq.ParquetFile(source).iter_batches(BATCH_ROWS, columns=["slice", "chunks", "lengths", "ids"]):
-                for n, chunks, lengths, ids in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for batch in pq.ParquetFile(source).iter_batches(BATCH_ROWS, columns=["slice", "chunks", "ids"]):
+                for n, blob, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                     if n == number:
-                        ends = np.cumsum(np.frombuffer(lengths, "<u4")).tolist()
-                        out.update(zip(chunks.split(BETWEEN), (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+                        chunks, found = split_chunks(blob), unpacked(found)
+                        ends = (np.cumsum(np.frombuffer(found, "<u4", len(chunks))) + 4 * len(chunks)).tolist()
+                        out.update(zip(chunks, (found[a:b] for a, b in zip([4 * len(chunks), *ends], ends, strict=False)), strict=True))
     return out
 
 
