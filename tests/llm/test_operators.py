@@ -244,6 +244,22 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_odd_rows(spark, monkeypatch):
+    """Huge and tiny components, repeated ids with other vectors, null ids, blocks of few vectors, ties of one label only."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 4)
+    rows = [(1, [1e200, 0.0], 1), (2, [1e200, 1.0], 1), (3, [1e-170, 0.0], 1), (4, [0.0, 1e-310], 1), (5, [0.0, 2.0], 1), (6, [1e200, 0.0], 2), (7, [3.0, 3.0], 1), (8, [-1e308, -1e308], 1)]
+    rng = random.Random(4)
+    base = [rng.gauss(0, 1) for _ in range(2)]
+    rows += [(20 + i, [x + rng.gauss(0, 0.2) for x in base], 3) for i in range(90)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    scaled = [(i, [x / max(map(abs, v)) for x in v], lab) for i, v, lab in rows]
+    assert got == brute.near_vectors(scaled) and got[1] == (2, 1) and got[4] == (1, 4)
+    rows = [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (3, [1.0, 0.01], 1), (9, [0.01, 1.0], 1), (9, [0.01, 1.0], 1), (None, [1.0, 0.0], 1), (4, [1.0, 1.0, 1.0], 1)]
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"] or False) for r in out)
+    assert got == [(0, 0, 0, False), (3, 1, 3, True), (4, 0, 4, True), (5, 1, 3, False), (5, 2, 3, False), (9, 2, 3, False), (9, 2, 3, False)]
+
+
 def test_estimates_are_unbiased_and_bounded():
     import numpy as np
 
