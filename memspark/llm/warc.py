@@ -1,7 +1,7 @@
 """A deterministic sharded WARC writer and its reader.
 
-Writing: a histogram of the ids' byte counts, of a fixed number of cells, cuts the id range into shards of
-about equal bytes. Records are dealt by shard and sorted by id inside, so what is in a file depends on the
+Writing: histograms of the ids' byte counts cut the ids into shards of about equal bytes; a cell that holds more
+than a shard is cut again between its own least and greatest id, so far-off ids don't matter. Records are dealt by shard and sorted by id inside, so what is in a file depends on the
 rows only, not on the cluster. Each task streams its shards: record headers, digests and gzip members are made
 anew, and a file is closed before the member that would take it beyond the size. Files are written under a
 temporary name of the task attempt; the written manifest names the attempts that count, their files are
@@ -22,11 +22,13 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import delete, filesystem, written
@@ -34,7 +36,8 @@ from .common import delete, filesystem, written
 DATE = "2024-01-01T00:00:00Z"
 ROLL_BYTES = 64 << 20
 SHARD_BYTES = 16 << 20
-CELLS = 4096
+#: Shards grow with the input up to this number, then in size. The driver holds FAN cells for each at most.
+MOST_SHARDS, FIRST_CELLS, FAN = 1 << 16, 4096, 64
 LEVEL = 6
 SPACE_ID = uuid.UUID("6f1a5a0e-5d0b-4c36-9d5e-0f5f3f4f7a11")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -104,21 +107,59 @@ class Roller:
 MANIFEST = "file string, made_as string, records bigint, bytes bigint, sha256 string"
 
 
-def shard_starts(sized: DataFrame, shard_bytes: int) -> tuple[int, int, list[int]]:
-    """Least id, cell width and the first cell of each shard; sized has page_id and n_bytes."""
-    ends = sized.agg(F.min("page_id"), F.max("page_id")).head()
-    if ends[0] is None:
-        return 0, 1, [0]
-    width = -(-(ends[1] - ends[0] + 1) // CELLS)
-    cell = F.floor((F.col("page_id").cast("decimal(38,0)") - F.lit(ends[0])) / F.lit(width)).cast("int")
-    cells = sorted((r[0], r[1]) for r in sized.filter("page_id IS NOT NULL").groupBy(cell.alias("c")).agg(F.sum("n_bytes")).collect())
-    starts, held = [0], 0
-    for c, size in cells:
-        if held and held + size > shard_bytes:
-            starts.append(c)
+def place(starts: list[int]) -> Callable[[Column], Column]:
+    """The number of the last of the sorted starts at or below an id, -1 before the first and for null; a binary search."""
+    bounds = np.array(starts, dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def found(ids: pd.Series) -> pd.Series:
+        known = ids.notna().to_numpy()
+        out = np.full(len(ids), -1, dtype=np.int32)
+        out[known] = np.searchsorted(bounds, np.array(ids[known].tolist(), dtype=np.int64), side="right") - 1
+        return pd.Series(out)
+
+    return found
+
+
+def cells_of(low: int, high: int, n: int) -> list[int]:
+    """The first ids of up to n equal parts of low..high."""
+    n = min(n, high - low + 1)
+    return [low + (high - low + 1) * k // n for k in range(n)]
+
+
+def shard_starts(sized: DataFrame, shard_bytes: int) -> list[int]:
+    """The first id of each shard; sized has page_id and n_bytes."""
+    named = sized.filter("page_id IS NOT NULL")
+    low, high, total = named.agg(F.min("page_id"), F.max("page_id"), F.sum("n_bytes")).head()
+    if low is None:
+        return [0]
+    shard_bytes = max(shard_bytes, -(-total // MOST_SHARDS))
+    done: list[tuple[int, int]] = []
+    heavy, fan = [(low, high)], FIRST_CELLS
+    while heavy:
+        bounds = sorted({b for low, high in heavy for b in (*cells_of(low, high, fan), high + 1)})
+        inside = [False] * len(bounds)
+        at = {b: k for k, b in enumerate(bounds)}
+        for low, high in heavy:
+            inside[at[low] : at[high + 1]] = [True] * (at[high + 1] - at[low])
+        if bounds[-1] >= 1 << 63:
+            bounds.pop()
+        found = named.groupBy(place(bounds)("page_id").alias("cell")).agg(F.min("page_id"), F.max("page_id"), F.sum("n_bytes"))
+        heavy, fan = [], FAN
+        for cell, low, high, size in found.filter("cell >= 0").collect():
+            if not inside[cell]:
+                continue
+            if size > shard_bytes and low < high:
+                heavy.append((low, high))
+            else:
+                done.append((low, size))
+    starts, held = [], 0
+    for low, size in sorted(done):
+        if not starts or held + size > shard_bytes:
+            starts.append(low)
             held = 0
         held += size
-    return ends[0], width, starts
+    return starts
 
 
 def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, id_col: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
@@ -128,14 +169,11 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: in
     named = written(rows.select("page_id", F.sha1("payload").alias("sha"), F.octet_length("payload").cast("long").alias("n_bytes")), "digests")
     most = named.filter(F.col("page_id").isNotNull() & (F.col("n_bytes") >= min_bytes)).groupBy("sha", "n_bytes").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     revisits = named.join(most, ["sha", "n_bytes"]).filter("page_id < refers_to").select("page_id", "sha", "refers_to").distinct()
-    least, width, starts = shard_starts(named, shard_bytes)
-
-    cell = F.floor((F.col("page_id").cast("decimal(38,0)") - F.lit(least)) / F.lit(width)).cast("int")
-    # The number of starts at or before the cell, by binary search in a literal array.
-    shard = F.coalesce(F.size(F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: s <= cell)) - 1, F.lit(0)) if len(starts) > 1 else F.lit(0)
-    each = rows.withColumns({"shard": shard.cast("int"), "kind": F.lit(1), "refers_to": F.lit(None).cast("long"), "sha": F.lit(None).cast("string")})
-    notes = revisits.withColumns({"shard": shard.cast("int"), "kind": F.lit(0), "url": F.lit(None).cast("string"), "payload": F.lit(None).cast("binary")})
-    sorted_rows = each.unionByName(notes).repartition(2 * len(starts), "shard").sortWithinPartitions("shard", "page_id", "kind", "sha", "payload", "url")
+    starts = shard_starts(named, shard_bytes)
+    shard = F.greatest(place(starts)(F.col("page_id")), F.lit(0))
+    each = rows.withColumns({"shard": shard, "kind": F.lit(1), "refers_to": F.lit(None).cast("long"), "sha": F.lit(None).cast("string")})
+    notes = revisits.withColumns({"shard": shard, "kind": F.lit(0), "url": F.lit(None).cast("string"), "payload": F.lit(None).cast("binary")})
+    sorted_rows = each.unionByName(notes).repartitionById(len(starts), "shard").sortWithinPartitions("shard", "page_id", "kind", "sha", "payload", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(roller: Roller) -> pa.RecordBatch:

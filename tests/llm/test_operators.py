@@ -301,6 +301,16 @@ def test_warc(spark, tmp_path):
     assert warc.read_warc(warc.write_warc(df.limit(0), empty), empty).count() == 0
 
 
+def test_warc_shards_are_quantiles(spark):
+    """One far-off id, or a range at the ends of 64 bits, leaves the shards as they are."""
+    ids = spark.range(2000).select(F.col("id").alias("page_id"), F.lit(100).cast("long").alias("n_bytes"))
+    far = lambda *x: ids.unionByName(spark.createDataFrame([(i, 100) for i in x], "page_id long, n_bytes long"))
+    plain = warc.shard_starts(ids, 10_000)
+    assert len(plain) == 20 and plain[0] == 0
+    assert all(20 <= len(warc.shard_starts(far(*x), 10_000)) <= 24 for x in ([1 << 62], [-(1 << 63), (1 << 63) - 1]))
+    assert warc.shard_starts(ids.limit(0), 10) == [0]
+
+
 # 9
 
 
