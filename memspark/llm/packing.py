@@ -236,22 +236,22 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = pieces.count()
     salts = SALTS + rows // SALT_ROWS
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    counted = salted.groupBy("length", "_salt").count().collect()  # at most capacity x salts rows
-    histogram, cells = np.zeros(capacity + 1, dtype=np.int64), np.zeros((capacity + 1, salts), dtype=np.int64)
-    for r in counted:
-        cells[r["length"], r["_salt"]] = r["count"]
-        histogram[r["length"]] += r["count"]
-    before = np.cumsum(cells, axis=1) - cells
+    each = salted.groupBy("length", "_salt").count()
+    histogram = np.zeros(capacity + 1, dtype=np.int64)
+    for r in each.groupBy("length").agg(F.sum("count")).collect():  # at most capacity rows
+        histogram[r[0]] = r[1]
     plan = Plan(solve(histogram, capacity))
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")).cast("long"))
+    # A piece's rank among those of its length: its rank in its salt after all of the salts before, which a join on the window's own keys brings.
+    earlier = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = each.select("length", "_salt", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
+    ranked = salted.withColumn("_nth", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece"))).join(before, ["length", "_salt"])
+    ranked = ranked.select(*pieces.columns, (F.col("_before") + F.col("_nth") - 1).alias("_rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size = b.column("length").to_numpy()
-            rank = b.column("_rank").to_numpy() - 1 + before[size, b.column("_salt").to_numpy()]
-            sequence, offset = plan.place(size, rank)
+            sequence, offset = plan.place(b.column("length").to_numpy(), b.column("_rank").to_numpy())
             names = b.schema.names
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-2]), pa.array(sequence), pa.array(offset)], names=[*names[:-2], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-1]), pa.array(sequence), pa.array(offset)], names=[*names[:-1], "sequence_id", "offset"])
 
     return ranked.mapInArrow(run, StructType(list(pieces.schema.fields)).add("sequence_id", "long").add("offset", "long"))
 
