@@ -10,6 +10,8 @@ from ..functions.scoring import salience, trust_rank
 from ..functions.text import short_hash, squeezed
 from . import graph as g
 
+#: Words of a quote that find the passages to test.
+KEY_WORDS = 3
 LEAST_QUOTE, MOST_GIST = 12, 200
 # The linear congruential generator and the 32-bit hash that seeds it.
 LCG_MULTIPLIER, LCG_STEP = 1664525, 1013904223
@@ -117,6 +119,21 @@ def grounded(quote: Column, passage: Column) -> Column:
     return (F.length(squeezed(quote)) >= LEAST_QUOTE) & F.contains(squeezed(passage), squeezed(quote))
 
 
+def quoted_in(quotes: DataFrame, passages: DataFrame) -> DataFrame:
+    """quote_id, passage_id of all grounded pairs. quotes: quote_id, quote, of KEY_WORDS + 2 words at least (others give none); passages: passage_id, passage.
+
+    A quote's first and last words may be parts of the passage's, those between are whole words of it. So the pairs
+    meet by the quote's words after its first one, and then are tested; no passage meets all quotes.
+    """
+    parts = lambda c: F.split(squeezed(F.col(c)), " ")
+    key = lambda w, at: F.xxhash64(*[F.get(w, at + k) for k in range(KEY_WORDS)])
+    asked = quotes.filter(F.size(parts("quote")) >= KEY_WORDS + 2).select("quote_id", "quote", key(parts("quote"), F.lit(1)).alias("key"))
+    listed = passages.select("passage_id", parts("passage").alias("w")).filter(F.size("w") >= KEY_WORDS)
+    places = listed.select("passage_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - KEY_WORDS), lambda i: key(F.col("w"), i))).alias("key"))
+    met = places.join(asked, "key").select("passage_id", "quote_id", "quote").distinct()
+    return met.join(passages, "passage_id").filter(grounded(F.col("quote"), F.col("passage"))).select("quote_id", "passage_id").distinct()
+
+
 def accepted(rows: DataFrame) -> DataFrame:
     """rows with `kept`: a short gist, and two different grounded quotes. rows: gist, quote_a, quote_b, text_a, text_b."""
     ok = (F.length("gist") <= MOST_GIST) & grounded(F.col("quote_a"), F.col("text_a")) & grounded(F.col("quote_b"), F.col("text_b")) & (squeezed(F.col("quote_a")) != squeezed(F.col("quote_b")))

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .keyword import ranked
 
@@ -29,6 +31,8 @@ def top_cosine(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     batch are all that is shuffled. The queries' number is the caller's bound; they are read in blocks.
     """
     rows = queries.filter("vector IS NOT NULL").orderBy("query_id").collect()
+    fields = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", vectors.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    kinds = [to_arrow_type(f.dataType) for f in fields]
     out = None
     for start in range(0, max(len(rows), 1), QUERY_BLOCK):
         block = rows[start : start + QUERY_BLOCK]
@@ -45,9 +49,9 @@ def top_cosine(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                 for j in range(len(ids)):
                     # The order of the final rank, so that ties are cut the same way everywhere.
                     best = np.lexsort((mine, -key[:, j]))[:k] if len(mine) <= 4 * k else near_top(key[:, j], mine, k)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[j]] * len(best), pa.int64()), pa.array(mine[best], pa.int64()), pa.array(s[best, j])], names=["query_id", "id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([ids[j]] * len(best), mine[best].tolist(), s[best, j]), kinds, strict=True)], names=["query_id", "id", "score"])
 
-        part = vectors.filter("vector IS NOT NULL").select("id", "vector").mapInArrow(run, "query_id bigint, id bigint, score double")
+        part = vectors.filter("vector IS NOT NULL").select("id", "vector").mapInArrow(run, fields)
         out = part if out is None else out.unionByName(part)
     return ranked(out, ["query_id"], "score", "id", k)
 

@@ -171,9 +171,9 @@ def q74_period_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "p.start", "p.stop")
 
 
-@query("""SELECT doc_id, coalesce(list_aggregate(list_transform(list_slice(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'), 1, 12), lambda w: CASE WHEN length(w) > 4 AND suffix(w, 'ing') THEN w[1:length(w) - 3] WHEN length(w) > 3 AND suffix(w, 'ed') THEN w[1:length(w) - 2] WHEN length(w) > 3 AND suffix(w, 'er') THEN w[1:length(w) - 2] WHEN length(w) > 3 AND suffix(w, 'es') THEN w[1:length(w) - 2] WHEN length(w) > 2 AND suffix(w, 's') THEN w[1:length(w) - 1] ELSE w END), 'string_agg', ' '), '') AS stems FROM documents""")
+@query("""SELECT doc_id, coalesce(list_aggregate(list_transform(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'), lambda w: CASE WHEN length(w) > 4 AND suffix(w, 'ing') THEN w[1:length(w) - 3] WHEN length(w) > 3 AND suffix(w, 'ed') THEN w[1:length(w) - 2] WHEN length(w) > 3 AND suffix(w, 'er') THEN w[1:length(w) - 2] WHEN length(w) > 3 AND suffix(w, 'es') THEN w[1:length(w) - 2] WHEN length(w) > 2 AND suffix(w, 's') THEN w[1:length(w) - 1] ELSE w END), 'string_agg', ' '), '') AS stems FROM documents""")
 def q75_light_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.slice(words(F.coalesce("text", F.lit(""))), 1, 12)
+    w = words(F.coalesce("text", F.lit("")))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(w, light_stem), " ").alias("stems"))
 
 

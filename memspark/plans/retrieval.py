@@ -129,7 +129,7 @@ def q08_scope_tag_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WEB = f"""web AS (
   SELECT page_id AS passage_id, {tokens_sql("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, {tokens_sql("regexp_replace(html, '<[^>]*>', ' ', 'g')")} AS body FROM pages
-), q3 AS (SELECT DISTINCT item_id AS query_id, unnest(list_slice({tokens_sql("text")}, 1, 3)) AS term FROM benchmark),
+), q3 AS (SELECT DISTINCT item_id AS query_id, unnest({tokens_sql("text")}) AS term FROM benchmark),
 weighted AS (
   SELECT passage_id, term, sum(w) AS tf FROM (SELECT passage_id, unnest(title) AS term, 2e0 AS w FROM web UNION ALL SELECT passage_id, unnest(body), 1e0 FROM web) GROUP BY 1, 2
 ), sizes AS (SELECT passage_id, (len(title) + len(body))::DOUBLE AS length FROM web),
@@ -144,7 +144,7 @@ found AS (SELECT term, count(*)::DOUBLE AS df FROM weighted GROUP BY term)"""
 WHERE rank <= {LIMIT}"""))
 def q09_field_weighted_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("passage_id"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_replace("html", "<[^>]*>", " ").alias("body"))
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tokens(F.col("text")), 1, 3), " ").alias("text"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(tokens(F.col("text")), " ").alias("text"))
     out = keyword.bm25_search(asked, pages, LIMIT, {"title": 2.0, "body": 1.0})
     return out.select("query_id", "passage_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 

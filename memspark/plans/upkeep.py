@@ -227,14 +227,14 @@ def q56_turn_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQUEEZED = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 
 
-@query(sql("pairs AS (SELECT doc_id, item_id, d.text AS passage, substr(b.text, 1, 5 + (item_id % 4)::INT * 20) AS quote FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40 WHERE d.text IS NOT NULL UNION ALL SELECT doc_id, -1, text, substr(text, 3, 10 + (doc_id % 5)::INT) FROM documents WHERE text IS NOT NULL)",
-           select=f"SELECT doc_id, item_id, length({SQUEEZED.format('quote')}) >= 12 AND contains({SQUEEZED.format('passage')}, {SQUEEZED.format('quote')}) AS grounded FROM pairs"))
+@query(f"""SELECT doc_id, item_id, true AS grounded FROM (SELECT doc_id, {SQUEEZED.format('text')} AS passage FROM documents) JOIN (SELECT item_id, {SQUEEZED.format('text')} AS quote FROM benchmark) ON contains(passage, quote) WHERE length(quote) >= 12
+UNION ALL SELECT doc_id, -1, length({SQUEEZED.format('quote')}) >= 12 AND contains({SQUEEZED.format('text')}, {SQUEEZED.format('quote')}) FROM (SELECT doc_id, text, substr(text, 3, 10 + (doc_id % 5)::INT) AS quote FROM documents WHERE text IS NOT NULL)""")
 def q57_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, b = table(spark, sf_dir, "documents").filter("text IS NOT NULL"), table(spark, sf_dir, "benchmark")
-    quote = F.substr(b["text"], F.lit(1), (5 + F.col("item_id") % 4 * 20).cast("int"))
-    one = d.join(b, F.col("doc_id") % 40 == F.col("item_id") % 40).select("doc_id", "item_id", d["text"].alias("passage"), quote.alias("quote"))
-    two = d.select("doc_id", F.lit(-1).cast("long").alias("item_id"), F.col("text").alias("passage"), F.substr("text", F.lit(3), (10 + F.col("doc_id") % 5).cast("int")).alias("quote"))
-    return one.unionByName(two).select("doc_id", "item_id", dreams.grounded(F.col("quote"), F.col("passage")).alias("grounded"))
+    one = dreams.quoted_in(b.select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), d.select(F.col("doc_id").alias("passage_id"), F.col("text").alias("passage")))
+    own = F.substr("text", F.lit(3), (10 + F.col("doc_id") % 5).cast("int"))
+    two = d.select("doc_id", F.lit(-1).cast("long").alias("item_id"), dreams.grounded(own, F.col("text")).alias("grounded"))
+    return one.select(F.col("passage_id").alias("doc_id"), F.col("quote_id").alias("item_id"), F.lit(True).alias("grounded")).unionByName(two)
 
 
 @query(sql(*graphs.BASE, I.ACCESS, graphs.ADJACENT.format("'contains'"), graphs.REACH, f"bases AS (SELECT 'n' || (CAST(substr(node, 2) AS BIGINT) % 25) AS node, ln(sum({age('t')})) AS base FROM access GROUP BY 1)",

@@ -120,3 +120,29 @@ def test_expansion_follows_facts(spark):
     assert [r["via"] for r in got] == [None, "e", "e maintained_by", None, None]
     plain = recall.expanded(hits, queries, cues, e, cfg, "wikilink", 0).orderBy("rank").collect()
     assert [r["passage_id"] for r in plain] == ["e#0", "o#0", "t#0", "e#facts", "u#0"]
+
+
+def test_vectors_may_have_any_ids(spark):
+    from memspark.operators.vector import top_cosine
+
+    queries = spark.createDataFrame([("q1", [1.0, 0.0]), ("q2", None)], "query_id string, vector array<double>")
+    vectors = spark.createDataFrame([("a#0", [1.0, 0.1]), ("a#1", [0.0, 1.0]), ("b#0", [2.0, 0.0]), ("c", None)], "id string, vector array<double>")
+    got = top_cosine(queries, vectors, 2).orderBy("rank").collect()
+    assert [(r["query_id"], r["id"]) for r in got] == [("q1", "b#0"), ("q1", "a#0")]
+
+
+def test_compaction_keeps_the_latest(spark):
+    from memspark.operators.activation import compact
+
+    rows = [("a", t) for t in range(50)] + [("b", 3), ("b", None), ("c", None), (None, 7)]
+    got = {r["node"]: (r["count"], r["first"], r["last"], r["accesses"]) for r in compact(spark.createDataFrame(rows, "node string, t long")).collect()}
+    assert got == {"a": (50, 0, 49, list(range(40, 50))), "b": (2, 3, 3, [3]), "c": (1, None, None, []), None: (1, 7, 7, [7])}
+
+
+def test_quotes_in_passages(spark):
+    from memspark.operators.dreams import quoted_in
+
+    passages = [(1, "xThe quick  brown\nfox jumps over it"), (2, "The quick brown fox"), (3, None), (4, "brown fox jumps " * 30)]
+    quotes = [(7, "The quick brown fox jump"), (8, "fox jumps brown fox jumps"), (9, "too short"), (10, None)]
+    got = quoted_in(spark.createDataFrame(quotes, "quote_id int, quote string"), spark.createDataFrame(passages, "passage_id int, passage string"))
+    assert sorted(map(tuple, got.collect())) == [(7, 1), (8, 4)]
