@@ -120,6 +120,7 @@ def test_vault_on_disk_and_session(spark, tmp_path):
     hits = s.recall(q, mode="typed", now=1790000000000).collect()
     assert {h["query_id"] for h in hits} == {0, 1} and all(h["rank"] >= 1 for h in hits)
     assert s.recall(q, mode="auto", now=1790000000000, scope="entities").filter("path LIKE 'episodes%'").count() == 0
+    assert s.recall(q.limit(0), mode="auto", now=1790000000000).count() == 0
     paths = s.relate(spark.createDataFrame([(1, "sensors", "talk")], "pair_id int, a string, b string")).collect()
     assert paths[0]["nodes"][0] == "orchard" and paths[0]["nodes"][-1] == "talk"
     line = s.timeline(spark.createDataFrame([("Orchard",)], "name string")).orderBy("nth").collect()
