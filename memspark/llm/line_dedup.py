@@ -65,15 +65,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wid
     )
     later = found.join(first, ["h1", "h2"]).filter(~F.struct("id", "key", "at").eqNullSafe(F.col("first")))
     n_lines, n_removed = free_name(docs, "n_lines"), free_name(docs, "n_removed")
-    gone = later.groupBy(F.col("id").alias("_gone_id"), F.col("key").alias("_gone_key")).agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("_gone"))
-    joined = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_gone_key")), "left")
+    own = {c: free_name(docs, c) for c in ("_gone_id", "_gone_key", "_gone", "_lines", "_stay")}
+    gone = later.groupBy(F.col("id").alias(own["_gone_id"]), F.col("key").alias(own["_gone_key"])).agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias(own["_gone"]))
+    joined = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(own["_gone_id"])) & (F.xxhash64(F.col(f"`{text}`")) == F.col(own["_gone_key"])), "left")
     # The lines are cut after the join: the text moves, not the text and its lines.
-    stay = joined.withColumn("_lines", lines_of(F.col(f"`{text}`"))).withColumn("_stay", F.when(F.col("_gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))))
-    kept = F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform("_stay", lambda i: F.get("_lines", i)), "\n"))
+    stay = joined.withColumn(own["_lines"], lines_of(F.col(f"`{text}`"))).withColumn(own["_stay"], F.when(F.col(own["_gone"]).isNotNull(), F.array_except(F.sequence(F.lit(0), F.size(own["_lines"]) - 1), F.col(own["_gone"]))))
+    kept = F.when(F.col(own["_gone"]).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(own["_stay"], lambda i: F.get(own["_lines"], i)), "\n"))
     return stay.select(
         *[(kept.alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns],
-        F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias(n_lines),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias(n_removed),
+        F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(own["_lines"])).cast("long").alias(n_lines),
+        F.when(F.col(own["_gone"]).isNull(), 0).otherwise(F.size(own["_gone"])).cast("long").alias(n_removed),
     )
 
 

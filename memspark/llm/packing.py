@@ -51,7 +51,7 @@ def tokenizer(path: str):
     """A function text -> ids for a byte-level BPE file of the tokenizers library.
 
     The same ranks run in the faster tiktoken engine; texts that hold a special token's string, or that it
-    can't take, go to the library itself.
+    can't take, go to the library itself, as do all for files with another pre-tokeniser or a normaliser.
     """
     from pathlib import Path
 
@@ -63,6 +63,9 @@ def tokenizer(path: str):
     special = [t["content"] for t in spec["added_tokens"]]
     symbols = byte_symbols()
     ranks = {bytes(symbols[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+    if spec["normalizer"] or {k: spec["pre_tokenizer"].get(k) for k in ("type", "add_prefix_space", "use_regex")} != {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}:
+        return lambda text: whole.encode(text, add_special_tokens=False).ids
+    # What a byte-level pre-tokeniser with its own regex cuts at.
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 

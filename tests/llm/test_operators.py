@@ -325,6 +325,13 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_frees_its_names(spark):
+    rows = [(i, "a1\nb1\nc1", "x", i, "y", "z") for i in range(2)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, _lines string, _gone long, _gone_id string, _stay string"))
+    got = sorted(tuple(r[c] for c in ("doc_id", "text", "_lines", "_gone", "_gone_id", "_stay", "n_removed")) for r in out.collect())
+    assert got == [(0, "a1\nb1\nc1", "x", 0, "y", "z", 0), (1, "", "x", 1, "y", "z", 3)]
+
+
 # 1
 
 
