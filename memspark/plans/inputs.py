@@ -8,11 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import STOP_WORDS, tokens
 
 #: The moment at which queries are asked, after the last event (epoch milliseconds).
 NOW = 1_706_745_600_000
-STOP_SQL = "['a','an','and','are','as','at','be','by','for','from','has','have','how','i','in','is','it','its','of','on','or','that','the','this','to','was','what','when','where','which','who','why','will','with']"
+STOP_SQL = "[" + ",".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -213,7 +213,7 @@ SPOKEN = "spoken AS (SELECT conv_id, list_aggregate(list(upper(substr(role, 1, 1
 
 
 @query(sql(SPOKEN, "lines AS (SELECT conv_id, u.line, u.pos FROM (SELECT conv_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'line': x, 'pos': i - 1})) AS u FROM spoken))",
-           "marked AS (SELECT *, regexp_matches(line, '^#+\\s+') AS h, regexp_matches(line, '^(?:[A-Z][a-z]+:|[A-Za-z0-9_\\s]+:)') AS s FROM lines)",
+           "marked AS (SELECT *, regexp_matches(line, '^#+\\s+') AS h, regexp_matches(line, '^[\\w\\s]+:') AS s FROM lines)",
            "counted AS (SELECT *, count(*) FILTER (h) OVER w AS hs, count(*) FILTER (s) OVER w AS ss, count(*) FILTER (h) OVER o AS hn, count(*) FILTER (s) OVER o AS sn FROM marked WINDOW w AS (PARTITION BY conv_id), o AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING))",
        select="""SELECT conv_id, nth::BIGINT AS nth, boundary, sha256(text) AS sha FROM (SELECT conv_id, nth, boundary, string_agg(line, chr(10) ORDER BY pos) AS text FROM (
   SELECT *, CASE WHEN hs > 0 THEN 'heading' WHEN ss > 10 THEN 'turn' ELSE 'none' END AS boundary, CASE WHEN hs > 0 THEN hn WHEN ss > 10 THEN CASE WHEN sn = 0 THEN 0 ELSE (sn - 1) // greatest(5, ss // 5) + 1 END ELSE 0 END AS nth FROM counted) GROUP BY 1, 2, 3) WHERE trim(text) <> ''"""))
