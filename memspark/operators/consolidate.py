@@ -122,6 +122,12 @@ def triple_candidates(triples: DataFrame, promoted: DataFrame, least: float = 0.
     return sure.join(promoted.select("passage_id", "content_hash").distinct(), ["passage_id", "content_hash"], "left_anti").withColumn("origin", F.lit("triple"))
 
 
+def triple_statistics(triples: DataFrame, least: float = 0.8) -> DataFrame:
+    """predicate, n, eligible: cached triples and those that are sure enough to be proposed; without a confidence one counts as half sure."""
+    sure = F.coalesce("conf", F.lit(0.5)) >= least
+    return triples.groupBy("predicate").agg(F.count(F.lit(1)).alias("n"), F.count_if(sure).alias("eligible"))
+
+
 def reviewed(pending: DataFrame, decisions: DataFrame) -> DataFrame:
     """pending with the decision on each key (accept, reject, edit with a new object) applied: `state`, object."""
     met = pending.join(decisions.select("key", "decision", F.col("object").alias("_object")), "key", "left")

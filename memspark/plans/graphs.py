@@ -68,14 +68,18 @@ WALK = f"""walk AS (
 MASSES = f"SELECT query_id, node, round(mass, 6) AS mass FROM walk WHERE i = {ROUNDS} AND round(mass, 6) > 0"
 
 
+# The typed mode's edges, by the weights of their origins.
+TYPED = ADJACENT.format("'contains', 'link', 'fact'").replace("weight AS w FROM edges", "weight * CASE origin WHEN 'fact' THEN 1.5e0 ELSE 1e0 END AS w FROM edges")
+
+
 @query(sql(*BASE, ADJACENT.format("'contains', 'link'"), select="SELECT a AS node, round(sum(w), 5) AS degree FROM adjacent GROUP BY a"))
 def q16_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = g.mode_edges(I.edges(spark, sf_dir), "wikilink", CFG.graph.origin_weights)
     return g.degrees(g.adjacency(used)).select("node", F.round("degree", 5).alias("degree"))
 
 
-def ranked(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    mass = g.pagerank(seeds, g.adjacency(edges, "weight"), CFG.graph.damping, CFG.graph.tolerance, CFG.graph.max_iterations)
+def ranked(seeds: DataFrame, edges: DataFrame, weight: str = "weight") -> DataFrame:
+    mass = g.pagerank(seeds, g.adjacency(edges, weight), CFG.graph.damping, CFG.graph.tolerance, CFG.graph.max_iterations)
     return mass.withColumn("mass", F.round("mass", 6)).filter("mass > 0")
 
 
@@ -95,9 +99,13 @@ def nation_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.col("n_nationkey").alias("query_id"), F.explode(each).alias("s")).select("query_id", "s.node", "s.value")
 
 
-@query(sql(*BASE, ADJACENT.format("'contains'"), SEEDS, SHARES, WALK, select=MASSES))
+def typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.mode_edges(I.edges(spark, sf_dir), "typed", CFG.graph.origin_weights)
+
+
+@query(sql(*BASE, TYPED, SEEDS, SHARES, WALK, select=MASSES))
 def q18_ppr_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(nation_seeds(spark, sf_dir), I.tree_edges(spark, sf_dir))
+    return ranked(nation_seeds(spark, sf_dir), typed_edges(spark, sf_dir), "w")
 
 
 SCOPE = "scope AS (SELECT 'r1' AS id UNION SELECT 'n' || n_nationkey FROM nation WHERE n_regionkey = 1 UNION SELECT 'c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 UNION SELECT 's' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1)"
@@ -117,10 +125,10 @@ def q19_ppr_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(spark.createDataFrame([(1, "r1", 1.0)], "query_id int, node string, value double"), g.scoped(used, ids))
 
 
-@query(sql(*BASE, ADJACENT.format("'contains'"), SEEDS, SHARES, WALK, select=MASSES + " UNION ALL SELECT query_id, node, value * 5e-1 FROM seeds WHERE node NOT IN (SELECT a FROM adjacent)"))
+@query(sql(*BASE, TYPED, SEEDS, SHARES, WALK, select=MASSES + " UNION ALL SELECT query_id, node, value * 5e-1 FROM seeds WHERE node NOT IN (SELECT a FROM adjacent)"))
 def q20_isolated_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = nation_seeds(spark, sf_dir)
-    return g.with_isolated(ranked(seeds, I.tree_edges(spark, sf_dir)), seeds, CFG.graph.damping)
+    return g.with_isolated(ranked(seeds, typed_edges(spark, sf_dir), "w"), seeds, CFG.graph.damping)
 
 
 REACH = """reach AS (
@@ -150,17 +158,17 @@ def q22_relate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pair_id", F.col("nth").cast("long").alias("nth"), F.array_join("nodes", ">").alias("nodes"), F.col("depth").cast("long").alias("depth"))
 
 
-@query(sql(*BASE, "one AS (SELECT DISTINCT src, dst FROM edges WHERE origin = 'contains')", select="SELECT a, b, c, nth FROM (SELECT x.src AS a, x.dst AS b, y.dst AS c, row_number() OVER (PARTITION BY x.src ORDER BY x.dst, y.dst) AS nth FROM one x JOIN one y ON x.dst = y.src WHERE x.src <> y.dst) WHERE nth <= 3"))
+@query(sql(*BASE, "one AS (SELECT DISTINCT src, dst FROM edges)", select="SELECT a, b, c, nth FROM (SELECT x.src AS a, x.dst AS b, y.dst AS c, row_number() OVER (PARTITION BY x.src ORDER BY x.dst, y.dst) AS nth FROM one x JOIN one y ON x.dst = y.src WHERE x.src <> y.dst) WHERE nth <= 3"))
 def q62_two_hop_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.two_hop_chains(I.tree_edges(spark, sf_dir)).select("a", "b", "c", F.col("nth").cast("long").alias("nth"))
+    return g.two_hop_chains(I.edges(spark, sf_dir)).select("a", "b", "c", F.col("nth").cast("long").alias("nth"))
 
 
-@query(sql(*BASE, select="SELECT 'nodes' AS what, kind AS key, count(*) AS n FROM (SELECT 'region' AS kind FROM region UNION ALL SELECT 'nation' FROM nation UNION ALL SELECT 'customer' FROM customer) GROUP BY kind UNION ALL SELECT 'edges', origin, count(*) FROM edges GROUP BY origin UNION ALL SELECT 'superseded', 'fact', count(*) FROM facts WHERE expired_at IS NOT NULL"))
+@query(sql(*BASE, select="SELECT 'nodes' AS what, kind AS key, count(*) AS n FROM (SELECT 'region' AS kind FROM region UNION ALL SELECT 'nation' FROM nation UNION ALL SELECT 'customer' FROM customer UNION ALL SELECT 'supplier' FROM supplier UNION ALL SELECT 'part' FROM part) GROUP BY kind UNION ALL SELECT 'edges', origin, count(*) FROM edges GROUP BY origin UNION ALL SELECT 'superseded', 'fact', count(*) FROM facts WHERE expired_at IS NOT NULL"))
 def q61_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.index import stats
 
     nodes = None
-    for kind in ("region", "nation", "customer"):
+    for kind in ("region", "nation", "customer", "supplier", "part"):
         part = table(spark, sf_dir, kind).select(F.lit(kind).alias("kind"))
         nodes = part if nodes is None else nodes.unionByName(part)
     edges = I.edges(spark, sf_dir).select("origin", F.lit(None).cast("long").alias("expired_at"))
