@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +20,8 @@ from ..config import MODE_ORIGINS, TRUST_RANKS, Config
 from ..functions.scoring import mapped, trust_rank
 from ..storage import written
 
-#: Up to so many directed edges a graph is sent to each task; beyond, PageRank runs as joins.
-KERNEL_EDGES = 1_000_000
+#: Up to so many directed edges a graph is sent to each task, as 24 bytes an edge and the nodes' names; beyond, PageRank runs as joins.
+KERNEL_EDGES = 4_000_000
 
 
 def mode_edges(edges: DataFrame, mode: str, weights: dict[str, float]) -> DataFrame:
@@ -137,9 +137,13 @@ def heaviest(mass: DataFrame, limit: int) -> DataFrame:
 
 
 def _kernel(shares: DataFrame, adjacent: DataFrame, damping: float, rounds: int, top: int | None = None) -> DataFrame:
-    held = transitions(adjacent).toPandas()  # at most KERNEL_EDGES rows
-    names, codes = np.unique(np.concatenate([held["a"].to_numpy(dtype=object), held["b"].to_numpy(dtype=object)]).astype(str), return_inverse=True)
-    src, dst, p = codes[: len(held)], codes[len(held) :], held["p"].to_numpy()
+    # At most KERNEL_EDGES rows. Both directions of an edge are there, so every node is some row's a. Names become numbers
+    # in Arrow, without a Python string for each edge.
+    held = transitions(adjacent).toArrow()
+    known = pc.unique(held["a"])
+    known = known.take(pc.array_sort_indices(known))
+    src, dst = (pc.index_in(held[end], value_set=known).to_numpy().astype(np.int64) for end in ("a", "b"))
+    names, p = np.asarray(known.to_pylist(), dtype=str), held["p"].to_numpy()
     spark = shares.sparkSession
     arrays = spark.sparkContext.broadcast((names, src, dst, p))
 
@@ -164,7 +168,9 @@ def _kernel(shares: DataFrame, adjacent: DataFrame, damping: float, rounds: int,
     if not len(names):
         return shares.select("query_id", "node", F.col("s").alias("mass")).limit(0)
     kind = shares.schema["query_id"].dataType.simpleString()
-    dealt = shares.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(4 * spark.sparkContext.defaultParallelism)))
+    # A stated number of partitions: few rows ask for much work here, and adaptive execution would put them into one task.
+    n = 4 * spark.sparkContext.defaultParallelism
+    dealt = shares.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(n))).repartition(n, "g")
     return dealt.groupBy("g").applyInPandas(run, f"query_id {kind}, node string, mass double")
 
 

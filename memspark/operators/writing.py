@@ -102,31 +102,35 @@ def with_lines(text: Column, lines: Column, heading: str) -> Column:
 def line_replaced(text: Column, number: Column, line: Column) -> Column:
     """text with its line of that number (from 1) replaced; unchanged if there is none."""
     parts = F.split(text, "\n", -1)
-    return F.when(number.between(F.lit(1), F.size(parts)), F.array_join(F.transform(parts, lambda x, i: F.when(i + 1 == number, line).otherwise(x)), "\n")).otherwise(text)
+    return F.when(number.between(F.lit(1), F.size(parts)), F.array_join(_with(parts, number, line), "\n")).otherwise(text)
 
 
-def _fence(text: Column) -> tuple[Column, Column, Column]:
-    """(lines, their bare forms, the closing line's number from 1 or 0) of a text's front matter."""
+def _with(parts: Column, number: Column, line: Column) -> Column:
+    # No lambda over the lines may hold the number: it would be worked out for each line.
+    return F.concat(F.slice(parts, F.lit(1), number - 1), F.array(line), F.slice(parts, number + 1, F.size(parts)))
+
+
+def _fence(text: Column) -> tuple[Column, Column]:
+    """(lines, the closing line's number from 1, or 0) of a text's front matter."""
     parts = F.split(F.regexp_replace(text, "^﻿", ""), "\n", -1)
-    bare = F.transform(parts, lambda x: F.regexp_replace(x, "\r$", ""))
-    shut = F.array_position(F.transform(bare, lambda x, i: (i > 0) & x.isin("---", "...")), F.lit(True)).cast("int")
-    return parts, bare, F.when(bare[0] == "---", shut).otherwise(F.lit(0))
+    shut = F.array_position(F.transform(parts, lambda x, i: (i > 0) & x.rlike("^(---|\\.\\.\\.)\r?$")), F.lit(True)).cast("int")
+    return parts, F.when(F.get(parts, F.lit(0)).rlike("^---\r?$"), shut).otherwise(F.lit(0))
 
 
 def has_front_matter(text: Column) -> Column:
-    return F.coalesce(_fence(text)[2] > 0, F.lit(False))
+    return F.coalesce(_fence(text)[1] > 0, F.lit(False))
 
 
 def marked(text: Column, date: Column) -> Column:
     """An episode's text with `consolidated:` set in its front matter, one line changed or added; without front matter as it is."""
-    parts, _, shut = _fence(text)
+    parts, shut = _fence(text)
     bom = F.when(F.startswith(text, F.lit("﻿")), F.lit("﻿")).otherwise(F.lit(""))
     end = F.when(F.endswith(F.get(parts, shut - 1), F.lit("\r")), F.lit("\r")).otherwise(F.lit(""))
     line = F.concat(F.lit("consolidated: "), date, end)
-    inside = F.transform(parts, lambda x, i: (i > 0) & (i + 1 < shut) & x.rlike(r"^consolidated\s*:"))
-    old = F.array_position(inside, F.lit(True)).cast("int")
-    put = F.when(old > 0, F.transform(parts, lambda x, i: F.when(i + 1 == old, line).otherwise(x))).otherwise(F.concat(F.slice(parts, F.lit(1), shut - 1), F.array(line), F.slice(parts, shut, F.size(parts))))
-    return F.when(shut > 0, F.concat(bom, F.array_join(put, "\n"))).otherwise(text)
+    inside = F.slice(parts, F.lit(2), F.greatest(shut - 2, F.lit(0)))
+    old = F.array_position(F.transform(inside, lambda x: x.rlike(r"^consolidated\s*:")), F.lit(True)).cast("int")
+    added = F.concat(F.slice(parts, F.lit(1), shut - 1), F.array(line), F.slice(parts, shut, F.size(parts)))
+    return F.when(shut > 0, F.concat(bom, F.array_join(F.when(old > 0, _with(parts, old + 1, line)).otherwise(added), "\n"))).otherwise(text)
 
 
 def stubs(names: DataFrame, today: str, known: DataFrame | None = None) -> DataFrame:
