@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import SOURCE_TRUST, Config
 from ..functions.scoring import source_trust, source_weight, strengthened, support_confidence
 from ..functions.text import short_hash
+from ..storage import written as stored
 from . import consolidate as c
 from .index import slug
 from .temporal import superseded
@@ -173,13 +174,16 @@ def claim_of(rows: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def consolidation(candidates: DataFrame, names: DataFrame, current: DataFrame, pending: DataFrame, rejected: DataFrame, cfg: Config, now: int, today: str) -> dict[str, DataFrame]:
-    """One run, as tables: decided, facts (old with what the run closed, and new), strengthened, stubs, pending.
+    """One run, as tables: decided, written, facts (old with what the run closed, and new), strengthened, stubs, pending.
 
     candidates: seq (their order), subject, predicate, object, episode, by, trust, origin, explicit, confidence, claimed_at, priority.
     names: name, node_id, tier. current: id, src, type, dst, value, valid_from, valid_to, expired_at, conf, provenance.
     pending, rejected: subject, predicate, object, episode, by. Empty tables give empty tables; a candidate whose key (claim
-    and episode) is current, pending or rejected, or came before in the run, is not decided again.
+    and episode) is current, pending or rejected, or came before in the run, is not decided again. A candidate without a
+    subject, predicate or object says nothing and is left out. The decisions are written once, in the shared folder, for
+    all tables come from them.
     """
+    candidates = candidates.filter("trim(subject) <> '' AND trim(predicate) <> '' AND trim(object) <> ''")
     held = current.filter("expired_at IS NULL AND valid_to IS NULL").withColumn("object_key", object_key(F.col("dst"), F.col("value")))
     queue, refused = claim_of(pending, names), claim_of(rejected, names)
     key = lambda t: t.withColumn("key", c.candidate_key(F.coalesce("subject_ref", "subject"), F.col("predicate"), F.col("object_key"), F.col("episode")))
@@ -206,6 +210,7 @@ def consolidation(candidates: DataFrame, names: DataFrame, current: DataFrame, p
     written = F.col("action").isin("promote", "supersede")
     blocked = written & wants & F.col("object_ref").isNull() & ~new_thing
     rows = rows.withColumns({"action": F.when(blocked, "queue").otherwise(F.col("action")), "reason": F.when(blocked, "entity object not resolvable").otherwise(F.col("reason")), "new_object": new_thing})
+    rows = stored(rows, "decided")
     named = rows.withColumn("src", F.coalesce("subject_ref", slug(F.col("subject")))).withColumn("object_ref", F.when(F.col("new_object"), slug(link_name(F.col("object")))).otherwise(F.col("object_ref")))
     sure = F.when(F.startswith(F.col("reason"), F.lit("corroborated by")), support_confidence(F.col("support"))).otherwise(F.col("confidence"))
     made = built_facts(named.withColumn("confidence", sure).filter(written), by="agent", now=now)
