@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from .operators import activation as act
 from .operators import consolidate, evaluate, federate, graph, index, keyword, temporal, vector
 from .operators.fusion import fuse, in_scope
 from .operators.recall import Memory, access_events, recall
+from .sources import state
 from .sources import vault as source
 from .storage import written
 
@@ -31,11 +33,21 @@ class MemorySession:
     versions: DataFrame | None = None
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, cfg: Config | None = None, access_log: str | None = None) -> MemorySession:
+    def open(cls, spark: SparkSession, root: str, cfg: Config | None = None, access_log: str | None = None, store: str | None = None) -> MemorySession:
+        """The session of a vault. store: a folder that keeps the index; it is read while its settings and the notes are those it was built from, else written anew."""
         cfg = checked(cfg or Config())
         # The index is tables: queries start from them and not from the files.
         notes = written(source.read_vault(spark, root, cfg.vault), "notes")
-        built = {k: written(v, k) for k, v in index.build(notes, cfg).items()}
+        built = state.open_index(spark, store, cfg) if store else None
+        if built is not None:
+            now = notes.select("path", "mtime", "sha256")
+            if not index.file_changes(built["files"], now).filter("change <> 'same'").isEmpty():
+                built = None
+        if built is None and store:
+            state.store_index(index.build(notes, cfg), store, cfg)
+            built = state.open_index(spark, store, cfg)
+        if built is None:
+            built = {k: written(v, k) for k, v in index.build(notes, cfg).items()}
         return cls(spark, built["nodes"], built["edges"], built["names"], cfg, source.read_access(spark, access_log) if access_log else None, notes)
 
     def queries(self, *texts: str) -> DataFrame:
@@ -104,9 +116,65 @@ class MemorySession:
         return evaluate.metrics(hits, gold)
 
 
+def remembered(texts: DataFrame, by: str, today: str, as_user: bool = False) -> DataFrame:
+    """path, text of the episodes that keep what was said (texts: id, title, text), one for each segment.
+
+    Only a caller that speaks for the user may say that the user said it.
+    """
+    if by == "user" and not as_user:
+        raise ValueError("only the user can remember as the user")
+    parts = index.segments(texts.select("id", "text")).join(texts.select("id", "title"), "id")
+    several = F.when(F.col("nth") > 0, F.concat("title", F.lit(" "), F.col("nth").cast("string"))).otherwise(F.col("title"))
+    named = source.episode_paths(parts.select(several.alias("title"), F.lit(today).cast("date").alias("started"), F.col("text").alias("body")))
+    head = F.concat(F.lit("---\ntype: episode\nid: "), "id", F.lit(f"\nstarted: {today}\nby: {by}\nsource: remember\n---\n# "), "title", F.lit("\n\n"))
+    return named.select("path", F.concat(head, "body", F.lit("\n")).alias("text"))
+
+
+def review_queue(pending: DataFrame, episodes: DataFrame) -> DataFrame:
+    """pending with its episode's agent and text, priority first and then as it was queued. episodes: episode, agent, text."""
+    met = pending.join(episodes.dropDuplicates(["episode"]), "episode", "left")
+    return met.orderBy(F.coalesce("priority", F.lit(False)).desc(), F.col("queued_at").asc_nulls_first(), "key")
+
+
+def open_layers(sessions: dict[str, MemorySession], vaults: dict[str, dict[str, str]], project: str | None, agent: str | None) -> list[tuple[str, str]]:
+    """(layer, vault) of a binding's lineage that are open, in their order."""
+    return [(layer, v) for layer, v in federate.lineage(vaults, project, agent) if v in sessions]
+
+
+def workspace_timeline(sessions: dict[str, MemorySession], vaults: dict[str, dict[str, str]], names: list[str], project: str | None = None, agent: str | None = None) -> DataFrame | None:
+    """The timelines of a binding's vaults one after the other, with vault and layer; None without an open vault."""
+    out = None
+    for layer, v in open_layers(sessions, vaults, project, agent):
+        s = sessions[v]
+        part = s.timeline(s.spark.createDataFrame([(n,) for n in names], "name string")).withColumns({"vault": F.lit(v), "layer": F.lit(layer)})
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def workspace_relate(sessions: dict[str, MemorySession], vaults: dict[str, dict[str, str]], pairs: DataFrame, project: str | None = None, agent: str | None = None, mode: str = "typed", layer: str | None = None) -> DataFrame | None:
+    """Each pair's paths in the first vault of the lineage that has one, or in that of the layer asked for."""
+    layers = [(x, v) for x, v in open_layers(sessions, vaults, project, agent) if layer in (None, x)]
+    out = None
+    for _, v in layers:
+        part = sessions[v].relate(pairs, mode).withColumn("vault", F.lit(v))
+        out = part if out is None else out.unionByName(part)
+    return federate.first_by_layer(out, layers, "pair_id") if out is not None else None
+
+
+def every_vault(sessions: dict[str, MemorySession], run: Callable[[MemorySession], object]) -> dict[str, tuple[str, object]]:
+    """run on each vault in the order of their ids; one that fails is told and doesn't stop the others: id to (ok, result) or (failed, message)."""
+    out: dict[str, tuple[str, object]] = {}
+    for name in sorted(sessions):
+        try:
+            out[name] = ("ok", run(sessions[name]))
+        except Exception as e:  # any failure is the vault's own
+            out[name] = ("failed", f"{type(e).__name__}: {e}")
+    return out
+
+
 def workspace_recall(sessions: dict[str, MemorySession], vaults: dict[str, dict[str, str]], queries: DataFrame, project: str | None = None, agent: str | None = None, weights: dict[str, float] | None = None, **how) -> DataFrame:
     """Recall over the vaults of a binding's lineage, in one order and one budget. A vault that isn't open is left out."""
-    layers = [(layer, v) for layer, v in federate.lineage(vaults, project, agent) if v in sessions]
+    layers = open_layers(sessions, vaults, project, agent)
     hits = None
     for _, v in layers:
         part = sessions[v].recall(queries, **how).withColumn("vault", F.lit(v))

@@ -1,5 +1,10 @@
 """Notes, facts and periods; the index; incremental equals full; lint."""
 
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
 from memspark.config import Config, merged
 from memspark.operators import index
 from memspark.sources import notes, vault
@@ -138,3 +143,52 @@ def test_slugs_and_triples(spark):
     phrases, edges = index.triple_edges(triples, built["nodes"], built["names"])
     assert {r["id"] for r in phrases.collect()} == {"p:pump", "p:water"}
     assert {(e["src"], e["dst"], e["type"]) for e in edges.collect()} == {("pump#0", "p:pump", "mentions"), ("pump#0", "p:water", "mentions"), ("p:pump", "p:water", "moves"), ("p:pump", "pump", "names")}
+
+
+def test_incremental_keeps_triples(spark):
+    cfg = merged(Config(), {"graph": {"default_extraction": "hipporag"}})
+    old = vault.parsed(files(spark, BASE)).cache()
+    nodes = index.nodes_of(old, cfg).filter("kind = 'passage'")
+    said = nodes.select(F.col("id").alias("passage_id"), index.content_hash(F.col("text")).alias("content_hash"), F.lit("Pump").alias("subject"), F.lit("moves").alias("predicate"), F.col("id").alias("object"), F.lit(0.9).alias("conf")).cache()
+    before = {k: v.cache() for k, v in index.build(old, cfg, said).items()}
+    assert before["edges"].filter("origin = 'triple'").count() > 0
+    new = vault.parsed(files(spark, [BASE[0], ("entities/pump.md", PUMP + "\nmore", 2), BASE[2]]))
+    assert rows_of(index.incremental(before, old, new, cfg, said)) == rows_of(index.build(new, cfg, said))
+
+
+def test_workspace(spark, tmp_path):
+    from memspark import session as S
+
+    root, store = tmp_path / "v", f"file://{tmp_path}/store"
+    for path, text, _ in BASE:
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text)
+    version = lambda: json.loads((tmp_path / "store" / "index.json").read_text())["version"]
+    one = S.MemorySession.open(spark, str(root), store=store)
+    assert version() == 1 and S.MemorySession.open(spark, str(root), store=store).nodes.count() == one.nodes.count() and version() == 1
+    (root / "entities/pump.md").write_text(PUMP + "\n[[talk]]")
+    again = S.MemorySession.open(spark, str(root), store=store)
+    assert version() == 2 and again.edges.filter("src = 'pump#0' AND dst = 'talk'").count() == 1
+    sessions, vaults = {"p": again, "g": again}, {"g": {}, "p": {"project": "work"}, "other": {"project": "play"}}
+    line = S.workspace_timeline(sessions, vaults, ["Orchard"], project="work").groupBy("layer").count().collect()
+    assert {(r["layer"], r["count"]) for r in line} == {("project", 4), ("global", 4)}
+    pairs = spark.createDataFrame([(1, "sensors", "talk")], "pair_id int, a string, b string")
+    assert {r["vault"] for r in S.workspace_relate(sessions, vaults, pairs, project="work").collect()} == {"p"}
+    assert {r["vault"] for r in S.workspace_relate(sessions, vaults, pairs, project="work", layer="global").collect()} == {"g"}
+    assert S.workspace_relate({}, vaults, pairs) is None and S.workspace_timeline({}, vaults, ["x"]) is None
+    ran = S.every_vault({"b": one, "a": None}, lambda s: s.nodes.count())
+    assert list(ran) == ["a", "b"] and ran["a"][0] == "failed" and ran["b"][0] == "ok"
+
+
+def test_remembering_and_the_review_queue(spark):
+    from memspark import session as S
+
+    said = spark.createDataFrame([(1, "A walk", "we walked"), (2, "Two parts", "# one\nx\n# two\ny")], "id int, title string, text string")
+    got = {r["path"]: r["text"] for r in S.remembered(said, "agent", "2024-02-01").collect()}
+    assert len(got) == 3 and got["episodes/2024/02/2024-02-01-a-walk.md"].endswith("# A walk\n\nwe walked\n")
+    assert notes.parse("episodes/2024/02/2024-02-01-a-walk.md", got["episodes/2024/02/2024-02-01-a-walk.md"], 1)["by"] == "agent"
+    with pytest.raises(ValueError):
+        S.remembered(said, "user", "2024-02-01")
+    pending = spark.createDataFrame([("k1", "e1", False, 1), ("k2", "e2", True, 5), ("k3", "e1", None, 0)], "key string, episode string, priority boolean, queued_at bigint")
+    episodes = spark.createDataFrame([("e1", "bot", "t"), ("e1", "bot", "t")], "episode string, agent string, text string")
+    assert [(r["key"], r["agent"]) for r in S.review_queue(pending, episodes).collect()] == [("k2", None), ("k3", "bot"), ("k1", "bot")]
