@@ -15,12 +15,15 @@ so edges are sieved first:
    successors of an edge differ, the node before or after it branches.
 3. Paths. Each super-k-mer's findings fold into bits, which meet the text in a second join on the same key (so
    that the text moves once). There, runs of repeated edges, cut at branching nodes, are compacted into walks
-   along nonbranching paths: (first word, number of edges). A passage is read back from its source coordinates,
-   and passages with the same words have the same path hash. Words under a walk go.
+   along nonbranching paths: (first word, number of edges). All places of an edge see the same branches, so a
+   path is cut alike in all its copies.
+4. Verification. Each walk's words are read at its source coordinates; a walk whose words (by SHA-256) are met at
+   no other coordinates came from equal hashes of unequal edges, and is refuted. Words under the other walks go.
+   Only refuted walks are joined back, so a passage's copies never meet: they are counted map-side.
 
-What a map task sees twice itself is combined before the shuffle: one row with weight 2 goes on, the others
-need no partner. So a hot anchor or passage costs a row a batch, wherever its copies are. (Rows that need no partner see no
-neighbours either: their walks are cut less often, and cover the same words.)
+What a map task sees twice itself is combined before the shuffle. An anchor's first row goes on with weight 2, the
+others need no partner; equal super-k-mers become one row, which lists the places of the others. So a hot anchor or
+passage costs a row a batch, wherever its copies are.
 
 Defined results: null and empty texts have no words; a text shorter than a window loses nothing; equal
 rows are two occurrences each of their windows; very long texts are read whole; rows are told apart by
@@ -94,6 +97,14 @@ def combine(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return weight, known
 
 
+def alike(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in an order that puts equal keys together, and where in it each key starts."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+    return order, np.flatnonzero(new)
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, K.Words, np.ndarray, pa.RecordBatch]]:
     for part in in_slices(batch, "text", SLICE):
         w = K.words_of(part.column("text"))
@@ -120,11 +131,15 @@ def find_anchors(rows: DataFrame, width: int, size: int) -> DataFrame:
     return rows.mapInArrow(run, "id bigint, tk int, pos int, a bigint, weight int")
 
 
+EDGES = "a bigint, id bigint, tk int, pos int, weight int, before_lo bigint, before_hi bigint, after_lo bigint, after_hi bigint, edges array<bigint>, others array<struct<id: bigint, tk: int, pos: int>>"
+
+
 def find_edges(rows: DataFrame, width: int, size: int) -> DataFrame:
-    """a, id, tk, pos, weight, before, after, edges: the edges above each of the given anchors, in one row.
+    """The edges above each of the given anchors, a batch's equal ones in one row.
 
     Consecutive windows with one anchor are a super-k-mer: edges holds their hashes in order, pos is the first
-    one's first word; before and after are hashes of the words around (0 at a text's ends).
+    one's first word; before and after are the least and greatest hashes of the words around (0 at a text's ends);
+    others are the further places of the same super-k-mer.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,44 +164,55 @@ def find_edges(rows: DataFrame, width: int, size: int) -> DataFrame:
                 head[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
                 first = np.flatnonzero(head)
                 last = np.append(first[1:], len(starts)) - 1
-                small = (h & U64(0x7FFFFFFF)).astype(np.int32) | 1
+                word = (h >> U64(1)).astype(np.int64) | 1
                 d = doc[first]
-                before = np.where(starts[first] > w.first[d], small[np.maximum(starts[first] - 1, 0)], 0)
+                before = np.where(starts[first] > w.first[d], word[np.maximum(starts[first] - 1, 0)], 0)
                 ends = starts[last] + width
-                after = np.where(ends < w.first[d + 1], small[np.minimum(ends, len(h) - 1)], 0)
+                after = np.where(ends < w.first[d + 1], word[np.minimum(ends, len(h) - 1)], 0)
                 for column, x in zip(out, (grams[at[first]], ids[d], tks[d], (starts[first] - w.first[d]).astype(np.int32), before, after, last - first + 1, edges), strict=True):
                     column.append(x)
             if not out[0]:
                 continue
             a, ids, tks, pos, before, after, lengths, edges = (np.concatenate(x) for x in out)
             ends = np.cumsum(lengths)
-            weight, known = combine([a, K.ranges_hash(edges, ends - lengths, ends, K.WORD_BASES[0])])
-            a = np.where(known, K.mix(a ^ ids.astype(U64) ^ K.mix(pos.astype(U64)), 8), a)  # needs no partner, so goes anywhere
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(edges.view(np.int64)))
+            order, starts = alike([a, K.ranges_hash(edges, ends - lengths, ends, K.WORD_BASES[0])])
+            head, times = order[starts], np.diff(np.append(starts, len(order)))
+            rest = np.delete(order, starts)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(edges.view(np.int64))).take(pa.array(head))
+            places = pa.StructArray.from_arrays([pa.array(x[rest]) for x in (ids, tks, pos)], names=["id", "tk", "pos"])
+            others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(times - 1)).astype(np.int32)), places)
+            around = [pa.array(f.reduceat(x[order], starts)) for x in (before, after) for f in (np.minimum, np.maximum)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a.view(np.int64)), pa.array(ids), pa.array(tks), pa.array(pos), pa.array(weight), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)), lists],
-                names=["a", "id", "tk", "pos", "weight", "before", "after", "edges"],
+                [pa.array(a.view(np.int64)[head]), pa.array(ids[head]), pa.array(tks[head]), pa.array(pos[head]), pa.array(np.minimum(times, 2).astype(np.int32)), *around, lists, others],
+                names=["a", "id", "tk", "pos", "weight", "before_lo", "before_hi", "after_lo", "after_hi", "edges", "others"],
             )
 
-    return rows.mapInArrow(run, "a bigint, id bigint, tk int, pos int, weight int, before int, after int, edges array<bigint>")
+    return rows.mapInArrow(run, EDGES)
 
 
 def repeated_edges(found: DataFrame) -> DataFrame:
     """id, tk, pos and bits for each super-k-mer with repeated edges: which repeat, and before or after which the path branches.
 
     Equal edges have equal anchors, so one exchange by anchor brings them together; they unfold after it, and fold
-    into bits again before the next.
+    into bits again before the next. A row's other places travel with its first edge, which repeats if there are any.
     """
-    each = found.repartition("a").select("a", "id", "tk", "pos", "weight", "before", "after", "edges", F.posexplode("edges").alias("i", "e"))
-    each = each.select("a", "id", "tk", "pos", "weight", "i", "e", F.coalesce(F.get("edges", F.col("i") - 1), F.col("before").cast("long")).alias("prev"), F.coalesce(F.get("edges", F.col("i") + 1), F.col("after").cast("long")).alias("next"))
+    each = found.repartition("a").select("*", F.posexplode("edges").alias("i", "e"))
+    near = lambda step, end: F.coalesce(F.get("edges", F.col("i") + step), F.col(end))
+    each = each.select(
+        "a", "id", "tk", "pos", "weight", "i", "e", F.when(F.col("i") == 0, F.col("others")).alias("others"),
+        near(-1, "before_lo").alias("prev_lo"), near(-1, "before_hi").alias("prev_hi"), near(1, "after_lo").alias("next_lo"), near(1, "after_hi").alias("next_hi"),
+    )
     over = Window.partitionBy("a", "e")
     marked = each.select(
-        "a", "id", "tk", "pos", "i", F.sum("weight").over(over).alias("times"),
-        (F.min("prev").over(over) != F.max("prev").over(over)).alias("joins"), (F.min("next").over(over) != F.max("next").over(over)).alias("parts"),
+        "a", "id", "tk", "pos", "i", "others", F.sum("weight").over(over).alias("times"),
+        (F.min("prev_lo").over(over) != F.max("prev_hi").over(over)).alias("joins"), (F.min("next_lo").over(over) != F.max("next_hi").over(over)).alias("parts"),
     ).filter("times > 1")
     bit = F.expr("shiftleft(1L, i)")
     bits = lambda c: F.bit_or(F.when(F.col(c), bit).otherwise(F.lit(0).cast("long"))).alias(c)
-    return marked.groupBy("a", "id", "tk", "pos").agg(F.bit_or(bit).alias("repeats"), bits("joins"), bits("parts")).drop("a")
+    folded = marked.groupBy("a", "id", "tk", "pos").agg(F.bit_or(bit).alias("repeats"), bits("joins"), bits("parts"), F.first("others", ignorenulls=True).alias("others"))
+    own = F.array(F.struct("id", "tk", "pos"))
+    places = F.when(F.col("others").isNull(), own).otherwise(F.concat(own, "others"))
+    return folded.select(F.explode(places).alias("at"), "repeats", "joins", "parts").select("at.*", "repeats", "joins", "parts")
 
 
 def walks_of(marks: list[dict], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,21 +246,38 @@ def texts_and_marks(docs: DataFrame, width: int, size: int, id_col: str, text: s
     return both.join(marks, ["id", "tk"], "left").select("id", "tk", "text", "marks")
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, size: int = ANCHOR, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, start_word, n_words, path: the repeated passages by their source coordinates; path is a hash of a passage's words, read there."""
+def walks(rows: DataFrame, width: int) -> DataFrame:
+    """id, tk, start, n_words and path of the walks of texts_and_marks' rows; path digests the words at these coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for doc, t, marks in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
-                words = t.encode().split()
-                for start, n in zip(*(x.tolist() for x in walks_of(marks, width)), strict=True):
-                    span = words[start : start + n + width - 1]
-                    for column, x in zip(out, (None if doc == NO_ID else doc, start, len(span), hashlib.sha256(b" ".join(span)).hexdigest()), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "start_word", "n_words", "path"])
+            # The rows without marks are left out here: a filter in the plan would keep it from sharing the texts' exchange.
+            batch = batch.filter(batch.column("marks").is_valid())
+            for part in in_slices(batch, "text", 4 << 20):
+                out: list[list] = [[], [], [], [], []]
+                for doc, tk, t, marks in zip(*(part.column(c).to_pylist() for c in ("id", "tk", "text", "marks")), strict=True):
+                    words = t.encode().split()
+                    for start, n in zip(*(x.tolist() for x in walks_of(marks, width)), strict=True):
+                        span = words[start : start + n + width - 1]
+                        for column, x in zip(out, (doc, tk, start, len(span), hashlib.sha256(b" ".join(span)).digest()), strict=True):
+                            column.append(x)
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["id", "tk", "start", "n_words", "path"])
+
+    return rows.mapInArrow(run, "id bigint, tk int, start bigint, n_words bigint, path binary")
+
 
-    return texts_and_marks(docs, width, size, id_col, text).filter("marks IS NOT NULL").mapInArrow(run, "doc_id bigint, start_word bigint, n_words bigint, path string")
+def refuted(found: DataFrame) -> DataFrame:
+    """id, tk, wrong: the starts of a text's walks whose words stand at no other coordinates."""
+    once = found.groupBy("path").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("id"), F.min("tk").alias("tk"), F.min("start").alias("start")).filter("times = 1")
+    return once.groupBy("id", "tk").agg(F.collect_list("start").alias("wrong"))
+
+
+def repeated_spans(docs: DataFrame, width: int = WIDTH, size: int = ANCHOR, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, start_word, n_words, path: the repeated passages by their verified source coordinates; copies have one path."""
+    found = walks(texts_and_marks(docs, width, size, id_col, text), width)
+    kept = found.join(refuted(found), ["id", "tk"], "left").filter(~F.coalesce(F.array_contains("wrong", F.col("start")), F.lit(False)))
+    return kept.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), F.col("start").alias("start_word"), "n_words", F.lower(F.hex("path")).alias("path"))
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, size: int = ANCHOR, id_col: str = "doc_id", text: str = "text", kept_text: bool = True) -> DataFrame:
@@ -244,11 +287,14 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, size: int = ANCHOR, id
         for batch in batches:
             for part in in_slices(batch, "text", 4 << 20):
                 out: list[list] = [[], [], [], [], []]
-                for doc, t, marks in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), part.column("marks").to_pylist(), strict=True):
+                for doc, t, marks, wrong in zip(*(part.column(c).to_pylist() for c in ("id", "text", "marks", "wrong")), strict=True):
                     words = t.encode().split()
                     kept = words
                     if marks:
                         start, n = walks_of(marks, width)
+                        if wrong:
+                            right = ~np.isin(start, wrong)
+                            start, n = start[right], n[right]
                         gone = K.covered(len(words), start, n + width - 1)
                         kept = [x for x, g in zip(words, gone.tolist(), strict=True) if not g]
                     left = b" ".join(kept)
@@ -257,4 +303,5 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, size: int = ANCHOR, id
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, types, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return texts_and_marks(docs, width, size, id_col, text).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    rows = texts_and_marks(docs, width, size, id_col, text)
+    return rows.join(refuted(walks(rows, width)), ["id", "tk"], "left").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")

@@ -218,6 +218,33 @@ def test_substring_dedup(spark, texts):
     assert sorted((r["doc_id"], r["start_word"], r["n_words"]) for r in spans) == [(0, 0, 60), (1, 1, 60)] and len({r["path"] for r in spans}) == 1
 
 
+@pytest.mark.parametrize("batch", [1, 10000])
+def test_substring_paths_are_cut_alike_in_all_copies(spark, batch):
+    """Copies that one batch has combined see the branches of copies elsewhere."""
+    p, q = (" ".join(f"{c}{i}" for i in range(80)) for c in "pq")
+    every = [p, "x " + p, p + " y", p, q, p + " " + q, "z " + " ".join(q.split()[20:]) + " w", p, q]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        spans = substring_dedup.repeated_spans(docs(spark, every)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {}
+    for r in spans:
+        got.setdefault(r["path"], set()).add((r["doc_id"], r["start_word"], r["n_words"]))
+    # q's first edge before the shorter copy, and the rest, are two paths; p is one, wherever it stands.
+    assert sorted(map(sorted, got.values())) == [
+        [(0, 0, 80), (1, 1, 80), (2, 0, 80), (3, 0, 80), (5, 0, 80), (7, 0, 80)],
+        [(4, 0, 54), (5, 80, 54), (8, 0, 54)],
+        [(4, 20, 60), (5, 100, 60), (6, 1, 60), (8, 20, 60)],
+    ]
+
+
+def test_substring_walks_without_a_second_place_are_refuted(spark):
+    rows = [(1, 7, 0, 40, b"a"), (2, 8, 3, 40, b"a"), (1, 7, 50, 35, b"b"), (1, 7, 90, 35, b"c"), (5, 9, 0, 35, b"d"), (5, 9, 0, 35, b"d")]
+    got = substring_dedup.refuted(spark.createDataFrame(rows, "id bigint, tk int, start bigint, n_words bigint, path binary")).collect()
+    assert [(r["id"], r["tk"], sorted(r["wrong"])) for r in got] == [(1, 7, [50, 90])]
+
+
 def test_substring_dedup_odd_tables(spark):
     long = " ".join(f"v{i}" for i in range(50))
     rows = [(None, long), (None, long), (3, "q " * 40), (3, "q " * 40), (4, long + " z")]
