@@ -21,9 +21,10 @@ so edges are sieved first:
    no other coordinates came from equal hashes of unequal edges, and is refuted. Words under the other walks go.
    Only refuted walks are joined back, so a passage's copies never meet: they are counted map-side.
 
-What a map task sees twice itself is combined before the shuffle. An anchor's first row goes on with weight 2, the
-others need no partner; equal super-k-mers become one row, which lists the places of the others. So a hot anchor or
-passage costs a row a batch, wherever its copies are.
+What a map task sees twice itself is combined before the shuffle: equal anchors, and equal super-k-mers, become one row
+that lists the places of the others. So a hot anchor or passage costs a row a batch, wherever its copies are. What
+stands around a passage's copies differs, though, and so do the super-k-mers above the anchors near its ends. The first
+step counts these, and an anchor with more than HOT of them is split: its edges travel alone, to a task for each edge.
 
 Defined results: null and empty texts have no words; a text shorter than a window loses nothing; equal
 rows are two occurrences each of their windows; very long texts are read whole; rows are told apart by
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -49,6 +50,9 @@ U64 = np.uint64
 #: Stands for a null document id in the joins.
 NO_ID = -(1 << 63)
 SLICE = 1 << 20
+#: An anchor with more super-k-mers than these, equal ones of a batch counted once, is split by edges.
+HOT = 512
+PLACES = "array<struct<id: bigint, tk: int, pos: int>>"
 
 
 def least_anchor(grams: np.ndarray, span: int) -> np.ndarray:
@@ -76,27 +80,6 @@ def anchors(w: K.Words, h: np.ndarray, width: int, size: int) -> tuple[np.ndarra
     return at, least_anchor(grams, width - size + 1)[at], grams
 
 
-def combine(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For rows with these key columns: their weight, and which are sure to repeat within this batch.
-
-    The first row of a key stands for the batch, with weight 2 if there are more.
-    """
-    n = len(keys[0])
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-    same = np.ones(max(n - 1, 0), dtype=bool)
-    for k in keys:
-        same &= k[order[1:]] == k[order[:-1]]
-    head = np.ones(n, dtype=bool)
-    head[1:] = ~same
-    more = np.zeros(n, dtype=bool)
-    more[:-1] = same
-    weight = np.empty(n, dtype=np.int32)
-    weight[order] = np.where(head & ~more, 1, 2)
-    known = np.empty(n, dtype=bool)
-    known[order] = ~head
-    return weight, known
-
-
 def alike(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Rows in an order that puts equal keys together, and where in it each key starts."""
     order = np.lexsort(keys[::-1])
@@ -111,27 +94,52 @@ def slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, K.Wo
         yield part.column("id").to_numpy(), part.column("tk").to_numpy(), w, w.hashes(), part
 
 
+def listed(order: np.ndarray, starts: np.ndarray, columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, pa.Array, pa.ListArray]:
+    """Each group's first row, its weight (2 for more rows than one) and the places (id, tk, pos) of the other rows."""
+    times = np.diff(np.append(starts, len(order)))
+    rest = np.delete(order, starts)
+    places = pa.StructArray.from_arrays([pa.array(x[rest]) for x in columns], names=["id", "tk", "pos"])
+    offsets = np.append(0, np.cumsum(times - 1)).astype(np.int32)
+    return order[starts], pa.array(np.minimum(times, 2).astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), places)
+
+
+def all_places() -> Column:
+    own = F.array(F.struct("id", "tk", "pos"))
+    return F.when(F.size("others") > 0, F.concat(own, "others")).otherwise(own)
+
+
 def find_anchors(rows: DataFrame, width: int, size: int) -> DataFrame:
-    """id, tk, pos, a, weight: each anchor of each text once."""
+    """a, id, tk, pos, weight, kinds, others: each anchor of a batch once, with all its places and the number of its different super-k-mers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
             for ids, tks, w, h, _ in slices(batch):
-                _, at, grams = anchors(w, h, width, size)
-                at = np.unique(at)
-                doc = w.doc[at]
-                for column, x in zip(out, (ids[doc], tks[doc], (at - w.first[doc]).astype(np.int32), grams[at]), strict=True):
+                starts, at, grams = anchors(w, h, width, size)
+                if not len(starts):
+                    continue
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                last = np.append(first[1:], len(starts)) - 1
+                at, doc = at[first], w.doc[starts[first]]
+                spans = K.ranges_hash(h, starts[first], starts[last] + width, K.WORD_BASES[1])
+                for column, x in zip(out, (grams[at], spans, ids[doc], tks[doc], (at - w.first[doc]).astype(np.int32)), strict=True):
                     column.append(x)
-            ids, tks, pos, a = (np.concatenate(x) for x in out)
-            weight, known = combine([a])
-            a = np.where(known, K.mix(a ^ ids.astype(U64) ^ K.mix(pos.astype(U64)), 7), a)  # needs no partner, so goes anywhere
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tks), pa.array(pos), pa.array(a.view(np.int64)), pa.array(weight)], names=["id", "tk", "pos", "a", "weight"])
+            if not out[0]:
+                continue
+            a, spans, ids, tks, pos = (np.concatenate(x) for x in out)
+            order, each = alike([a, spans])
+            starts = np.flatnonzero(np.append(True, a[order[1:]] != a[order[:-1]]))
+            kinds = np.diff(np.searchsorted(each, np.append(starts, len(order))))
+            head, weight, others = listed(order, starts, (ids, tks, pos))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a.view(np.int64)[head]), pa.array(ids[head]), pa.array(tks[head]), pa.array(pos[head]), weight, pa.array(kinds.astype(np.int32)), others],
+                names=["a", "id", "tk", "pos", "weight", "kinds", "others"],
+            )
 
-    return rows.mapInArrow(run, "id bigint, tk int, pos int, a bigint, weight int")
+    return rows.mapInArrow(run, f"a bigint, id bigint, tk int, pos int, weight int, kinds int, others {PLACES}")
 
 
-EDGES = "a bigint, id bigint, tk int, pos int, weight int, before_lo bigint, before_hi bigint, after_lo bigint, after_hi bigint, edges array<bigint>, others array<struct<id: bigint, tk: int, pos: int>>"
+EDGES = f"a bigint, id bigint, tk int, pos int, weight int, before_lo bigint, before_hi bigint, after_lo bigint, after_hi bigint, edges array<bigint>, others {PLACES}"
 
 
 def find_edges(rows: DataFrame, width: int, size: int) -> DataFrame:
@@ -139,7 +147,8 @@ def find_edges(rows: DataFrame, width: int, size: int) -> DataFrame:
 
     Consecutive windows with one anchor are a super-k-mer: edges holds their hashes in order, pos is the first
     one's first word; before and after are the least and greatest hashes of the words around (0 at a text's ends);
-    others are the further places of the same super-k-mer.
+    others are the further places of the same super-k-mer. A given anchor is twice its place, and 1 more if it is
+    split: then each of its edges is a row, under a key of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +160,10 @@ def find_edges(rows: DataFrame, width: int, size: int) -> DataFrame:
                 if not lengths.sum():
                     continue
                 doc = np.repeat(np.arange(len(ids)), lengths)
-                marked = np.zeros(len(h) + 1, dtype=bool)
-                marked[w.first[doc] + mine.flatten().to_numpy()] = True
+                marked, split = (np.zeros(len(h) + 1, dtype=bool) for _ in range(2))
+                given = mine.flatten().to_numpy()
+                marked[w.first[doc] + (given >> 1)] = True
+                split[w.first[doc] + (given >> 1)] = given & 1
                 starts, at, grams = anchors(w, h, width, size)
                 some = marked[at]
                 starts, at = starts[some], at[some]
@@ -160,30 +171,33 @@ def find_edges(rows: DataFrame, width: int, size: int) -> DataFrame:
                     continue
                 doc = w.doc[starts]
                 edges = K.ranges_hash(h, starts, starts + width, K.WORD_BASES[1])
-                head = np.ones(len(starts), dtype=bool)
-                head[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
-                first = np.flatnonzero(head)
+                head = np.append(True, at[1:] != at[:-1])
+                tail = np.append(head[1:], True)
+                alone = split[at]
+                first = np.flatnonzero(head | alone)
                 last = np.append(first[1:], len(starts)) - 1
                 word = (h >> U64(1)).astype(np.int64) | 1
                 d = doc[first]
                 before = np.where(starts[first] > w.first[d], word[np.maximum(starts[first] - 1, 0)], 0)
                 ends = starts[last] + width
                 after = np.where(ends < w.first[d + 1], word[np.minimum(ends, len(h) - 1)], 0)
-                for column, x in zip(out, (grams[at[first]], ids[d], tks[d], (starts[first] - w.first[d]).astype(np.int32), before, after, last - first + 1, edges), strict=True):
+                # Within its super-k-mer a lone edge's neighbours are edges, as in the rows that aren't split.
+                near = edges.view(np.int64)
+                before = np.where(head[first], before, near[first - 1])
+                after = np.where(tail[last], after, near[np.minimum(last + 1, len(near) - 1)])
+                a = np.where(alone[first], K.mix(grams[at[first]] ^ edges[first], 9), grams[at[first]])
+                for column, x in zip(out, (a, ids[d], tks[d], (starts[first] - w.first[d]).astype(np.int32), before, after, last - first + 1, edges), strict=True):
                     column.append(x)
             if not out[0]:
                 continue
             a, ids, tks, pos, before, after, lengths, edges = (np.concatenate(x) for x in out)
             ends = np.cumsum(lengths)
             order, starts = alike([a, K.ranges_hash(edges, ends - lengths, ends, K.WORD_BASES[0])])
-            head, times = order[starts], np.diff(np.append(starts, len(order)))
-            rest = np.delete(order, starts)
+            head, weight, others = listed(order, starts, (ids, tks, pos))
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(edges.view(np.int64))).take(pa.array(head))
-            places = pa.StructArray.from_arrays([pa.array(x[rest]) for x in (ids, tks, pos)], names=["id", "tk", "pos"])
-            others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(times - 1)).astype(np.int32)), places)
             around = [pa.array(f.reduceat(x[order], starts)) for x in (before, after) for f in (np.minimum, np.maximum)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a.view(np.int64)[head]), pa.array(ids[head]), pa.array(tks[head]), pa.array(pos[head]), pa.array(np.minimum(times, 2).astype(np.int32)), *around, lists, others],
+                [pa.array(a.view(np.int64)[head]), pa.array(ids[head]), pa.array(tks[head]), pa.array(pos[head]), weight, *around, lists, others],
                 names=["a", "id", "tk", "pos", "weight", "before_lo", "before_hi", "after_lo", "after_hi", "edges", "others"],
             )
 
@@ -199,7 +213,7 @@ def repeated_edges(found: DataFrame) -> DataFrame:
     each = found.repartition("a").select("*", F.posexplode("edges").alias("i", "e"))
     near = lambda step, end: F.coalesce(F.get("edges", F.col("i") + step), F.col(end))
     each = each.select(
-        "a", "id", "tk", "pos", "weight", "i", "e", F.when(F.col("i") == 0, F.col("others")).alias("others"),
+        "a", "id", "tk", "pos", "weight", "i", "e", F.when((F.col("i") == 0) & (F.size("others") > 0), F.col("others")).alias("others"),
         near(-1, "before_lo").alias("prev_lo"), near(-1, "before_hi").alias("prev_hi"), near(1, "after_lo").alias("next_lo"), near(1, "after_hi").alias("next_hi"),
     )
     over = Window.partitionBy("a", "e")
@@ -209,10 +223,8 @@ def repeated_edges(found: DataFrame) -> DataFrame:
     ).filter("times > 1")
     bit = F.expr("shiftleft(1L, i)")
     bits = lambda c: F.bit_or(F.when(F.col(c), bit).otherwise(F.lit(0).cast("long"))).alias(c)
-    folded = marked.groupBy("a", "id", "tk", "pos").agg(F.bit_or(bit).alias("repeats"), bits("joins"), bits("parts"), F.first("others", ignorenulls=True).alias("others"))
-    own = F.array(F.struct("id", "tk", "pos"))
-    places = F.when(F.col("others").isNull(), own).otherwise(F.concat(own, "others"))
-    return folded.select(F.explode(places).alias("at"), "repeats", "joins", "parts").select("at.*", "repeats", "joins", "parts")
+    folded = marked.groupBy("a", "id", "tk", "pos").agg(F.bit_or(bit).alias("repeats"), bits("joins"), bits("parts"), F.flatten(F.collect_list("others")).alias("others"))
+    return folded.select(F.explode(all_places()).alias("at"), "repeats", "joins", "parts").select("at.*", "repeats", "joins", "parts")
 
 
 def walks_of(marks: list[dict], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -238,8 +250,10 @@ def texts_and_marks(docs: DataFrame, width: int, size: int, id_col: str, text: s
     rows = docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), F.hash(F.col(f"`{text}`")).alias("tk"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")
     )
-    found = find_anchors(rows, width, size).withColumn("times", F.sum("weight").over(Window.partitionBy("a"))).filter("times > 1")
-    places = found.groupBy("id", "tk").agg(F.collect_set("pos").alias("anchors"))
+    over = Window.partitionBy("a")
+    found = find_anchors(rows, width, size).withColumns({"times": F.sum("weight").over(over), "split": (F.sum("kinds").over(over) > HOT).cast("int")}).filter("times > 1")
+    found = found.select(F.explode(all_places()).alias("at"), "split").select("at.*", "split")
+    places = found.groupBy("id", "tk").agg(F.collect_set(F.col("pos") * 2 + F.col("split")).alias("anchors"))
     both = rows.join(places, ["id", "tk"], "left")
     edges = repeated_edges(find_edges(both.filter("anchors IS NOT NULL"), width, size))
     marks = edges.groupBy("id", "tk").agg(F.collect_list(F.struct("pos", "repeats", "joins", "parts")).alias("marks"))

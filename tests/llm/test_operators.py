@@ -209,7 +209,9 @@ def test_signatures_meet():
 # 2
 
 
-def test_substring_dedup(spark, texts):
+@pytest.mark.parametrize("hot", [512, 1])
+def test_substring_dedup(spark, texts, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     long = " ".join(f"v{i}" for i in range(60))
     every = [*texts, *near_copies(9), *ODD, long, "x " + long + " y", long + " " + long]
     got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.dedup_substrings(docs(spark, every)).collect())
@@ -219,8 +221,10 @@ def test_substring_dedup(spark, texts):
 
 
 @pytest.mark.parametrize("batch", [1, 10000])
-def test_substring_paths_are_cut_alike_in_all_copies(spark, batch):
-    """Copies that one batch has combined see the branches of copies elsewhere."""
+@pytest.mark.parametrize("hot", [512, 2, 0])
+def test_substring_paths_are_cut_alike_in_all_copies(spark, monkeypatch, batch, hot):
+    """Copies that one batch has combined, or whose anchors are split, see the branches of copies elsewhere."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     p, q = (" ".join(f"{c}{i}" for i in range(80)) for c in "pq")
     every = [p, "x " + p, p + " y", p, q, p + " " + q, "z " + " ".join(q.split()[20:]) + " w", p, q]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
@@ -253,6 +257,16 @@ def test_substring_dedup_odd_tables(spark):
     assert substring_dedup.dedup_substrings(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [512, 0])
+def test_substring_dedup_of_a_table_met_twice(spark, monkeypatch, hot):
+    """Equal rows in several partitions, each with copies beside it: no place of a combined row is lost."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    long = " ".join(f"v{i}" for i in range(50))
+    some = docs(spark, [long, "x " + long, long + " z", long]).coalesce(1)
+    got = substring_dedup.dedup_substrings(some.unionByName(some).unionByName(some)).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == sorted([(0, 50, 50), (1, 51, 51), (2, 51, 51), (3, 50, 50)] * 3)
+
+
 # 7
 
 
