@@ -109,7 +109,10 @@ def all_places() -> Column:
 
 
 def find_anchors(rows: DataFrame, width: int, size: int) -> DataFrame:
-    """a, id, tk, pos, weight, kinds, others: each anchor of a batch once, with all its places and the number of its different super-k-mers."""
+    """a, id, tk, pos, weight, kinds, others: each anchor of a batch once, with the number of its different super-k-mers.
+
+    If there are more places, a second row of weight 0 lists them, under a key of its own and the first place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,8 +134,18 @@ def find_anchors(rows: DataFrame, width: int, size: int) -> DataFrame:
             starts = np.flatnonzero(np.append(True, a[order[1:]] != a[order[:-1]]))
             kinds = np.diff(np.searchsorted(each, np.append(starts, len(order))))
             head, weight, others = listed(order, starts, (ids, tks, pos))
+            # The lists meet nobody, so they go anywhere, and not where a hot anchor is counted.
+            some = np.flatnonzero(np.diff(np.append(starts, len(order))) > 1)
+            own = head[some]
+            away = K.mix(a[own] ^ ids[own].astype(U64) ^ K.mix(pos[own].astype(U64)), 7)
+            none = np.zeros(len(some), np.int32)
+            at = np.append(head, own)
+            empty = pa.ListArray.from_arrays(pa.array(np.zeros(len(head) + 1, np.int32)), others.values.slice(0, 0))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a.view(np.int64)[head]), pa.array(ids[head]), pa.array(tks[head]), pa.array(pos[head]), weight, pa.array(kinds.astype(np.int32)), others],
+                [
+                    pa.array(np.append(a[head], away).view(np.int64)), pa.array(ids[at]), pa.array(tks[at]), pa.array(pos[at]),
+                    pa.concat_arrays([weight, pa.array(none)]), pa.array(np.append(kinds.astype(np.int32), none)), pa.concat_arrays([empty, others.take(pa.array(some))]),
+                ],
                 names=["a", "id", "tk", "pos", "weight", "kinds", "others"],
             )
 
@@ -251,7 +264,8 @@ def texts_and_marks(docs: DataFrame, width: int, size: int, id_col: str, text: s
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), F.hash(F.col(f"`{text}`")).alias("tk"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")
     )
     over = Window.partitionBy("a")
-    found = find_anchors(rows, width, size).withColumns({"times": F.sum("weight").over(over), "split": (F.sum("kinds").over(over) > HOT).cast("int")}).filter("times > 1")
+    found = find_anchors(rows, width, size).withColumns({"times": F.sum("weight").over(over), "split": (F.sum("kinds").over(over) > HOT).cast("int")}).filter("times > 1 OR weight = 0")
+    found = found.groupBy("id", "tk", "pos").agg(F.max("split").alias("split"), F.flatten(F.collect_list(F.when(F.size("others") > 0, F.col("others")))).alias("others"))
     found = found.select(F.explode(all_places()).alias("at"), "split").select("at.*", "split")
     places = found.groupBy("id", "tk").agg(F.collect_set(F.col("pos") * 2 + F.col("split")).alias("anchors"))
     both = rows.join(places, ["id", "tk"], "left")
