@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, jaccard_join, language_id, line_dedup, packing, pii, quality, sentencepiece_codec, substring_dedup, warc
+from . import collocations, embedding_dedup, jaccard_join, language_id, lattice_lm, line_dedup, packing, pii, quality, sentencepiece_codec, substring_dedup, vector_codes, warc
 from .common import new_path, table
 
 
@@ -60,6 +60,20 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", f"{p}.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_language_id, op4_quality_rules, op5_best_fit_packing, op6_ngram_jaccard_join, op7_embedding_near_dedup, op8_warc, op9_line_dedup, op10_sentencepiece)}
+def op11_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = "coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 1, true)"  # a null id isn't learned from
+    out, s = lattice_lm.score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), f"not ({fold})", keep=["doc_id"])
+    return out.select("doc_id", F.expr(fold).alias("held_out"), f"{s}.*")
 
-ORACLE_SQL = {"op8_warc": warc.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode_vectors(table(spark, sf_dir, "embeddings"))[0]
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_language_id, op4_quality_rules, op5_best_fit_packing, op6_ngram_jaccard_join, op7_embedding_near_dedup, op8_warc, op9_line_dedup, op10_sentencepiece, op11_lattice_lm, op12_vector_codes, op13_collocations)}
+
+ORACLE_SQL = {"op8_warc": warc.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op12_vector_codes": vector_codes.ORACLE, "op13_collocations": collocations.ORACLE}
