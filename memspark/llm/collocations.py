@@ -4,7 +4,8 @@ Words (ASCII letters in lower case) stand in pieces between the marks .,;:!? and
 and everything is counted by language.
 
 1. Slices (slices.py) read texts once. Words are summed over all slices; only those met often enough can be part
-   of a frequent phrase, and their numbers go back to the slices. Every other word ends a path, as a piece's end does.
+   of a frequent phrase. Every word of a slice gets an answer, its number or 0, so that a rare word can't be
+   taken for an answer that is missing. A word of 0 ends a path, as a piece's end does.
 2. A slice is a shard. Each place in it gives one path, the (up to) WIDTH words from there on; the sorted distinct
    paths with their counts are the shard's trie, serialised front-coded (the words shared with the path before, then the
    rest), in blocks of BLOCK paths.
@@ -159,18 +160,24 @@ TRIE = "first binary, paths int, trie binary"
 
 
 def tries(found: DataFrame, width: int) -> DataFrame:
-    """The blocks of every slice's trie; found: (lengths, tokens, at, id)."""
+    """The blocks of every slice's trie; found: (size: its words, lengths, tokens, at, id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 lengths, tokens, at, ids = (batch.column(c)[k] for c in ("lengths", "tokens", "at", "id"))
                 tokens, place, ids, ends = slices.unpacked(tokens.as_py()), at.values.to_numpy(), ids.values.to_numpy(), np.cumsum(lengths.values.to_numpy())
+                answers = np.full(batch.column("size")[k].as_py(), -1, dtype=np.int64)
+                answers[place] = ids
+                if (answers < 0).any():
+                    raise RuntimeError("a slice's words lack answers")
+                place = np.flatnonzero(answers)
+                ids = answers[place]
                 order = np.argsort(ids)
-                rank = np.zeros(max(int(place.max()), int(tokens.max())) + 1, dtype=np.uint32)
+                rank = np.zeros(len(answers), dtype=np.uint32)
                 rank[place[order]] = np.arange(1, len(ids) + 1)
                 name = np.concatenate([[0], ids[order]]).astype(np.uint32)
-                paths, counts = shard(np.insert(rank[tokens], ends, 0), width, len(ids).bit_length())
+                paths, counts = shard(np.insert(rank[tokens], ends, 0), width, max(1, len(ids).bit_length()))
                 paths = name[paths]
                 rows = [(paths[s : s + BLOCK], counts[s : s + BLOCK]) for s in range(0, len(paths), BLOCK)]
                 yield blocks(rows)
@@ -273,12 +280,15 @@ def mine_phrases(docs: DataFrame, width: int = WIDTH, least: int = LEAST, top: i
     spark = docs.sparkSession
     group = f"coalesce(cast(`{lang}` as string), '{UNKNOWN}')"
     table = slices.slices(docs, [], words_of, "phrase-slices", text, group=group)
-    asked = slices.asked(table).filter(F.col("word") != F.lit(STOP))
+    asked = slices.asked(table)
     every = written(asked.groupBy("group", "word").agg(F.sum("n").alias("f")), "phrase-words")
-    totals = every.groupBy("group").agg(F.sum("f").alias("n"))
-    words = written(numbered(every.filter(F.col("f") >= least)), "phrase-ids")
-    answers = slices.answered(asked.select("slice", "at", "group", "word").join(words.select("group", "word", "id"), ["group", "word"]), ["id"])
-    table = written(tries(table.select("slice", "lengths", "tokens").join(answers, "slice"), width), "tries")
+    real = F.col("word") != F.lit(STOP)
+    often = real & (F.col("f") >= least)
+    totals = every.filter(real).groupBy("group").agg(F.sum("f").alias("n"))
+    words = written(numbered(every.filter(often)), "phrase-ids")
+    ids = words.select("group", "word", "id").unionByName(every.filter(~often).select("group", "word", F.lit(0).cast("bigint").alias("id")))
+    answers = slices.answered(asked.select("slice", "at", "group", "word").join(ids, ["group", "word"]), ["id"])
+    table = written(tries(table.select("slice", F.size("words").alias("size"), "lengths", "tokens").join(answers, "slice"), width), "tries")
     paths = table.agg(F.sum("paths")).head()[0] or 0
     wanted = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-paths // RANGE)))
     at = limits(table, wanted)
