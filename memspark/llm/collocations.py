@@ -44,6 +44,8 @@ MARKS = b".,;:!?\n\x0b\x0c\r"
 STOP = b"."
 FOLD = bytes.maketrans(bytes(range(65, 91)) + MARKS, bytes(range(97, 123)) + STOP * len(MARKS))
 
+#: Bytes of text of a shard: sorting its paths takes about 15 times that.
+SHARD = 8 << 20
 BLOCK = 1 << 16
 RANGE, MOST_RANGES = 1 << 22, 1 << 16
 SAMPLE = 64
@@ -279,7 +281,7 @@ def mine_phrases(docs: DataFrame, width: int = WIDTH, least: int = LEAST, top: i
     """
     spark = docs.sparkSession
     group = f"coalesce(cast(`{lang}` as string), '{UNKNOWN}')"
-    table = slices.slices(docs, [], words_of, "phrase-slices", text, group=group)
+    table = slices.slices(docs, [], words_of, "phrase-slices", text, group=group, size=SHARD)
     asked = slices.asked(table)
     every = written(asked.groupBy("group", "word").agg(F.sum("n").alias("f")), "phrase-words")
     real = F.col("word") != F.lit(STOP)

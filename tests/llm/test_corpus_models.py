@@ -211,9 +211,8 @@ def sentences(rng, n, vocabulary=12):
 def test_collocations(spark, monkeypatch, block, ranged, pending, size):
     rng = random.Random(block)
     rows = [(i, t, rng.choice(["en", "de", None, "und"])) for i, t in enumerate([*sentences(rng, 120), *ODD, *ODD])]
-    for name, value in (("BLOCK", block), ("RANGE", ranged), ("PENDING", pending)):
+    for name, value in (("BLOCK", block), ("RANGE", ranged), ("PENDING", pending), ("SHARD", size)):
         monkeypatch.setattr(collocations, name, value)
-    monkeypatch.setattr(slices.slices, "__defaults__", (*slices.slices.__defaults__[:-1], size))
     for percent, least, top in ((100, 3, 2000), (60, 5, 9)):
         c = duckdb.connect()
         c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR)")
