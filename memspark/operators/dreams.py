@@ -95,7 +95,7 @@ def sample_pairs(notes: DataFrame, active: DataFrame, edges: DataFrame, nodes: D
     old = [n for n in trusted if n not in fresh]
     adjacent = g.adjacency(note_edges(edges, nodes, cfg.graph.origin_weights))
     seeds = spark.createDataFrame([(n, n, 1.0) for n in first], "query_id string, node string, value double")
-    mass = {(r["query_id"], r["node"]): r["mass"] for r in g.pagerank(seeds, adjacent, cfg.graph.damping, cfg.graph.tolerance, cfg.graph.max_iterations).join(notes.select(F.col("id").alias("node")), "node", "left_semi").collect()}
+    mass = {(r["query_id"], r["node"]): r["mass"] for r in g.pagerank(seeds, adjacent, cfg.graph.damping, cfg.graph.tolerance).join(notes.select(F.col("id").alias("node")), "node", "left_semi").collect()}
     near = {(r["source"], r["node"]) for r in g.hops(seeds.select("node"), adjacent, d.min_hops - 1).collect()}
     draws, noise, out = Draws(seed_of(night)), round(d.samples * d.noise_share), []
     for i in range(d.samples):

@@ -8,20 +8,13 @@ partitioned by origin is pruned to what the mode reads.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MODE_ORIGINS, TRUST_RANKS, Config
 from ..functions.scoring import mapped, trust_rank
 from ..storage import written
-
-#: Up to so many directed edges a graph is sent to each task, as 24 bytes an edge and the nodes' names; beyond, PageRank runs as joins.
-KERNEL_EDGES = 4_000_000
+from . import push
 
 
 def mode_edges(edges: DataFrame, mode: str, weights: dict[str, float]) -> DataFrame:
@@ -107,27 +100,13 @@ def iterations(damping: float, tolerance: float, most: int) -> int:
     return min(most, max(1, math.ceil(math.log(tolerance / 2) / math.log(damping))))
 
 
-def seed_shares(seeds: DataFrame, adjacent: DataFrame) -> DataFrame:
-    """query_id, node, s: the seeds that are in the graph, as shares."""
-    present = seeds.filter("value > 0").join(adjacent.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
-    return present.withColumn("s", F.col("value") / F.sum("value").over(Window.partitionBy("query_id"))).select("query_id", "node", "s")
-
-
-def pagerank(seeds: DataFrame, adjacent: DataFrame, damping: float = 0.5, tolerance: float = 1e-8, most: int = 100, kernel_edges: int = KERNEL_EDGES, top: int | None = None) -> DataFrame:
-    """query_id, node, mass > 0: p = (1 - d) s + d W'p for every query of seeds (query_id, node, value).
+def pagerank(seeds: DataFrame, graph: DataFrame | push.Graph, damping: float = 0.5, tolerance: float = 1e-8, top: int | None = None) -> DataFrame:
+    """query_id, node, mass > 0: p = (1 - d) s + d W'p for every query of seeds (query_id, node, value), s their shares in the graph.
 
-    top: only each query's heaviest nodes are wanted (by nine digits, then by name), so the others needn't leave their task.
-
-    The number of rounds is known beforehand, so no round is an action of its own. A graph up to kernel_edges,
-    which is counted, goes to the tasks as arrays, where a round is one weighted count; a larger one stays a
-    table: a round is one join and one sum, and its lineage is cut every few rounds.
+    graph: adjacency (a, b, w), which is stored first, or a stored one. The masses lack at most the tolerance for a query.
+    top: only each query's heaviest nodes (by nine digits, then by name).
     """
-    rounds = iterations(damping, tolerance, most)
-    adjacent = written(adjacent, "adjacency")
-    if adjacent.count() <= kernel_edges:
-        return _kernel(seed_shares(seeds, adjacent), adjacent, damping, rounds, top)
-    mass = _by_joins(seed_shares(seeds, adjacent), transitions(adjacent), damping, rounds)
-    return heaviest(mass, top) if top else mass
+    return push.ranked(seeds, graph if isinstance(graph, push.Graph) else push.prepared(graph), damping, tolerance, top)
 
 
 def heaviest(mass: DataFrame, limit: int) -> DataFrame:
@@ -136,57 +115,6 @@ def heaviest(mass: DataFrame, limit: int) -> DataFrame:
     return mass.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= limit).drop("_nth")
 
 
-def _kernel(shares: DataFrame, adjacent: DataFrame, damping: float, rounds: int, top: int | None = None) -> DataFrame:
-    # At most KERNEL_EDGES rows. Both directions of an edge are there, so every node is some row's a. Names become numbers
-    # in Arrow, without a Python string for each edge.
-    held = transitions(adjacent).toArrow()
-    known = pc.unique(held["a"])
-    known = known.take(pc.array_sort_indices(known))
-    src, dst = (pc.index_in(held[end], value_set=known).to_numpy().astype(np.int64) for end in ("a", "b"))
-    names, p = np.asarray(known.to_pylist(), dtype=str), held["p"].to_numpy()
-    spark = shares.sparkSession
-    arrays = spark.sparkContext.broadcast((names, src, dst, p))
-
-    def run(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        names, src, dst, p = arrays.value
-        out = []
-        for query, seeds in t.groupby("query_id", sort=True):
-            s = np.bincount(np.searchsorted(names, seeds["node"].to_numpy().astype(str)), weights=seeds["s"].to_numpy(), minlength=len(names))
-            mass = s
-            for _ in range(rounds):
-                mass = (1 - damping) * s + damping * np.bincount(dst, weights=mass[src] * p, minlength=len(names))
-            node = np.flatnonzero(mass > 0)
-            if top and len(node) > top:
-                key = np.round(mass[node], 9)
-                least = np.partition(key, len(node) - top)[len(node) - top]
-                some = np.flatnonzero(key >= least)
-                # Names are sorted, so a stable order by mass breaks ties by name.
-                node = node[some[np.argsort(-key[some], kind="stable")[:top]]]
-            out.append(pd.DataFrame({"query_id": query, "node": names[node], "mass": mass[node]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "node": [], "mass": []})
-
-    if not len(names):
-        return shares.select("query_id", "node", F.col("s").alias("mass")).limit(0)
-    kind = shares.schema["query_id"].dataType.simpleString()
-    # A stated number of partitions: few rows ask for much work here, and adaptive execution would put them into one task.
-    n = 4 * spark.sparkContext.defaultParallelism
-    dealt = shares.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(n))).repartition(n, "g")
-    return dealt.groupBy("g").applyInPandas(run, f"query_id {kind}, node string, mass double")
-
-
-def _by_joins(shares: DataFrame, moves: DataFrame, damping: float, rounds: int, cut: int = 4) -> DataFrame:
-    moves = written(moves.select(F.col("a").alias("node"), "b", "p"), "moves")
-    shares = written(shares, "shares")
-    mass = shares.withColumnRenamed("s", "mass")
-    start = shares.select("query_id", "node", (F.col("s") * (1 - damping)).alias("mass"))
-    for i in range(rounds):
-        moved = mass.join(moves, "node").select("query_id", F.col("b").alias("node"), (F.col("mass") * F.col("p") * damping).alias("mass"))
-        mass = moved.unionByName(start).groupBy("query_id", "node").agg(F.sum("mass").alias("mass"))
-        if i % cut == cut - 1:
-            mass = written(mass, "mass")
-    return mass.filter("mass > 0")
-
-
 def with_isolated(mass: DataFrame, seeds: DataFrame, damping: float) -> DataFrame:
     """Seeds that the graph doesn't hold keep (1 - d) of their raw value."""
     alone = seeds.join(mass, ["query_id", "node"], "left_anti").select("query_id", "node", (F.col("value") * (1 - damping)).alias("mass"))

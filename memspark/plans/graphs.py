@@ -79,7 +79,7 @@ def q16_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked(seeds: DataFrame, edges: DataFrame, weight: str = "weight") -> DataFrame:
-    mass = g.pagerank(seeds, g.adjacency(edges, weight), CFG.graph.damping, CFG.graph.tolerance, CFG.graph.max_iterations)
+    mass = g.pagerank(seeds, g.adjacency(edges, weight), CFG.graph.damping, CFG.graph.tolerance)
     return mass.withColumn("mass", F.round("mass", 6)).filter("mass > 0")
 
 

@@ -95,7 +95,7 @@ scored AS (
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = graphs.nation_seeds(spark, sf_dir)
-    mass = g.pagerank(seeds, g.adjacency(I.tree_edges(spark, sf_dir), "weight"), CFG.graph.damping, CFG.graph.tolerance, CFG.graph.max_iterations, top=CFG.retrieval.candidates)
+    mass = g.pagerank(seeds, g.adjacency(I.tree_edges(spark, sf_dir), "weight"), CFG.graph.damping, CFG.graph.tolerance, top=CFG.retrieval.candidates)
     c = table(spark, sf_dir, "customer")
     importance = F.when(F.col("c_acctbal") > 5000, 0.8).when(F.col("c_acctbal") > 0, 0.5).otherwise(0.2)
     passages = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("passage_id"), importance.alias("importance"), F.lit("high").alias("trust"), F.lit(None).cast("long").alias("created"), ((F.col("c_custkey") * 37) % 3000).alias("size"))

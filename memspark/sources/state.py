@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..operators import activation as act
 from ..operators.federate import LAYER_WEIGHTS
-from ..storage import delete
+from ..storage import delete, file_of, read_text, write_text
 
 HOUR = 3_600_000
 #: What a stored index depends on besides the notes; another number means a full rebuild.
@@ -29,41 +29,9 @@ VAULT_ID = r"[a-z0-9][a-z0-9-]*"
 VOLATILE = ("built_at", "builtAt", "timestamp", "generatedAt", "now", "mtime", "createdAt", "updatedAt")
 
 
-# Files of the shared file system, by Hadoop's client, so that any scheme works.
-
-
-def _file(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def read_text(spark: SparkSession, path: str) -> str | None:
-    """A small file's text; null if there is none."""
-    fs, where = _file(spark, path)
-    if not fs.exists(where):
-        return None
-    stream = fs.open(where)
-    try:
-        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Through a temporary name, so that a reader never meets half a file."""
-    fs, where = _file(spark, path)
-    draft = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    stream = fs.create(draft, True)
-    stream.write(bytearray(text.encode()))
-    stream.close()
-    if fs.exists(where):
-        fs.delete(where, False)
-    fs.rename(draft, where)
-
-
 def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """(name, modified) of a folder's files."""
-    fs, where = _file(spark, path)
+    fs, where = file_of(spark, path)
     return sorted((s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(where)) if fs.exists(where) else []
 
 
@@ -166,7 +134,7 @@ def claim_night(spark: SparkSession, root: str) -> dict | None:
     nights = [n for n, _ in listed(spark, f"{root}/log") if n.endswith(".json")]
     if not nights:
         return None
-    fs, where = _file(spark, f"{root}/log/{nights[-1]}")
+    fs, where = file_of(spark, f"{root}/log/{nights[-1]}")
     mine = f"{root}/log/{nights[-1]}.reading-{hashlib.sha256(str(id(fs)).encode()).hexdigest()[:8]}"
     if not fs.rename(where, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(mine)):
         return None

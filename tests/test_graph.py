@@ -1,9 +1,12 @@
 """Graph operators against hand-made graphs: mass, both PageRank paths, distances, budget, expansion, supersession."""
 
+import random
+
+import numpy as np
 import pytest
 
 from memspark.config import Config, checked, merged
-from memspark.operators import activation, dreams, graph, recall, temporal
+from memspark.operators import activation, dreams, graph, push, recall, temporal
 from memspark.streaming import access
 
 
@@ -16,18 +19,74 @@ def test_mass_is_one_and_both_ways_agree(spark):
     seeds = spark.createDataFrame([(1, "a", 2.0), (1, "d", 1.0), (2, "c", 1.0), (2, "gone", 9.0)], "query_id int, node string, value double")
     adjacent = graph.adjacency(e, "weight")
     one = {(r["query_id"], r["node"]): r["mass"] for r in graph.pagerank(seeds, adjacent).collect()}
-    two = {(r["query_id"], r["node"]): r["mass"] for r in graph.pagerank(seeds, adjacent, kernel_edges=0).collect()}
-    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-12 for k in one)
+    parted = push.prepared(adjacent, bucket_edges=3, hub=1)
+    assert parted.buckets > 2 and parted.nodes(spark).filter("relay").count() > 2
+    two = {(r["query_id"], r["node"]): r["mass"] for r in graph.pagerank(seeds, parted).collect()}
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 2e-8 for k in one)
     for q in (1, 2):
         assert abs(sum(v for k, v in one.items() if k[0] == q) - 1) < 1e-9
     assert (2, "gone") not in one and (1, "x") not in one
-    for edges_at_most in (graph.KERNEL_EDGES, 0):
-        top = {(r["query_id"], r["node"]) for r in graph.pagerank(seeds, adjacent, top=2, kernel_edges=edges_at_most).collect()}
+    for g in (adjacent, parted):
+        top = {(r["query_id"], r["node"]) for r in graph.pagerank(seeds, g, top=2).collect()}
         assert top == {(q, n) for q in (1, 2) for _, n in sorted((-round(m, 9), n) for (k, n), m in one.items() if k == q)[:2]}
     alone = graph.with_isolated(graph.pagerank(seeds, adjacent), seeds, 0.5).filter("node = 'gone'").head()
     assert alone["mass"] == 4.5
 
 
+def exact(adjacent, seeds, damping=0.5):
+    """Masses by solving the linear system."""
+    names = sorted({r["a"] for r in adjacent})
+    at = {n: i for i, n in enumerate(names)}
+    w = np.zeros((len(names), len(names)))
+    for r in adjacent:
+        w[at[r["a"]], at[r["b"]]] = r["w"]
+    s = np.zeros(len(names))
+    for n, v in seeds:
+        s[at[n]] += v
+    return names, w.sum(axis=1), np.linalg.solve(np.eye(len(names)) - damping * (w / w.sum(axis=1, keepdims=True)).T, (1 - damping) * s / s.sum())
+
+
+@pytest.mark.parametrize(("bucket_edges", "hub", "tolerance"), [(1 << 21, 1 << 18, 1e-8), (60, 1 << 18, 1e-8), (40, 9, 1e-8), (200, 15, 1e-3)])
+def test_push_stays_within_its_bound(spark, bucket_edges, hub, tolerance):
+    """Every node's error is at most its share of the volume of the tolerance, with hubs and buckets of any size."""
+    rng = random.Random(5)
+    rows = [(f"n{rng.randrange(80)}", f"n{rng.randrange(80)}", rng.uniform(0.1, 3)) for _ in range(150)] + [("hub", f"n{i}", 1.0) for i in range(80)]
+    adjacent = graph.adjacency(edges(spark, rows), "weight")
+    g = push.prepared(adjacent, bucket_edges=bucket_edges, hub=hub)
+    assert (g.buckets > 1) == (bucket_edges < 1000) and (g.nodes(spark).filter("relay").count() > 0) == (hub < 100)
+    wanted = {1: [("n1", 1.0)], 2: [("hub", 2.0), ("n2", 1.0)], 3: [(f"n{i}", 1.0) for i in range(20)]}
+    present = {r["a"] for r in adjacent.collect()}
+    seeds = spark.createDataFrame([(q, n, v) for q, every in wanted.items() for n, v in every if n in present], "query_id int, node string, value double")
+    got = {(r["query_id"], r["node"]): r["mass"] for r in push.ranked(seeds, g, 0.5, tolerance).collect()}
+    for q, every in wanted.items():
+        names, degree, mass = exact(adjacent.collect(), [(n, v) for n, v in every if n in present])
+        mine = np.array([got.get((q, n), 0.0) for n in names])
+        assert abs(mine.sum() - 1) < 1e-12 and np.abs(mine - mass).sum() <= 2 * tolerance + 1e-12
+        assert (np.abs(mine - mass) <= 2 * tolerance * degree / degree.sum() + 1e-12).all()
+
+
+def test_graphs_are_stored_once(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return graph.adjacency(edges(spark, [("a", "b", 1.0), ("b", "c", 1.0)]), "weight")
+
+    root = f"file://{tmp_path}"
+    cache = push.GraphCache(spark, "1", root)
+    first = cache.get("typed", None, make)
+    assert cache.get("typed", None, make) == first and len(made) == 1 == cache.built
+    again = push.GraphCache(spark, "1", root)  # another session
+    assert again.get("typed", None, make) == first and len(made) == 1 and again.built == 0
+    assert again.get("typed", 5, make) != first and push.GraphCache(spark, "2", root).get("typed", None, make).path != first.path and len(made) == 3
+    (tmp_path / "graphs" / "v1" / "typed-now" / "graph.json").unlink()  # lost before its end
+    assert push.GraphCache(spark, "1", root).get("typed", None, make) == first and len(made) == 4
+    seeds = spark.createDataFrame([(1, "a", 1.0)], "query_id int, node string, value double")
+    assert abs(sum(r["mass"] for r in push.ranked(seeds, first).collect()) - 1) < 1e-12
+    empty = push.prepared(graph.adjacency(edges(spark, []), "weight"))
+    assert push.ranked(seeds, empty).count() == 0 and push.ranked(seeds.limit(0), first).count() == 0
+
+
 def test_paths_and_hops(spark):
     e = edges(spark, [("a", "b", 1.0), ("b", "d", 1.0), ("a", "c", 1.0), ("c", "d", 1.0), ("a", "e", 1.0), ("e", "d", 1.0), ("a", "f", 1.0), ("f", "d", 1.0), ("d", "z", 1.0)])
     pairs = spark.createDataFrame([(1, "a", "d"), (2, "a", "a"), (3, "a", "nowhere"), (4, "z", "a")], "pair_id int, src string, dst string")
