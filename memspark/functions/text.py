@@ -10,13 +10,13 @@ STOP_WORDS = "a an and are as at be by for from has have how i in is it its of o
 # Suffixes of the light stem, tried in this order.
 SUFFIXES = ("ing", "ed", "er", "es", "s")
 
-TOKEN = r"[\p{L}\p{N}_]+"
+#: Runs of two and more letters, digits and underscores that are no stop word: one pattern, so that no lambda runs for each token.
+TOKEN = rf"(?<![\p{{L}}\p{{N}}_])(?!(?:{'|'.join(STOP_WORDS)})(?![\p{{L}}\p{{N}}_]))[\p{{L}}\p{{N}}_]{{2,}}+"
 
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters, digits and underscores, without single characters and stop words."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(STOP_WORDS))
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def words(text: Column) -> Column:

@@ -26,15 +26,26 @@ def stemmed(rows: DataFrame) -> DataFrame:
 
 
 def postings(passages: DataFrame, fields: dict[str, float] | None = None, stem: bool = False) -> DataFrame:
-    """term, passage_id, tf, length. fields: columns and their weights in tf (by default the column text, once)."""
+    """term, passage_id, tf, raw (tf without weights), length. fields: columns and their weights in tf (by default the column text, once)."""
     fields = fields or {"text": 1.0}
+    if not stem and list(fields.values()) == [1.0]:
+        return counted(passages.select("passage_id", tokens(F.coalesce(F.col(next(iter(fields))), F.lit(""))).alias("t")))
     lists = [tokens(F.coalesce(F.col(c), F.lit(""))) for c in fields]
     sized = passages.select("passage_id", sum((F.size(x) for x in lists), F.lit(0)).alias("length"), *[x.alias(f"_{i}") for i, x in enumerate(lists)])
     weigh = lambda w: lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))
     weighted = F.flatten(F.array(*[F.transform(f"_{i}", weigh(w)) for i, w in enumerate(fields.values())]))
     each = sized.select("passage_id", "length", F.explode(weighted).alias("x"))
-    out = each.groupBy("passage_id", "length", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
-    return stemmed(out).groupBy("passage_id", "length", "term").agg(F.sum("tf").alias("tf")) if stem else out
+    out = each.groupBy("passage_id", "length", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"), F.count(F.lit(1)).alias("raw"))
+    return stemmed(out).groupBy("passage_id", "length", "term").agg(F.sum("tf").alias("tf"), F.sum("raw").alias("raw")) if stem else out
+
+
+def counted(lists: DataFrame) -> DataFrame:
+    """postings of (passage_id, t: its tokens) without a shuffle: a passage's sorted tokens are cut where they change."""
+    rows = lists.select("passage_id", F.size("t").alias("length"), F.array_sort("t").alias("_s")).filter("length > 0")
+    starts = F.filter(F.sequence(F.lit(1), F.col("length")), lambda i: (i == 1) | (F.element_at("_s", i) != F.element_at("_s", F.greatest(i - 1, F.lit(1)))))
+    rows = rows.withColumn("_at", F.concat(starts, F.array(F.col("length") + 1)))
+    each = F.explode(F.transform(F.sequence(F.lit(1), F.size("_at") - 1), lambda k: F.struct(F.element_at("_s", F.element_at("_at", k)).alias("term"), (F.element_at("_at", k + 1) - F.element_at("_at", k)).alias("tf"))))
+    return rows.select("passage_id", "length", each.alias("x")).select("passage_id", "length", F.col("x.term").alias("term"), F.col("x.tf").cast("double").alias("tf"), F.col("x.tf").cast("bigint").alias("raw"))
 
 
 def statistics(passages: DataFrame, fields: list[str] = ("text",)) -> DataFrame:

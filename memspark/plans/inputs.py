@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, tokens
+from ..operators import postings
+from ..storage import files_of, spread
 
 #: The moment at which queries are asked, after the last event (epoch milliseconds).
 NOW = 1_706_745_600_000
@@ -36,11 +38,22 @@ PASSAGES = """passages AS (
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     each = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
     return each.select("doc_id", "lang", "source", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("#"), F.col("pos").cast("string")).alias("passage_id"), "text")
 
 
+_stored: dict[tuple, postings.Postings] = {}
+
+
+def stored_passages(spark: SparkSession, sf_dir: str) -> postings.Postings:
+    """The passages' stored postings: built by the first query of a session that asks, and again when a file of the table changes."""
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(files_of(spark, f"{sf_dir}/documents.parquet")))
+    if key not in _stored:
+        _stored[key] = postings.build(passages(spark, sf_dir))
+    return _stored[key]
+
+
 # Queries: the content tokens of the benchmark's whole texts.
 
 QUERIES = f"""queries AS (

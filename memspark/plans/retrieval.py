@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import keyword, vector
+from ..operators import keyword, postings, vector
 from ..operators.fusion import fuse, in_scope
 from . import inputs as I
 from .inputs import sql, table, tokens_sql
@@ -43,11 +43,11 @@ FUSED = """fused AS (
 
 
 def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword.bm25_search(I.queries(spark, sf_dir), I.passages(spark, sf_dir), LIMIT)
+    return postings.search(I.stored_passages(spark, sf_dir), I.queries(spark, sf_dir), LIMIT)
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    other = keyword.overlap_search(I.queries(spark, sf_dir), I.passages(spark, sf_dir), LIMIT)
+    other = postings.overlap(I.stored_passages(spark, sf_dir), I.queries(spark, sf_dir), LIMIT)
     return fuse({"keyword": searched(spark, sf_dir), "overlap": other})
 
 

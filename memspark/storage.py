@@ -36,6 +36,12 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, dealt over all of them; a larger one as it is. df: a table as it was read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def filesystem(uri: str):
     """A pyarrow file system and the path in it; local paths may come without a scheme."""
     from pyarrow import fs
@@ -51,6 +57,12 @@ def file_of(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def files_of(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, bytes, modified) of a file, or of a folder's files."""
+    fs, where = file_of(spark, path)
+    return sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(where))
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small file's text; null if there is none."""
     fs, where = file_of(spark, path)
