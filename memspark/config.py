@@ -36,6 +36,13 @@ class Ladder:
     multi_entity_threshold: int = 2
 
 
+@dataclass(frozen=True)
+class Recognition:
+    enabled: bool = False
+    min_confidence: float = 0.7
+    top_candidates: int = 10
+
+
 @dataclass(frozen=True)
 class Graph:
     default_extraction: str = "typed"
@@ -47,6 +54,7 @@ class Graph:
     max_iterations: int = 100
     tolerance: float = 1e-8
     ladder: Ladder = Ladder()
+    recognition: Recognition = Recognition()
 
 
 @dataclass(frozen=True)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..operators import keyword, postings, vector
 from ..operators.fusion import fuse, in_scope
+from ..sources import models
+from ..storage import spread, written
 from . import inputs as I
 from .inputs import sql, table, tokens_sql
 from .registry import query
@@ -153,3 +155,43 @@ def q09_field_weighted_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q10_synonym_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return vector.similar_pairs(e, 0.4).select("a", "b", F.round("score", 6).alias("score"))
+
+
+NEAR = f"""near AS (
+  SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM (
+    SELECT a.vec_id AS query_id, b.vec_id AS id, {COSINE} AS score FROM vectors a, vectors b WHERE a.vec_id % 20 = 0)) WHERE rank <= {2 * LIMIT}
+), said AS (SELECT doc_id, {tokens_sql("text")} AS t FROM documents WHERE text IS NOT NULL),
+triples AS (SELECT DISTINCT doc_id, t[i] AS subject, t[i + 1] AS object FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM said)),
+judged AS (
+  SELECT query_id, id, 5e-1 + (list_contains(q, subject)::INT + list_contains(q, object)::INT) / 4e0 AS confidence FROM (
+    SELECT n.query_id, n.id, x.subject, x.object, s.q, row_number() OVER (PARTITION BY n.query_id ORDER BY n.rank, n.id, x.subject, x.object) AS nth
+    FROM near n JOIN triples x ON x.doc_id = n.id JOIN (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS q FROM documents) s ON s.doc_id = n.query_id) WHERE nth <= 10
+), known AS (SELECT query_id, id, max(confidence) AS confidence FROM judged WHERE confidence >= 7e-1 GROUP BY 1, 2)"""
+
+
+def recognition_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nearest, triples, queries): a vector is its document's; a document's triples are its adjacent content tokens."""
+    e = table(spark, sf_dir, "embeddings")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text").filter("text IS NOT NULL"))
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    near = vector.top_cosine(asked, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 2 * LIMIT).withColumnRenamed("id", "passage_id")
+    each = docs.select(F.col("doc_id").alias("passage_id"), tokens(F.col("text")).alias("t"))
+    pairs = each.select("passage_id", F.explode(F.arrays_zip(F.expr("slice(t, 1, greatest(size(t) - 1, 0))").alias("subject"), F.expr("slice(t, 2, greatest(size(t) - 1, 0))").alias("object"))).alias("x"))
+    triples = pairs.select("passage_id", "x.subject", F.lit("next").alias("predicate"), "x.object").distinct()
+    return near, triples, asked.select("query_id").join(docs.withColumnRenamed("doc_id", "query_id"), "query_id")
+
+
+@query(sql(VECTORS, NEAR, select="SELECT query_id, id AS passage_id, confidence FROM known"))
+def q89_recognition_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.recognised(*recognition_inputs(spark, sf_dir), models.WordJudge)
+
+
+@query(sql(VECTORS, NEAR, """lists AS (
+  SELECT query_id, id, rank, 'vector' AS via FROM near WHERE rank <= 20 UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, id), 'recognition-memory' FROM known
+)""", select="SELECT query_id, id AS passage_id, round(sum(1e0 / (60e0 + rank)), 9) AS score, string_agg(via, ',' ORDER BY via) AS via FROM lists GROUP BY query_id, id"))
+def q90_recognition_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near, triples, asked = recognition_inputs(spark, sf_dir)
+    near = written(near, "nearest")
+    known = models.recognised(near, triples, asked, models.WordJudge)
+    out = fuse({"vector": near.filter(F.col("rank") <= LIMIT), "recognition-memory": keyword.ranked(known, ["query_id"], "confidence", "passage_id")})
+    return out.select("query_id", "passage_id", F.round("score", 9).alias("score"), F.array_join("via", ",").alias("via"))

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from .config import Config, checked
 from .operators import activation as act
-from .operators import consolidate, evaluate, federate, graph, index, keyword, temporal, vector
+from .operators import consolidate, evaluate, federate, graph, index, keyword, postings, push, temporal, vector
 from .operators.fusion import fuse, in_scope
 from .operators.recall import Memory, access_events, recall
-from .sources import state
+from .sources import models, state
 from .sources import vault as source
-from .storage import written
+from .storage import delete, written
 
 
 @dataclass
@@ -31,24 +31,57 @@ class MemorySession:
     notes: DataFrame | None = None
     vectors: DataFrame | None = None
     versions: DataFrame | None = None
+    triples: DataFrame | None = None
+    verifier: Callable[[], models.Chat] | None = None
+    store: str | None = None
+    version: str = "0"
+    graphs: push.GraphCache | None = None
+    words: postings.Postings | None = None
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, cfg: Config | None = None, access_log: str | None = None, store: str | None = None) -> MemorySession:
-        """The session of a vault. store: a folder that keeps the index; it is read while its settings and the notes are those it was built from, else written anew."""
+    def open(cls, spark: SparkSession, root: str, cfg: Config | None = None, access_log: str | None = None, store: str | None = None, **more) -> MemorySession:
+        """The session of a vault; more: other fields of the session.
+
+        store: a folder that keeps the index. While the settings are those that it was built with, files are told by path and
+        time, only files that changed are read, and only the parts of the index that differ are written.
+        """
         cfg = checked(cfg or Config())
-        # The index is tables: queries start from them and not from the files.
-        notes = written(source.read_vault(spark, root, cfg.vault), "notes")
         built = state.open_index(spark, store, cfg) if store else None
         if built is not None:
-            now = notes.select("path", "mtime", "sha256")
-            if not index.file_changes(built["files"], now).filter("change <> 'same'").isEmpty():
-                built = None
-        if built is None and store:
-            state.store_index(index.build(notes, cfg), store, cfg)
-            built = state.open_index(spark, store, cfg)
-        if built is None:
-            built = {k: written(v, k) for k, v in index.build(notes, cfg).items()}
-        return cls(spark, built["nodes"], built["edges"], built["names"], cfg, source.read_access(spark, access_log) if access_log else None, notes)
+            now = source.scan(spark, root, cfg.vault.ignore).select("path", "mtime")
+            met = now.join(built["files"].select("path", F.col("mtime").alias("_then")), "path", "full_outer")
+            other = written(met.filter(~F.col("mtime").eqNullSafe(F.col("_then"))), "other")
+            n, since = other.agg(F.count(F.lit(1)), F.min("mtime")).head()
+            if n:
+                stay = built["notes"].join(other.select("path"), "path", "left_anti").select(*built["notes"].columns)
+                read = source.scan(spark, root, cfg.vault.ignore, since) if since is not None else None
+                notes = stay if read is None else stay.unionByName(source.parsed(read.join(other.select("path"), "path", "left_semi"), cfg.vault))
+                notes = written(notes, "notes")
+                state.store_index({**index.incremental(built, built["notes"], notes, cfg), "notes": notes}, store, cfg)
+                built = state.open_index(spark, store, cfg)
+        else:
+            # The index is tables: queries start from them and not from the files.
+            notes = written(source.read_vault(spark, root, cfg.vault), "notes")
+            built = {**index.build(notes, cfg), "notes": notes}
+            if store:
+                state.store_index(built, store, cfg)
+                built = state.open_index(spark, store, cfg)
+            else:
+                built = {k: v if k == "notes" else written(v, k) for k, v in built.items()}
+        version = state.index_version(spark, store) if store else "0"
+        access = source.read_access(spark, access_log) if access_log else None
+        return cls(spark, built["nodes"], built["edges"], built["names"], cfg, access, built["notes"], store=store, version=version, graphs=push.GraphCache(spark, version, store), **more)
+
+    def postings(self) -> postings.Postings:
+        """The passages' stored postings, made once for a version of the index."""
+        if self.words is None:
+            path = f"{self.store}/postings/v{self.version}" if self.store else None
+            self.words = postings.opened(self.spark, path) if path else None
+            if self.words is None:
+                if path:
+                    delete(self.spark, path)  # what a build that was lost left behind
+                self.words = postings.build(self.passages(), path, {"title": 1.0, "heading": 1.0, "text": 1.0})
+        return self.words
 
     def queries(self, *texts: str) -> DataFrame:
         return self.spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "query_id bigint, text string")
@@ -57,15 +90,20 @@ class MemorySession:
         return self.nodes.filter("kind = 'passage'").withColumn("passage_id", F.col("id"))
 
     def seeds(self, queries: DataFrame, scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """(seeds, cues): keyword, entity and, where both sides have vectors, vector lists fused."""
+        """(seeds, cues): keyword, entity and, where both sides have vectors, vector and recognition lists fused."""
         limit = self.cfg.retrieval.seed_limit
-        words = keyword.bm25_search(queries, self.passages(), limit, {"title": 1.0, "heading": 1.0, "text": 1.0})
+        words = postings.search(self.postings(), queries, limit)
         entities = self.names.join(self.nodes.filter("note_type = 'entity' AND kind = 'note'").select(F.col("id").alias("node_id")), "node_id", "left_semi")
         cues = keyword.entity_cues(queries, entities)
         cued = keyword.ranked(cues.select("query_id", F.col("node_id").alias("passage_id"), F.lit(0.0).alias("score")), ["query_id"], "score", "passage_id")
         lists = {"keyword": words, "entity": cued}
         if self.vectors is not None and "vector" in queries.columns:
-            lists["vector"] = vector.top_cosine(queries, self.vectors, limit).withColumnRenamed("id", "passage_id")
+            near = written(vector.top_cosine(queries, self.vectors, 2 * limit).withColumnRenamed("id", "passage_id"), "nearest")
+            lists["vector"] = near.filter(F.col("rank") <= limit)
+            known = self.cfg.graph.recognition
+            if known.enabled and self.triples is not None and self.verifier is not None:
+                found = models.recognised(near, self.triples, queries, self.verifier, known.top_candidates, known.min_confidence)
+                lists["recognition-memory"] = keyword.ranked(found, ["query_id"], "confidence", "passage_id")
         fused = fuse(lists, self.cfg.retrieval.rrf_k)
         if scope is not None:
             fused = in_scope(fused, scope)
@@ -74,9 +112,11 @@ class MemorySession:
     def recall(self, queries: DataFrame, mode: str = "auto", now: int = 0, as_of: int | None = None, scope: str | None = None) -> DataFrame:
         ids = graph.scope_ids(self.nodes, scope, self.edges.filter("origin = 'triple' AND type = 'mentions'")) if scope else None
         seeds, cues = self.seeds(queries, ids)
-        shown = act.presentations(act.compact(self.access.limit(0)), self.access, 0, as_of) if self.access is not None else None
+        shown = None
+        if self.access is not None:
+            shown = state.presentations(self.spark, self.store, self.access, as_of) if self.store else act.presentations(act.compact(self.access.limit(0)), self.access, 0, as_of)
         created = self.nodes.filter("kind = 'note'").select(F.col("id").alias("declared_in"), F.col("created").alias("declared_created"))
-        memory = Memory(self.passages(), self.edges.join(created, "declared_in", "left"), self.nodes, shown, self.versions)
+        memory = Memory(self.passages(), self.edges.join(created, "declared_in", "left"), self.nodes, shown, self.versions, self.graphs)
         has_triples = not self.edges.filter("origin = 'triple'").isEmpty()
         return recall(queries, seeds, memory, self.cfg, mode, now, as_of, ids, cues, has_triples)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
 import urllib.error
 import urllib.request
@@ -115,6 +116,17 @@ class RecordedChat:
         return got
 
 
+@dataclass
+class WordJudge:
+    """A stand-in for a model that judges facts: the share of a fact's two ends that are words of the question."""
+
+    def reply(self, prompt: str) -> str:
+        question, _, fact = prompt.rpartition("\nFact: ")
+        known = set(re.findall(r"\w+", question.partition("\nQuestion: ")[2].lower()))
+        ends = fact.split(" ")
+        return str(((ends[0] in known) + (ends[-1] in known)) / 2)
+
+
 @dataclass
 class TrigramEmbedder:
     """Vectors of hashed trigrams: no model, the same everywhere."""

@@ -14,6 +14,7 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..config import Config
 from ..operators import activation as act
@@ -22,7 +23,12 @@ from ..storage import delete, file_of, read_text, write_text
 
 HOUR = 3_600_000
 #: What a stored index depends on besides the notes; another number means a full rebuild.
-INDEX_VERSION = 1
+INDEX_VERSION = 2
+#: Parts of a stored index's tables, and the columns that name the note a row belongs to.
+PARTS = 64
+OWNERS = ("declared_in", "note_id", "node_id", "id", "path")
+#: How long a replaced part stays for readers that have opened it.
+KEEP_MS = 24 * HOUR
 # Names of the registry's write targets, and what its ids look like; rules for telling what a night brought.
 TARGETS = ("self", "project", "global-agent", "global")
 VAULT_ID = r"[a-z0-9][a-z0-9-]*"
@@ -39,13 +45,13 @@ def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
 
 
 def store(df: DataFrame, root: str, name: str, meta: dict) -> None:
-    """Write a table's next version, then its pointer with meta; the version before the last goes."""
+    """Write a table's next version, then its pointer with meta; versions that were replaced go when they are KEEP_MS old."""
     spark = df.sparkSession
     at = json.loads(read_text(spark, f"{root}/{name}.json") or "{}")
     version = at.get("version", 0) + 1
     df.write.mode("overwrite").parquet(f"{root}/{name}/v{version}")
     write_text(spark, f"{root}/{name}.json", json.dumps({**meta, "version": version}, sort_keys=True))
-    delete(spark, f"{root}/{name}/v{version - 2}")
+    expire(spark, f"{root}/{name}", {f"v{version}"})
 
 
 def stored(spark: SparkSession, root: str, name: str) -> tuple[DataFrame, dict] | None:
@@ -77,16 +83,61 @@ def fingerprint(cfg: Config) -> str:
     return hashlib.sha256(json.dumps(built, sort_keys=True, default=list).encode()).hexdigest()[:16]
 
 
-def store_index(tables: dict[str, DataFrame], root: str, cfg: Config) -> None:
-    """Store nodes, edges (partitioned by origin, so that a mode prunes) and names; the index's pointer is the last to be written."""
+def owned(df: DataFrame) -> DataFrame:
+    """df with `part`, by the note that a row belongs to."""
+    of = [F.col(c).cast("string") for c in OWNERS if c in df.columns]
+    return df.withColumn("part", F.pmod(F.xxhash64(F.coalesce(*of, F.lit(""))), F.lit(PARTS)).cast("int"))
+
+
+def marks(df: DataFrame) -> dict[str, str]:
+    """For each part that has rows, their number and a sum of their hashes."""
+    row = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).cast("decimal(38,0)")
+    found = owned(df).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(row).cast("string").alias("h")).collect()  # PARTS rows at most
+    return {str(r["part"]): f"{r['n']}:{r['h']}" for r in found}
+
+
+def store_index(tables: dict[str, DataFrame], root: str, cfg: Config) -> dict[str, int]:
+    """Store an index's tables; how many parts of each were written.
+
+    A table is kept in parts by its rows' notes (edges also by origin, so that a mode prunes). A part whose rows are those of
+    the version before is not written again: the new version points to it. The pointer is replaced last and in one
+    step, so readers and a run that is lost in between keep the version before. Parts that no version points to go
+    when they are KEEP_MS old, so that a reader that has opened them can finish.
+    """
     spark = next(iter(tables.values())).sparkSession
-    at = json.loads(read_text(spark, f"{root}/index.json") or "{}")
-    version = at.get("version", 0) + 1
+    before = json.loads(read_text(spark, f"{root}/index.json") or "{}")
+    held = before.get("tables", {}) if before.get("config") == fingerprint(cfg) else {}
+    version = before.get("version", 0) + 1
+    out: dict[str, dict] = {}
+    written_parts: dict[str, int] = {}
     for name, df in tables.items():
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy("origin") if name == "edges" else writer).parquet(f"{root}/index/v{version}/{name}")
-    write_text(spark, f"{root}/index.json", json.dumps({"version": version, "config": fingerprint(cfg), "tables": sorted(tables)}))
-    delete(spark, f"{root}/index/v{version - 2}")
+        old = held.get(name, {})
+        old = old.get("parts", {}) if old.get("schema") == df.schema.json() else {}
+        now = marks(df)
+        new = [k for k, mark in now.items() if k not in old or old[k][1] != mark]
+        if new:
+            writer = owned(df).filter(F.col("part").isin([int(k) for k in new])).write.mode("overwrite")
+            writer.partitionBy(*(["part", "origin"] if "origin" in df.columns else ["part"])).parquet(f"{root}/index/{name}/v{version}")
+        out[name] = {"schema": df.schema.json(), "parts": {k: [version if k in new else old[k][0], mark] for k, mark in now.items()}}
+        written_parts[name] = len(new)
+    write_text(spark, f"{root}/index.json", json.dumps({"version": version, "config": fingerprint(cfg), "tables": out}))
+    for name, t in out.items():
+        expire(spark, f"{root}/index/{name}", {f"v{v}" for v, _ in t["parts"].values()})
+    for name in ("graphs", "postings"):
+        expire(spark, f"{root}/{name}", {f"v{version}"})
+    return written_parts
+
+
+def expire(spark: SparkSession, folder: str, used: set[str]) -> None:
+    """Delete a folder's versions that aren't used and have not been written to for KEEP_MS."""
+    now = spark.sparkContext._jvm.java.lang.System.currentTimeMillis()
+    for name, modified in listed(spark, folder):
+        if name not in used and now - modified > KEEP_MS:
+            delete(spark, f"{folder}/{name}")
+
+
+def index_version(spark: SparkSession, root: str) -> str:
+    return str(json.loads(read_text(spark, f"{root}/index.json") or "{}").get("version", 0))
 
 
 def open_index(spark: SparkSession, root: str, cfg: Config) -> dict[str, DataFrame] | None:
@@ -94,8 +145,19 @@ def open_index(spark: SparkSession, root: str, cfg: Config) -> dict[str, DataFra
     text = read_text(spark, f"{root}/index.json")
     if text is None or json.loads(text)["config"] != fingerprint(cfg):
         return None
-    meta = json.loads(text)
-    return {name: spark.read.parquet(f"{root}/index/v{meta['version']}/{name}") for name in meta["tables"]}
+    out = {}
+    for name, t in json.loads(text)["tables"].items():
+        schema = StructType.fromJson(json.loads(t["schema"]))
+        by_version: dict[int, list[str]] = {}
+        for part, (v, _) in t["parts"].items():
+            by_version.setdefault(v, []).append(part)
+        df = None
+        for v, parts in sorted(by_version.items()):
+            base = f"{root}/index/{name}/v{v}"
+            got = spark.read.schema(StructType([*schema.fields, StructField("part", IntegerType())])).option("basePath", base).parquet(*[f"{base}/part={k}" for k in parts])
+            df = got if df is None else df.unionByName(got)
+        out[name] = df.select(*schema.names) if df is not None else spark.createDataFrame([], schema)
+    return out
 
 
 # Dream candidates and the night's log.

@@ -20,9 +20,14 @@ TRIPLES = "passageId string, contentHash string, subject string, predicate strin
 RECORDS = "v int, key string, subject string, predicate string, object string, episode string, by string, trust string, origin string, reason string, queuedAt bigint, priority boolean"
 
 
-def scan(spark: SparkSession, root: str, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """path (in the vault), text, mtime of every note: no hidden, _meta or node_modules folders, nothing that a glob ignores."""
+def scan(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), since: int | None = None) -> DataFrame:
+    """path (in the vault), text, mtime of every note: no hidden, _meta or node_modules folders, nothing that a glob ignores.
+
+    Without the text no file is opened. since: only files changed then (epoch milliseconds) or later; older ones aren't opened.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
+    if since is not None:
+        files = files.filter(F.col("modificationTime") >= F.timestamp_millis(F.lit(since)))
     # Spark gives full URIs; what follows the root, with or without a scheme, is the path in the vault.
     skip = len(root.split("://", 1)[-1].rstrip("/")) + 2
     inside = files.withColumn("path", F.regexp_replace("path", r"^[a-z0-9]+:/*/", "/")).withColumn("path", F.expr(f"substring(path, {skip})"))
