@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import keyword, postings, vector
+from ..operators import keyword, lists, postings, vector
 from ..operators.fusion import fuse, in_scope
 from ..sources import models
 from ..storage import spread, written
@@ -101,6 +101,15 @@ def q05_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query(sql(VECTORS, f"near AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {COSINE} AS score FROM vectors a, vectors b WHERE a.vec_id % 20 = 0)",
+       select="SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM near) WHERE rank <= 10"))
+def q91_vector_lists_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = e.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
+    out = lists.search(lists.build(e), asked, 10)
+    return out.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query(sql(*SEARCH, OVERLAP, FUSED, select="SELECT query_id, passage_id, round(score, 9) AS score, via FROM fused"))
 def q06_rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused(spark, sf_dir).select("query_id", "passage_id", F.round("score", 9).alias("score"), F.array_join("via", ",").alias("via"))

@@ -112,11 +112,12 @@ def store_index(tables: dict[str, DataFrame], root: str, cfg: Config) -> dict[st
     written_parts: dict[str, int] = {}
     for name, df in tables.items():
         old = held.get(name, {})
-        old = old.get("parts", {}) if old.get("schema") == df.schema.json() else {}
+        same = old and StructType.fromJson(json.loads(old["schema"])).simpleString() == df.schema.simpleString()
+        old = old["parts"] if same else {}
         now = marks(df)
         new = [k for k, mark in now.items() if k not in old or old[k][1] != mark]
         if new:
-            writer = owned(df).filter(F.col("part").isin([int(k) for k in new])).write.mode("overwrite")
+            writer = owned(df).filter(F.col("part").isin([int(k) for k in new])).repartition("part").write.mode("overwrite")
             writer.partitionBy(*(["part", "origin"] if "origin" in df.columns else ["part"])).parquet(f"{root}/index/{name}/v{version}")
         out[name] = {"schema": df.schema.json(), "parts": {k: [version if k in new else old[k][0], mark] for k, mark in now.items()}}
         written_parts[name] = len(new)
