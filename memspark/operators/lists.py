@@ -166,3 +166,50 @@ def search(index: Lists, queries: DataFrame, k: int, probes: int = 8, exact: boo
     floor = ranked(first, ["query_id"], "score", "id", k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     rest = met(index, dealt(index, asked.join(floor, "query_id", "left"), probes, True), k)
     return ranked(first.unionByName(rest), ["query_id"], "score", "id", k)
+
+
+def similar_pairs(index: Lists, spark: SparkSession, threshold: float) -> DataFrame:
+    """a, b (a < b), score: all pairs of indexed vectors with at least this cosine (over 0), exactly; a zero vector has no pair.
+
+    Two lists meet only if their centroids' angle less both radii leaves room for the threshold, chunk by chunk.
+    """
+    if threshold <= 0:
+        raise ValueError("the threshold must be over 0")
+    between = np.arccos(np.clip(index.centroids @ index.centroids.T, -1, 1)) - index.radius[:, None] - index.radius[None]
+    full = index.size > 0
+    near = np.triu((between <= math.acos(max(-1.0, min(1.0, threshold))) + SLACK) & full[:, None] & full[None])
+    one, two = np.nonzero(near)
+    chunks = np.maximum(1, -(-index.size // CHUNK)).astype(np.int32)
+    links = spark.createDataFrame(pa.table({"one": one.astype(np.int32), "two": two.astype(np.int32), "n_one": chunks[one], "n_two": chunks[two]}))
+    # A task is two chunks; within a list the second chunk isn't before the first.
+    tasks = links.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("n_one") - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("n_two") - 1)))
+    tasks = written(tasks.filter("one < two OR x <= y").select("one", "x", "two", "y"), "pair-tasks")
+    sizes = spark.createDataFrame(pa.table({"list": np.arange(len(chunks), dtype=np.int32), "chunks": chunks}))  # MOST_LISTS rows
+    held = index.vectors(spark).join(F.broadcast(sizes), "list").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).select("list", "chunk", "id", "vector")
+    key = ["one", "x", "two", "y"]
+    left = tasks.join(held.withColumnsRenamed({"list": "one", "chunk": "x"}), ["one", "x"]).select(*key, F.lit(0).alias("side"), "id", "vector")
+    right = tasks.join(held.withColumnsRenamed({"list": "two", "chunk": "y"}), ["two", "y"]).select(*key, F.lit(1).alias("side"), "id", "vector")
+    kind = held.schema["id"].dataType
+    out = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("score", T.DoubleType())])
+    arrow = to_arrow_schema(out)
+
+    def run(group: tuple, both: pa.Table) -> pa.Table:
+        side = both.column("side").to_numpy()
+        p, q = (both.take(pa.array(np.flatnonzero(side == n))) for n in (0, 1))
+        if not p.num_rows or not q.num_rows:
+            return arrow.empty_table()
+        a, b = (np.array(t.column("id").to_pylist()) for t in (p, q))
+        u, v = (unit_rows(t.column("vector").to_pylist()) for t in (p, q))
+        same = (group[0].as_py(), group[1].as_py()) == (group[2].as_py(), group[3].as_py())
+        found = []
+        for start in range(0, len(a), 1024):
+            s = u[start : start + 1024] @ v.T
+            i, j = np.nonzero(s >= threshold)
+            x, y, s = a[start + i], b[j], s[i, j]
+            keep = x < y if same else x != y
+            low = np.where(x < y, x, y)
+            found.append((low[keep], np.where(x < y, y, x)[keep], s[keep]))
+        first, second, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.Table.from_arrays([pa.chunked_array([pa.array(first.tolist(), arrow.field("a").type)]), pa.chunked_array([pa.array(second.tolist(), arrow.field("b").type)]), pa.chunked_array([score])], schema=arrow)
+
+    return left.unionByName(right).groupBy(*key).applyInArrow(run, out)

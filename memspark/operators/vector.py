@@ -1,4 +1,4 @@
-"""Vector search and similar pairs in blocks of matrix products."""
+"""Vector search in blocks of matrix products."""
 
 from __future__ import annotations
 
@@ -15,7 +15,6 @@ from .keyword import ranked
 
 #: Queries of one block, which each task holds beside its batch; more queries run as more blocks.
 QUERY_BLOCK = 4096
-PAIR_BLOCK = 1024
 
 
 def unit_rows(lists: list) -> np.ndarray:
@@ -60,26 +59,3 @@ def near_top(key: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     least = np.partition(key, len(key) - k)[len(key) - k]
     some = np.flatnonzero(key >= least)
     return some[np.lexsort((ids[some], -key[some]))[:k]]
-
-
-def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """a, b (a < b), score: all pairs with at least this cosine, exactly. vectors: id, vector.
-
-    Vectors are dealt into blocks, and each pair of blocks is a task of bounded size; for tables beyond
-    some millions of rows a candidate search should come first.
-    """
-    rows = vectors.count()
-    n = max(1, -(-rows // PAIR_BLOCK))
-    dealt = vectors.filter("vector IS NOT NULL").select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("side"))
-    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
-
-    def run(key, t):
-        ids, side, v = t.column("id").to_numpy(), t.column("side").to_numpy(), unit_rows(t.column("vector").to_pylist())
-        one, two = np.flatnonzero(side == key[0].as_py()), np.flatnonzero(side == key[1].as_py())
-        s = v[one] @ v[two].T
-        i, j = np.nonzero(s >= threshold)
-        a, b, s = ids[one[i]], ids[two[j]], s[i, j]
-        keep = a < b if key[0].as_py() == key[1].as_py() else a != b
-        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "score": s[keep]})
-
-    return each.groupBy("lo", "hi").applyInArrow(run, "a bigint, b bigint, score double")

@@ -163,7 +163,7 @@ def q09_field_weighted_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql(VECTORS, select=f"SELECT a, b, round(score, 6) AS score FROM (SELECT a.vec_id AS a, b.vec_id AS b, {COSINE} AS score FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id) WHERE score >= 4e-1"))
 def q10_synonym_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return vector.similar_pairs(e, 0.4).select("a", "b", F.round("score", 6).alias("score"))
+    return lists.similar_pairs(lists.build(e), spark, 0.4).select("a", "b", F.round("score", 6).alias("score"))
 
 
 NEAR = f"""near AS (

@@ -130,3 +130,9 @@ def test_vector_lists(spark, tmp_path, sf_dir, monkeypatch):
     share = len({(q, i) for q, _, i, _ in got} & {(q, i) for q, _, i, _ in want}) / len(want)
     assert share >= 0.9
     assert lists.search(lists.build(table.limit(0)), asked, 3).count() == 0
+    unit = x.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(unit @ unit.T >= 0.8, 1))
+    pairs = lists.similar_pairs(held, spark, 0.8)
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(f"v{a:04}", f"v{b:04}") for a, b in zip(i, j, strict=True)} and pairs.count() == len(i)
+    assert lists.similar_pairs(lists.build(table.limit(0)), spark, 0.5).count() == 0
