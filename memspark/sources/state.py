@@ -29,9 +29,12 @@ PARTS = 64
 OWNERS = ("declared_in", "note_id", "node_id", "id", "path")
 #: How long a replaced part stays for readers that have opened it.
 KEEP_MS = 24 * HOUR
-# Names of the registry's write targets, and what its ids look like; rules for telling what a night brought.
+# Names of the registry's write targets, what its ids look like, the words that tell of a night, keys and text of stored settings.
+# The codes of RULES are fixed values as well.
 TARGETS = ("self", "project", "global-agent", "global")
 VAULT_ID = r"[a-z0-9][a-z0-9-]*"
+ELSEWHERE = "<absolute-path>"
+NIGHT = {"good": "slept fine", "bad": "slept badly", "idle": "no dreaming happened", "blank": "no dreams it remembers"}
 VOLATILE = ("built_at", "builtAt", "timestamp", "generatedAt", "now", "mtime", "createdAt", "updatedAt")
 
 
@@ -211,17 +214,13 @@ def claim_night(spark: SparkSession, root: str) -> dict | None:
 
 
 def slept(report: dict, shown: int) -> str:
-    """One line on a night: badly only if the pass failed or every sample did."""
-    if report.get("skipped"):
-        return "slept fine, no dreaming happened"
+    """One line on a night. It was bad if the pass failed or errors took every sample; what is told beside that is the first that applies."""
     errors = report.get("errors", {})
-    told = " ".join(f"{k}={v}" for k, v in errors.items())
-    failed = not report.get("ran") or 0 < report.get("samples", 0) <= sum(errors.values())
-    if failed:
-        return f"slept badly ({told})" if told else "slept badly"
-    if told:
-        return f"slept fine ({told})"
-    return "slept fine" if shown else "slept fine, no dreams it remembers"
+    lost = sum(errors.values())
+    whole = report.get("ran", False) and (lost == 0 or lost < report.get("samples", 0) or report.get("samples", 0) <= 0)
+    how = NIGHT["good" if whole or report.get("skipped") else "bad"]
+    beside = ((report.get("skipped"), ", " + NIGHT["idle"]), (errors, " (" + " ".join(map("=".join, zip(errors, map(str, errors.values()), strict=True))) + ")"), (whole and not shown, ", " + NIGHT["blank"]))
+    return how + next((text for applies, text in beside if applies), "")
 
 
 def woken(spark: SparkSession, root: str, shown: int, ttl_hours: float, now: int) -> dict:
@@ -239,13 +238,17 @@ def woken(spark: SparkSession, root: str, shown: int, ttl_hours: float, now: int
 # Baselines of an evaluation.
 
 
-def portable(value):
-    """Settings without what differs from run to run: no times, no absolute paths."""
-    if isinstance(value, dict):
-        return {k: portable(v) for k, v in value.items() if k not in VOLATILE}
-    if isinstance(value, (list, tuple)):
-        return [portable(v) for v in value]
-    return "<absolute-path>" if isinstance(value, str) and PurePosixPath(value).is_absolute() else value
+def portable(settings: dict) -> dict:
+    """Settings as one flat table, dotted name to value, without times; a path of this machine is replaced."""
+    out, todo = {}, [("", settings)]
+    while todo:
+        name, value = todo.pop()
+        if isinstance(value, (dict, list, tuple)):
+            inside = value.items() if isinstance(value, dict) else enumerate(value)
+            todo += [(f"{name}.{k}".lstrip("."), v) for k, v in inside if k not in VOLATILE]
+        else:
+            out[name] = ELSEWHERE if isinstance(value, str) and PurePosixPath(value).is_absolute() else value
+    return dict(sorted(out.items()))
 
 
 def store_baseline(results: DataFrame, root: str, fixture_hash: str, settings: dict, totals: dict) -> None:
@@ -260,55 +263,56 @@ def open_baseline(spark: SparkSession, root: str) -> tuple[DataFrame, dict] | No
 # The registry of vaults.
 
 
+def places(tree, where: str) -> list[tuple[tuple[str, ...], object]]:
+    """(names of the way, value) of what stands at a dotted place; `*` is every key of a mapping, `[]` every item of a list."""
+    found: list[tuple[tuple[str, ...], object]] = [((), tree)]
+    for step in where.split("."):
+        inside = [(way, (list(enumerate(v)) if isinstance(v, list) else []) if step == "[]" else list(v.items()) if isinstance(v, dict) else []) for way, v in found]
+        found = [((*way, str(k)), x) for way, each in inside for k, x in each if step in ("*", "[]", k)]
+    return found
+
+
+def proper(x) -> bool:
+    return isinstance(x, str) and re.fullmatch(VAULT_ID, x) is not None
+
+
+def is_weight(x) -> bool:
+    return isinstance(x, (int, float)) and not isinstance(x, bool) and 0 <= x <= 1
+
+
+#: What has to hold at each place of a registry, by the name of its problem: a test of (last name, value), and what it says.
+RULES = (
+    ("bad-version", "workspace", lambda k, v: v == 1, "must be 1"),
+    ("bad-vaults", "vaults", lambda k, v: isinstance(v, dict), "must map ids to coordinates"),
+    ("bad-id", "vaults.*", lambda k, v: proper(k), "is no proper id"),
+    ("bad-coords", "vaults.*", lambda k, v: isinstance(v, dict), "must hold coordinates"),
+    ("bad-coord", "vaults.*.project", lambda k, v: proper(v), "is no proper name"),
+    ("bad-coord", "vaults.*.agent", lambda k, v: proper(v), "is no proper name"),
+    ("bad-defaults", "defaults", lambda k, v: isinstance(v, dict), "must be a mapping"),
+    ("defaults-index", "defaults.index", lambda k, v: False, "belongs to each vault"),
+    ("bad-writes", "writes.default", lambda k, v: isinstance(v, list), "must be a list"),
+    ("bad-writes", "writes.agents", lambda k, v: isinstance(v, dict), "must map agents to targets"),
+    ("bad-writes", "writes.agents.*", lambda k, v: isinstance(v, list), "must be a list"),
+    ("bad-write-target", "writes.default.[]", lambda k, v: v in TARGETS, "is no target"),
+    ("bad-write-target", "writes.agents.*.[]", lambda k, v: v in TARGETS, "is no target"),
+    ("bad-layer", "recall.layerWeights.*", lambda k, v: k in LAYER_WEIGHTS, "is no layer"),
+    ("bad-layer-weight", "recall.layerWeights.*", lambda k, v: k not in LAYER_WEIGHTS or is_weight(v), "must be from 0 to 1"),
+)
+#: Without these there is no registry.
+REQUIRED = ("workspace", "vaults")
+
+
 def problems_of(registry: dict, there: set[str] | None = None) -> list[tuple[str, str, str]]:
     """(severity, code, message) of what is wrong with a registry. there: the folders that exist."""
-    out = []
-    error = lambda code, message: out.append(("error", f"workspace.{code}", message))
-    good = lambda s: isinstance(s, str) and re.fullmatch(VAULT_ID, s)
-    if registry.get("workspace") != 1:
-        error("bad-version", "workspace must be 1")
-    vaults = registry.get("vaults")
-    if not isinstance(vaults, dict):
-        error("bad-vaults", "vaults must map ids to coordinates")
-        return out
-    cells: dict[tuple, str] = {}
-    for name, at in vaults.items():
-        if not good(name):
-            error("bad-id", f"vault {name!r} has no proper id")
-        if not isinstance(at, dict):
-            error("bad-coords", f"coordinates of vault {name!r} must be an object")
-            continue
-        for axis in ("project", "agent"):
-            if axis in at and not good(at[axis]):
-                error("bad-coord", f"{axis} of vault {name!r} has no proper name")
-        other = cells.setdefault((at.get("project"), at.get("agent")), name)
-        if other != name:
-            error("duplicate-cell", f"vaults {other!r} and {name!r} are in one cell")
-        if there is not None and good(name) and name not in there:
-            out.append(("warning", "workspace.missing-dir", f"vault {name!r} has no folder"))
-    defaults = registry.get("defaults", {})
-    if not isinstance(defaults, dict):
-        error("bad-defaults", "defaults must be an object")
-    elif "index" in defaults:
-        error("defaults-index", "index paths are each vault's own")
-    writes = registry.get("writes", {})
-    agents = writes.get("agents", {})
-    if not isinstance(agents, dict):
-        error("bad-writes", "writes.agents must map agents to targets")
-        agents = {}
-    for where, targets in [("writes.default", writes.get("default", [])), *((f"writes.agents.{a}", t) for a, t in agents.items())]:
-        if not isinstance(targets, list):
-            error("bad-writes", f"{where} must be a list")
-            continue
-        for t in targets:
-            if t not in TARGETS:
-                error("bad-write-target", f"{where} has the unknown target {t!r}")
-    for layer, w in registry.get("recall", {}).get("layerWeights", {}).items():
-        if layer not in LAYER_WEIGHTS:
-            error("bad-layer", f"unknown layer {layer!r}")
-        elif isinstance(w, bool) or not isinstance(w, (int, float)) or not 0 <= w <= 1:
-            error("bad-layer-weight", f"the weight of {layer} must be from 0 to 1")
-    return out
+    tree = {**dict.fromkeys(REQUIRED), **registry}
+    out = [("error", f"workspace.{code}", f"{'.'.join(way)} {said}") for code, where, holds, said in RULES for way, value in places(tree, where) if not holds(way[-1], value)]
+    cells: dict[tuple, list[str]] = {}
+    for (_, name), at in places(tree, "vaults.*"):
+        if isinstance(at, dict):
+            cells.setdefault((str(at.get("project")), str(at.get("agent"))), []).append(name)
+    out += [("error", "workspace.duplicate-cell", f"{', '.join(names)} are in one cell") for names in cells.values() if len(names) > 1]
+    names = [name for known in cells.values() for name in known]
+    return out + [("warning", "workspace.missing-dir", f"{name} has no folder") for name in sorted(names) if there is not None and proper(name) and name not in there]
 
 
 def read_registry(spark: SparkSession, path: str, there: set[str] | None = None) -> tuple[dict, list[tuple[str, str, str]]]:
