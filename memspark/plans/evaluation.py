@@ -139,10 +139,11 @@ def q70_wake_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dreams.wake(rows, 3).select("a", "b", F.round("salience", 6).alias("salience"))
 
 
+ENDINGS = "|".join(consolidate.FILE_ENDINGS.split())
 ODD = "CASE doc_id % 6 WHEN 0 THEN sha256(doc_id::VARCHAR)[1:10] WHEN 1 THEN doc_id::VARCHAR WHEN 2 THEN source || '/x' WHEN 3 THEN 'file' || doc_id || '.ts' WHEN 4 THEN repeat('long ', 20) ELSE 'Name ' || doc_id END"
 
 
-@query(rf"SELECT doc_id, length(trim(n)) <= 80 AND NOT regexp_matches(trim(n), '[/\\]') AND NOT regexp_matches(trim(n), '(?i)^[0-9a-f]{{7,40}}$') AND NOT regexp_matches(trim(n), '^[0-9]+$') AND NOT regexp_matches(trim(n), '(?i)\.(ts|tsx|js|mjs|cjs|jsx|json|md|txt|yml|yaml|py|rb|go|rs|sh|css|scss|html|sql|toml|lock)$') AS plausible FROM (SELECT doc_id, {ODD} AS n FROM documents)")
+@query(rf"SELECT doc_id, length(trim(n)) <= 80 AND NOT regexp_matches(trim(n), '[/\\]') AND NOT regexp_matches(trim(n), '(?i)^[0-9a-f]{{7,40}}$') AND NOT regexp_matches(trim(n), '^[0-9]+$') AND NOT regexp_matches(trim(n), '(?i)\.({ENDINGS})$') AS plausible FROM (SELECT doc_id, {ODD} AS n FROM documents)")
 def q72_plausible_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id").cast("string")
     k = F.col("doc_id") % 6
