@@ -49,7 +49,8 @@ def run_to_end(stream: DataFrame, tag: str, mode: str = "update") -> DataFrame:
     out, checkpoint = new_path(spark, tag), new_path(spark, tag + "-checkpoint")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(out)
+        # A folder for each batch: one that runs again replaces its own rows.
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
