@@ -19,14 +19,14 @@ def test_mass_is_one_and_both_ways_agree(spark):
     seeds = spark.createDataFrame([(1, "a", 2.0), (1, "d", 1.0), (2, "c", 1.0), (2, "gone", 9.0)], "query_id int, node string, value double")
     adjacent = graph.adjacency(e, "weight")
     one = {(r["query_id"], r["node"]): r["mass"] for r in graph.pagerank(seeds, adjacent).collect()}
-    parted = push.prepared(adjacent, bucket_edges=3, hub=1)
-    assert parted.buckets > 2 and parted.nodes(spark).filter("relay").count() > 2
+    parted = push.prepared(adjacent, bucket_edges=4, hub=1)
+    assert parted.buckets > 1 and parted.nodes(spark).filter("relay").count() > 2
     two = {(r["query_id"], r["node"]): r["mass"] for r in graph.pagerank(seeds, parted, tolerance=1e-4).collect()}
     assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 2e-4 for k in one)
     for q in (1, 2):
         assert abs(sum(v for k, v in one.items() if k[0] == q) - 1) < 1e-9
     assert (2, "gone") not in one and (1, "x") not in one
-    for g, tolerance in ((adjacent, 1e-8), (parted, 1e-5)):
+    for g, tolerance in ((adjacent, 1e-8), (parted, 1e-4)):
         top = {(r["query_id"], r["node"]) for r in graph.pagerank(seeds, g, tolerance=tolerance, top=2).collect()}
         assert top == {(q, n) for q in (1, 2) for _, n in sorted((-round(m, 9), n) for (k, n), m in one.items() if k == q)[:2]}
     alone = graph.with_isolated(graph.pagerank(seeds, adjacent), seeds, 0.5).filter("node = 'gone'").head()
