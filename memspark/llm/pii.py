@@ -6,20 +6,20 @@ Positions come from cutting the text at the same pattern: what lies before a mat
 pieces and matches before it. The patterns start only where no character of the same run precedes, and
 their runs give nothing back, so a long run costs its length and not its square.
 
-Method (information-theoretic sanitising, after Sanchez and Batet 2016): every found value is a protected
-entity e. The corpus tells how much a term t near it discloses:
+Method (information-theoretic sanitising, after Sanchez and Batet 2016): protected entities e are the found values
+and their owners (an address' domain, the first three parts of an ip, a card's issuer, a telephone's number but
+for its last four digits), so that a value of a single text is judged by its owner's texts. The corpus tells how
+much a term t near e discloses:
 
     IC(e) = log2(N / c(e)),   PMI(t; e) = log2(N c(t, e) / ((c(t) + UNSEEN) c(e))),   disclosure = PMI / IC
 
 with c(e) the distinct texts with e, c(t, e) those that hold t too, anywhere, c(t) all with t and N all there
 are, so copies of a text count once everywhere. Near 1 the term gives the entity away whenever it occurs;
 UNSEEN stands for an occurrence elsewhere that the corpus doesn't show, so that one meeting says less than
-many. Every found value is scored, also one
-of a single text, against every word of its texts that stands outside values somewhere in them. Terms with a
+many. One meeting is no evidence, whatever N: a term needs MET texts with the entity, and a share c(t, e) / c(t) of
+surely NEAR or more (the lower end of Wilson's interval at SURE_Z). Terms that stand outside values and have a
 disclosure of GENERALISE or more are replaced by their kind of word, from REMOVE on they are removed: in every text
-with found values, and in other texts if the share c(t, e) / c(t) of a term's texts that hold the value is surely
-SURE or more (the lower end of Wilson's interval at SURE_Z), since a few chance meetings make rare words telling in
-the texts with the value but are no evidence about a text without any.
+with found values, and in other texts if the share is surely SURE or more.
 
 Only texts with found values emit pairs; values found in the same texts disclose alike and make one pair with a
 term. The corpus is read once for words: those of telling candidates are sieved by a bitmap of fixed size (a chance
@@ -56,7 +56,8 @@ TERM_KIND = "term"
 
 TERM = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]+(?![\p{L}\p{N}])"
 UNSEEN = 1
-SURE, SURE_Z = 0.5, 1.2816  # one-sided 90 %
+MET = 2
+NEAR, SURE, SURE_Z = 1 / 3, 0.5, 1.2816  # one-sided 90 %
 GENERALISE, REMOVE = 0.9, 0.97
 
 #: Bits of the candidates' sieve, whatever their number: beyond millions of candidates it lets more through, to the same result.
@@ -127,15 +128,23 @@ def base_spans() -> Column:
 
 
 def entities_of(found: DataFrame) -> DataFrame:
-    """_key, entity, of_entity (c(e)): the values of each text, those of the same texts as one. found has _key, _text, _spans."""
+    """_key, entity, of_entity (c(e)): the values and owners of each text that MET texts hold, those of the same texts as one. found has _key, _text, _spans."""
 
-    def value(s: Column) -> Column:
+    def held_by(s: Column) -> Column:
         said = F.lower(F.substr("_text", s["start"] + 1, s["stop"] - s["start"]))
-        return F.xxhash64(s["kind"], F.when(s["kind"].isin("card", "phone"), F.regexp_replace(said, "[^0-9]", "")).otherwise(said))
-
-    held = written(found.select("_key", F.explode(F.array_distinct(F.transform("_spans", value))).alias("value")), "values")
+        digits = F.regexp_replace(said, "[^0-9]", "")
+        value = F.when(s["kind"].isin("card", "phone"), digits).otherwise(said)
+        owner = (
+            F.when(s["kind"] == "email", F.substring_index(said, "@", -1))
+            .when(s["kind"] == "ip", F.substring_index(said, ".", 3))
+            .when(s["kind"] == "card", F.substr(digits, F.lit(1), F.lit(6)))
+            .otherwise(F.substr(digits, F.lit(1), F.length(digits) - 4))
+        )
+        return F.array(F.xxhash64(s["kind"], value), F.xxhash64(s["kind"], F.lit("owner"), owner))
+
+    held = written(found.select("_key", F.explode(F.array_distinct(F.flatten(F.transform("_spans", held_by)))).alias("value")), "values")
     # The same texts: as many, with the same sums of two hashes.
-    texts = held.groupBy("value").agg(F.count(F.lit(1)).alias("of_entity"), F.bit_xor("_key").alias("x"), F.bit_xor(F.xxhash64("_key")).alias("y"))
+    texts = held.groupBy("value").agg(F.count(F.lit(1)).alias("of_entity"), F.bit_xor("_key").alias("x"), F.bit_xor(F.xxhash64("_key")).alias("y")).filter(F.col("of_entity") >= MET)
     return written(held.join(texts.select("value", "of_entity", F.xxhash64("of_entity", "x", "y").alias("entity")), "value").select("_key", "entity", "of_entity").distinct(), "entities")
 
 
@@ -167,15 +176,15 @@ def candidate_terms(words: DataFrame, entities: DataFrame, n: int) -> DataFrame:
 
     A term occurs in all texts that have it beside any value, at least; where that alone keeps its disclosure
     below the threshold, the corpus needn't be asked. So common words end here: no value discloses through a term
-    with least + UNSEEN above c(e) ^ GENERALISE * N ^ (1 - GENERALISE).
+    with least + UNSEEN above c(e) ^ GENERALISE * N ^ (1 - GENERALISE). So do words of fewer than MET texts.
     """
     most_of = entities.agg(F.max("of_entity")).head()[0] or 0
     least = words.groupBy("term").agg(F.sum("whole").alias("least"))
-    few = written(least.filter(F.col("least") + UNSEEN <= most_of**GENERALISE * float(n) ** (1 - GENERALISE) * (1 + 1e-9)), "few")
+    few = written(least.filter(F.col("least") >= MET).filter(F.col("least") + UNSEEN <= most_of**GENERALISE * float(n) ** (1 - GENERALISE) * (1 + 1e-9)), "few")
     may = sieve(few)
-    pairs = words.filter(may(F.col("term"))).join(entities, "_key").groupBy("entity", "of_entity", "term").agg(F.sum("whole").alias("together"), F.max("out").alias("out")).filter("out = 1").drop("out")
+    pairs = words.filter(may(F.col("term"))).join(entities, "_key").groupBy("entity", "of_entity", "term").agg(F.sum("whole").alias("together"), F.max("out").alias("out")).filter((F.col("out") == 1) & (F.col("together") >= MET)).drop("out")
     most = disclosure(F.col("together"), F.col("least"), F.col("of_entity"), F.lit(float(n)))
-    return pairs.join(few, "term").filter(most >= GENERALISE)
+    return pairs.join(few, "term").filter((most >= GENERALISE) & (least_share(F.col("together"), F.col("least")) >= NEAR))
 
 
 def disclosure(together: Column, of_term: Column, of_entity: Column, n: Column) -> Column:
@@ -228,8 +237,9 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> tuple[DataFrame,
     words = rows.select("_key", F.explode(F.regexp_extract_all("_text", F.lit(TERM), F.lit(0))).alias("term")).filter(may_tell(F.col("term")))
     held = written(words.distinct(), "held")
     of_term = held.groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
-    told = candidates.join(of_term, "term").withColumn("d", disclosure(F.col("together"), F.col("of_term"), F.col("of_entity"), F.lit(float(n)))).filter(F.col("d") >= GENERALISE)
-    telling = told.groupBy("term").agg(F.max("d").alias("d"), F.max(least_share(F.col("together"), F.col("of_term")) >= SURE).alias("everywhere"))
+    share = least_share(F.col("together"), F.col("of_term"))
+    told = candidates.join(of_term, "term").filter(share >= NEAR).withColumn("d", disclosure(F.col("together"), F.col("of_term"), F.col("of_entity"), F.lit(float(n)))).filter(F.col("d") >= GENERALISE)
+    telling = told.groupBy("term").agg(F.max("d").alias("d"), F.max(share >= SURE).alias("everywhere"))
     telling = written(telling.select("term", (F.col("d") >= REMOVE).alias("removed"), "everywhere"), "telling")
     here = near.filter("whole = 1").select("_key", "term").join(telling, "term").drop("everywhere")
     there = held.join(telling.filter("everywhere"), "term").drop("everywhere")

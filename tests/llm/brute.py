@@ -116,8 +116,13 @@ def personal_data(text):
 TERM = regex.compile(r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]+(?![\p{L}\p{N}])")
 
 
-def term_spans(texts, unseen=1, least=0.9, sure=0.5, z=1.2816):
-    """Of each text the (start, end) of the words that disclose a value, by smoothed PMI over the distinct texts."""
+def owner(kind, said):
+    digits = re.sub("[^0-9]", "", said)
+    return {0: said.rpartition("@")[2], 1: ".".join(said.split(".")[:3]), 2: digits[:6], 3: digits[:-4]}[kind]
+
+
+def term_spans(texts, unseen=1, least=0.9, met=2, near=1 / 3, sure=0.5, z=1.2816):
+    """Of each text the (start, end) of the words that disclose a value or its owner, by smoothed PMI over the distinct texts."""
     whole = sorted({t or "" for t in texts})
     words, outside, values = {}, {}, {}
     for t in whole:
@@ -126,6 +131,7 @@ def term_spans(texts, unseen=1, least=0.9, sure=0.5, z=1.2816):
         if not spans:
             continue
         values[t] = {(k, re.sub("[^0-9]", "", t[a:b]) if k in (2, 3) else t[a:b].lower()) for a, k, b in spans}
+        values[t] |= {(k, "owner", owner(k, t[a:b].lower())) for a, k, b in spans}
         at, left = 0, []
         for a, _, b in spans:
             left.append(t[at:a] if a > at else "")
@@ -141,10 +147,10 @@ def term_spans(texts, unseen=1, least=0.9, sure=0.5, z=1.2816):
         together = Counter(w for t in held for w in words[t])
         for w in set().union(*(outside[t] for t in held)):
             n, c, both, e = len(whole), of_term[w], together[w], len(held)
-            ic = math.log2(n / e)
-            if ic > 0 and math.log2(n * both / ((c + unseen) * e)) / ic >= least:
+            ic, p = math.log2(n / e), both / c
+            share = (p + z * z / (2 * c) - z * math.sqrt((p * (1 - p) + z * z / (4 * c)) / c)) / (1 + z * z / c)
+            if both >= met and share >= near and ic > 0 and math.log2(n * both / ((c + unseen) * e)) / ic >= least:
                 anywhere.add(w)
-                p = both / c
-                if (p + z * z / (2 * c) - z * math.sqrt((p * (1 - p) + z * z / (4 * c)) / c)) / (1 + z * z / c) >= sure:
+                if share >= sure:
                     elsewhere.add(w)
     return {t: [m.span() for m in TERM.finditer(t) if m.group() in (anywhere if t in values else elsewhere)] for t in whole}

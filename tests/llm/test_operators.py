@@ -427,14 +427,31 @@ def test_terms_that_disclose(spark):
     assert all(rows[i][n["spans"]] == "" and rows[i][n["sanitised"]] == clean[i - 6] for i in range(6, 206))
 
 
-def test_terms_that_disclose_a_value_of_one_text(spark):
-    """A value found once is scored too, by words anywhere in its text."""
+@pytest.mark.parametrize("n_clean", [100, 2000])
+def test_one_meeting_tells_nothing_and_owners_stand_for_values_of_one_text(spark, n_clean):
+    """However large the corpus, a word met once with a value stays; a word that goes with a domain, network or area goes, anywhere in its texts."""
     far = "the man wrote words " * 60
-    rows = [f"Moriarty {far} m@x.org", *(f"clean{i} text the man wrote words" for i in range(2000))]
+    once = [f"Watson {far} w@alone.org"]
+    owned = [f"Moriarty {far} m{i}@x.org" for i in range(3)] + [f"Lestrade {far} 10.1.2.{i}" for i in range(3)] + [f"Adler {far} +1 (234) 555-{i:04}" for i in range(3)]
+    clean = [f"clean{i} text the man wrote words" for i in range(n_clean)]
+    rows = [*once, *owned, *clean]
     out, n = pii.find_personal_data(docs(spark, rows))
-    got = {r["doc_id"]: r for r in out.collect()}
-    assert got[0][n["spans"]].startswith("term:0:8,email:") and got[0][n["sanitised"]] == f"[NAME] {far} [EMAIL]"
-    assert all(got[i][n["sanitised"]] == rows[i] for i in range(1, 2001))
+    got = {r["doc_id"]: r[n["sanitised"]] for r in out.collect()}
+    assert got[0] == f"Watson {far} [EMAIL]"
+    assert [got[i] for i in range(1, 10)] == [f"[NAME] {far} [{kind}]" for kind in ("EMAIL", "IP", "PHONE") for _ in range(3)]
+    assert all(got[i] == rows[i] for i in range(10, len(rows)))
+
+
+def test_planted_terms_are_caught_and_clean_words_stay(spark, sf_dir):
+    """Names planted beside addresses of one domain in the documents are found; of other words one in 1,000 at most is lost."""
+    every = [r[0] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    planted = [f"{t} Zqname{i % 5} zq{i}@owner{i % 5}.net" if i < 20 else t for i, t in enumerate(every)]
+    out, n = pii.find_personal_data(docs(spark, planted))
+    got = {r["doc_id"]: r[n["sanitised"]] for r in out.collect()}
+    assert all("Zqname" not in (got[i] or "") for i in range(20))
+    spans = brute.term_spans(planted)
+    lost = sum(len(spans[t]) for t in planted) - 20
+    assert 0 <= lost <= sum(len(t.split()) for t in every) / 1000
 
 
 def test_copies_do_not_hide_terms(spark):
