@@ -52,7 +52,7 @@ NO_ID = -(1 << 63)
 SLICE = 1 << 20
 #: An anchor with more super-k-mers than these, equal ones of a batch counted once, is split by edges.
 HOT = 512
-PLACES = "array<struct<id: bigint, tk: int, pos: int>>"
+PLACES = "array<struct<id: bigint, tk: bigint, pos: int>>"
 
 
 def least_anchor(grams: np.ndarray, span: int) -> np.ndarray:
@@ -149,10 +149,10 @@ def find_anchors(rows: DataFrame, width: int, size: int) -> DataFrame:
                 names=["a", "id", "tk", "pos", "weight", "kinds", "others"],
             )
 
-    return rows.mapInArrow(run, f"a bigint, id bigint, tk int, pos int, weight int, kinds int, others {PLACES}")
+    return rows.mapInArrow(run, f"a bigint, id bigint, tk bigint, pos int, weight int, kinds int, others {PLACES}")
 
 
-EDGES = f"a bigint, id bigint, tk int, pos int, weight int, before_lo bigint, before_hi bigint, after_lo bigint, after_hi bigint, edges array<bigint>, others {PLACES}"
+EDGES = f"a bigint, id bigint, tk bigint, pos int, weight int, before_lo bigint, before_hi bigint, after_lo bigint, after_hi bigint, edges array<bigint>, others {PLACES}"
 
 
 def find_edges(rows: DataFrame, width: int, size: int) -> DataFrame:
@@ -261,7 +261,7 @@ def texts_and_marks(docs: DataFrame, width: int, size: int, id_col: str, text: s
     if not 1 <= width - size + 1 <= 62:
         raise ValueError("an anchor must be shorter than a window, by 61 words at most")
     rows = docs.select(
-        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), F.hash(F.col(f"`{text}`")).alias("tk"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")
+        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("tk"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")
     )
     over = Window.partitionBy("a")
     found = find_anchors(rows, width, size).withColumns({"times": F.sum("weight").over(over), "split": (F.sum("kinds").over(over) > HOT).cast("int")}).filter("times > 1 OR weight = 0")
@@ -289,10 +289,10 @@ def walks(rows: DataFrame, width: int) -> DataFrame:
                         span = words[start : start + n + width - 1]
                         for column, x in zip(out, (doc, tk, start, len(span), hashlib.sha256(b" ".join(span)).digest()), strict=True):
                             column.append(x)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["id", "tk", "start", "n_words", "path"])
 
-    return rows.mapInArrow(run, "id bigint, tk int, start bigint, n_words bigint, path binary")
+    return rows.mapInArrow(run, "id bigint, tk bigint, start bigint, n_words bigint, path binary")
 
 
 def refuted(found: DataFrame) -> DataFrame:

@@ -245,10 +245,19 @@ def test_substring_paths_are_cut_alike_in_all_copies(spark, monkeypatch, batch,
 
 def test_substring_walks_without_a_second_place_are_refuted(spark):
     rows = [(1, 7, 0, 40, b"a"), (2, 8, 3, 40, b"a"), (1, 7, 50, 35, b"b"), (1, 7, 90, 35, b"c"), (5, 9, 0, 35, b"d"), (5, 9, 0, 35, b"d")]
-    got = substring_dedup.refuted(spark.createDataFrame(rows, "id bigint, tk int, start bigint, n_words bigint, path binary")).collect()
+    got = substring_dedup.refuted(spark.createDataFrame(rows, "id bigint, tk bigint, start bigint, n_words bigint, path binary")).collect()
     assert [(r["id"], r["tk"], sorted(r["wrong"])) for r in got] == [(1, 7, [50, 90])]
 
 
+def test_rows_without_ids_whose_texts_share_a_32_bit_hash(spark):
+    shared = " ".join(f"w{i}" for i in range(70))
+    many = spark.range(200_000).select(F.concat(F.lit("v"), F.col("id").cast("string"), F.lit(" " + shared)).alias("text"))
+    alike = many.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("t"), F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy("h").head()["t"][:2]
+    rows = spark.createDataFrame([(None, t) for t in alike], "doc_id bigint, text string")
+    got = substring_dedup.dedup_substrings(rows).collect()
+    assert sorted(r["kept_text"] for r in got) == sorted(t.split()[0] for t in alike) and all(r["n_removed"] == 70 for r in got)
+
+
 def test_substring_dedup_odd_tables(spark):
     long = " ".join(f"v{i}" for i in range(50))
     rows = [(None, long), (None, long), (3, "q " * 40), (3, "q " * 40), (4, long + " z")]
