@@ -135,27 +135,70 @@ def hops(sources: DataFrame, adjacent: DataFrame, most: int) -> DataFrame:
     return seen
 
 
+def meetings(pairs: DataFrame, links: DataFrame, most_depth: int) -> tuple[DataFrame, DataFrame]:
+    """(seen, met): what each pair's two searches have seen (pair_id, side, node, hops), and the nodes where they meet (pair_id, node, near, far).
+
+    links: a, b, degree (of b). A round adds one level to every open pair, on the side whose last level has fewer links, so the
+    two depths add up to the round and the first meeting is the distance. A pair that has met, or can't grow, is closed: no
+    ball reaches over the meeting, and a hub is opened from one side only.
+    """
+    ends = pairs.filter("src IS NOT NULL AND dst IS NOT NULL").select("pair_id", "src", "dst").distinct()
+    met = ends.filter("src = dst").select("pair_id", F.col("src").alias("node"), F.lit(0).alias("near"), F.lit(0).alias("far"))
+    ends = written(ends.filter("src <> dst"), "ends")
+    seen = ends.select("pair_id", F.explode(F.array(*[F.struct(F.lit(e).alias("side"), F.col(e).alias("node")) for e in ("src", "dst")])).alias("e")).select("pair_id", "e.*", F.lit(0).alias("hops"))
+    open_ = ends.select("pair_id", *[F.lit(0).alias(f"{e}_{what}") for e in ("src", "dst") for what in ("depth", "cost")])
+    for _ in range(most_depth):
+        turn = open_.withColumn("side", F.when(F.col("src_cost") <= F.col("dst_cost"), "src").otherwise("dst"))
+        turn = turn.withColumn("hops", F.when(F.col("side") == "src", F.col("src_depth")).otherwise(F.col("dst_depth")))
+        last = seen.join(turn.select("pair_id", "side", "hops"), ["pair_id", "side", "hops"])
+        near = last.join(links, last["node"] == links["a"]).select("pair_id", "side", F.col("b").alias("node"), "degree", (F.col("hops") + 1).alias("hops")).distinct()
+        # Of an open pair no node is seen from both sides, so one join finds what is known and where the sides meet.
+        known = near.join(seen.select("pair_id", "node", F.col("side").alias("_side"), F.col("hops").alias("other")), ["pair_id", "node"], "left")
+        fresh = written(known.filter("_side IS NULL OR side <> _side").drop("_side"), "fresh")
+        of = lambda e: F.when(F.col("side") == e, F.col("hops")).otherwise(F.col("other"))
+        now = fresh.filter("other IS NOT NULL").select("pair_id", "node", of("src").alias("near"), of("dst").alias("far"))
+        grown = fresh.groupBy("pair_id").agg(F.sum("degree").alias("cost"))
+        still = turn.join(now, "pair_id", "left_anti").join(grown, "pair_id")
+        moved = [
+            c
+            for e in ("src", "dst")
+            for c in ((F.col(f"{e}_depth") + (F.col("side") == e).cast("int")).alias(f"{e}_depth"), F.when(F.col("side") == e, F.col("cost")).otherwise(F.col(f"{e}_cost")).alias(f"{e}_cost"))
+        ]
+        open_ = written(still.select("pair_id", *moved), "open")
+        seen, met = seen.unionByName(fresh.drop("degree", "other")), met.unionByName(now)
+        if open_.isEmpty():
+            break
+    return seen, met
+
+
 def shortest_paths(pairs: DataFrame, edges: DataFrame, most_depth: int = 5, most_paths: int = 3) -> DataFrame:
     """pair_id, nth, nodes, depth: up to most_paths shortest paths of each pair (pair_id, src, dst), undirected.
 
-    Levels first, then the walk back: only nodes that are one level nearer to the source are followed, so no path
-    is built that doesn't arrive. Paths go by their node lists in order.
+    Two searches meet in the middle; from the nodes where they meet only links to a node that is one level nearer to the
+    pair's end are followed, so no path is built that doesn't arrive. Paths go by their node lists in order.
     """
     one = edges.filter("dst IS NOT NULL AND src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     links = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    levels = written(hops(pairs.select(F.col("src").alias("node")), links, most_depth), "levels")
-    ends = pairs.join(levels.select(F.col("source").alias("src"), F.col("node").alias("dst"), "hops"), ["src", "dst"])
-    walks = ends.select("pair_id", "src", F.col("dst").alias("at"), F.array("dst").alias("nodes"), F.col("hops").alias("depth"), F.col("hops").alias("left"))
-    done = walks.filter("left = 0")
-    order = Window.partitionBy("pair_id", "at").orderBy("nodes")
-    for _ in range(most_depth):
-        nearer = levels.select(F.col("source").alias("src"), F.col("node").alias("b"), F.col("hops").alias("h"))
-        walks = walks.filter("left > 0").join(links.withColumnRenamed("a", "at"), "at").join(nearer, ["src", "b"]).filter("h = left - 1")
-        walks = walks.select("pair_id", "src", F.col("b").alias("at"), F.concat(F.array("b"), "nodes").alias("nodes"), "depth", F.col("h").alias("left"))
-        # No more than most_paths of one node can be among the first of the pair.
-        walks = walks.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most_paths).drop("nth")
-        done = done.unionByName(walks.filter("left = 0"))
-    return done.withColumn("nth", F.row_number().over(Window.partitionBy("pair_id").orderBy("nodes"))).filter(F.col("nth") <= most_paths).select("pair_id", "nth", "nodes", "depth")
+    links = written(links.join(links.groupBy(F.col("a").alias("b")).agg(F.count(F.lit(1)).alias("degree")), "b").select("a", "b", "degree"), "links")
+    seen, met = meetings(pairs, links, most_depth)
+
+    def walked(walks: DataFrame, side: str, start: list[str], longer: Column) -> DataFrame:
+        """walks (pair_id, at, nodes, left) at the side's end; of those that came to one node from one of `start`, the first most_paths."""
+        nearer = seen.filter(F.col("side") == side).select("pair_id", F.col("node").alias("b"), F.col("hops").alias("h"))
+        order = Window.partitionBy("pair_id", *start, "at").orderBy("nodes")
+        done = walks.filter("left = 0")
+        for _ in range(walks.agg(F.max("left")).head()[0] or 0):
+            walks = walks.filter("left > 0").join(links.select(F.col("a").alias("at"), "b"), "at").join(nearer, ["pair_id", "b"]).filter("h = left - 1")
+            walks = walks.withColumns({"nodes": longer, "left": F.col("h"), "at": F.col("b")}).drop("b", "h")
+            walks = walks.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most_paths).drop("nth")
+            done = done.unionByName(walks.filter("left = 0"))
+        return done
+
+    middle = met.select("pair_id", F.col("node").alias("at"), F.array("node").alias("nodes"), F.col("far").alias("left"), F.col("node").alias("middle"), "near", (F.col("near") + F.col("far")).alias("depth"))
+    # Of one middle's halves only the first can be part of the pair's first paths.
+    ahead = written(walked(middle, "dst", ["middle"], F.concat("nodes", F.array("b"))), "walks")
+    whole = walked(ahead.select("pair_id", F.col("middle").alias("at"), "nodes", F.col("near").alias("left"), "depth"), "src", [], F.concat(F.array("b"), "nodes"))
+    return whole.withColumn("nth", F.row_number().over(Window.partitionBy("pair_id").orderBy("nodes"))).filter(F.col("nth") <= most_paths).select("pair_id", "nth", "nodes", "depth")
 
 
 def two_hop_chains(edges: DataFrame, per_source: int = 3) -> DataFrame:

@@ -94,6 +94,45 @@ def test_paths_and_hops(spark):
     assert got == {(1, 1): ["a", "b", "d"], (1, 2): ["a", "c", "d"], (1, 3): ["a", "e", "d"], (2, 1): ["a"], (4, 1): ["z", "d", "b", "a"], (4, 2): ["z", "d", "c", "a"], (4, 3): ["z", "d", "e", "a"]}
 
 
+def every_shortest(links, src, dst, most):
+    """All shortest paths of up to `most` links, in order, by one search from the source."""
+    paths = [[src]]
+    for _ in range(most + 1):
+        done = [p for p in paths if p[-1] == dst]
+        if done:
+            return sorted(done)
+        seen = {n for p in paths for n in p}
+        paths = [[*p, n] for p in paths for n in links.get(p[-1], ()) if n not in seen]
+    return []
+
+
+def test_paths_meet_in_the_middle(spark):
+    """Random graphs with a hub, loops and repeated edges: every pair's paths are those of a plain search, and no search goes past the meeting."""
+    rng = random.Random(11)
+    rows = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}", 1.0) for _ in range(75)] + [("hub", f"n{i}", 1.0) for i in range(0, 60, 2)] + [("hub", "n2", 1.0), ("n1", "n1", 1.0)]
+    links = {}
+    for a, b, _ in rows:
+        if a != b:
+            links.setdefault(a, set()).add(b)
+            links.setdefault(b, set()).add(a)
+    asked = [(i, f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for i in range(80)] + [(80, "hub", "n7"), (81, "n3", "n3"), (82, "gone", "n1"), (83, None, "n1")]
+    pairs = spark.createDataFrame(asked, "pair_id int, src string, dst string")
+    for most in (5, 3):
+        got = {}
+        for r in graph.shortest_paths(pairs, edges(spark, rows), most).collect():
+            got.setdefault(r["pair_id"], []).append((r["nth"], r["nodes"], r["depth"]))
+        for i, a, b in asked:
+            want = every_shortest(links, a, b, most)[:3] if a else []
+            assert sorted(got.get(i, [])) == [(n + 1, p, len(p) - 1) for n, p in enumerate(want)], (i, a, b)
+    # A path's end beside a hub of 500: the other side grows, so the hub is never opened.
+    star = edges(spark, [("big", f"leaf{i}", 1.0) for i in range(500)] + [("s", "big", 1.0), ("t", "u", 1.0), ("u", "v", 1.0), ("v", "s", 1.0)])
+    one = star.select(star.src.alias("a"), star.dst.alias("b"))
+    both = one.unionByName(one.selectExpr("b AS a", "a AS b")).distinct()
+    both = both.join(both.groupBy("a").count().withColumnsRenamed({"a": "b", "count": "degree"}), "b")
+    seen, met = graph.meetings(spark.createDataFrame([(1, "s", "t")], "pair_id int, src string, dst string"), both, 5)
+    assert met.count() >= 1 and seen.count() < 12
+
+
 def test_budget_skips_what_is_too_large(spark):
     rows = [(1, i, f"p{i}", "x" * n) for i, n in enumerate([9000, 4, 7000, 8, 4], 1)]
     hits = spark.createDataFrame(rows, "query_id int, rank int, passage_id string, text string")
