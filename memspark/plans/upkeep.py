@@ -9,11 +9,12 @@ from ..config import Config, merged
 from ..functions.scoring import base_level, compacted_sum, decayed, retrieval_probability
 from ..functions.text import tokens
 from ..operators import activation as act
-from ..operators import dreams, federate, index
+from ..operators import dreams, extract, federate, index
 from ..operators import graph as g
 from ..operators import recall as r
+from ..sources.models import FirstWords
 from ..sources.vault import versions_at
-from ..storage import written
+from ..storage import new_path, written
 from ..streaming import access as stream
 from . import graphs
 from . import inputs as I
@@ -301,3 +302,13 @@ def q66_versions_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql(I.ACCESS, select=f"SELECT max(t) AS watermark, {LIMIT} AS seed_limit FROM access"))
 def q67_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return act.watermark(I.access(spark, sf_dir)).withColumn("seed_limit", F.lit(LIMIT))
+
+
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[a-z]+') AS w FROM documents WHERE text IS NOT NULL)
+SELECT doc_id AS passage_id, w[1] AS subject, 'before' AS predicate, w[2] AS object, 0.9e0 AS conf FROM w WHERE len(w) >= 2""")
+def q92_extraction_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples of every document by a run with a stand-in model; a reply without JSON loses its own text alone."""
+    passages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    path = new_path(spark, "answers")
+    extract.run(passages, path, extract.TRIPLES, FirstWords, "first-words")
+    return extract.triples(passages, path, "first-words").select("passage_id", "subject", "predicate", "object", "conf")

@@ -127,6 +127,15 @@ class WordJudge:
         return str(((ends[0] in known) + (ends[-1] in known)) / 2)
 
 
+@dataclass
+class FirstWords:
+    """A stand-in for a model that lists facts: a text's first two runs of small letters; plain words where it has fewer."""
+
+    def reply(self, prompt: str) -> str:
+        words = re.findall("[a-z]+", prompt.partition("\n\n")[2])
+        return json.dumps([{"subject": words[0], "predicate": "before", "object": words[1], "conf": 0.9}]) if len(words) > 1 else "There are none."
+
+
 @dataclass
 class TrigramEmbedder:
     """Vectors of hashed trigrams: no model, the same everywhere."""
