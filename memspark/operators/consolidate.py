@@ -31,14 +31,18 @@ def resolve(candidates: DataFrame, names: DataFrame, column: str, into: str) ->
     return candidates.join(best.withColumnRenamed("name", "_name"), F.lower(F.col(column)) == F.col("_name"), "left").drop("_name")
 
 
-def candidate_key(subject: Column, predicate: Column, obj: Column, src: Column) -> Column:
-    return short_hash(subject, predicate, obj, src)
+#: Hex digits by which rows are told apart: those of an id (40 bits) meet by chance among some million rows.
+WHOLE = 64
 
 
-def new_candidates(candidates: DataFrame, seen: DataFrame, order: str) -> DataFrame:
-    """The first candidate of each key (column key) that isn't among the seen keys."""
-    fresh = candidates.join(seen.select("key").distinct(), "key", "left_anti")
-    return fresh.withColumn("_nth", F.row_number().over(Window.partitionBy("key").orderBy(order))).filter("_nth = 1").drop("_nth")
+def candidate_key(subject: Column, predicate: Column, obj: Column, src: Column, n: int = 10) -> Column:
+    return short_hash(subject, predicate, obj, src, n=n)
+
+
+def new_candidates(candidates: DataFrame, seen: DataFrame, order: str, key: str = "key") -> DataFrame:
+    """The first candidate of each key that isn't among the seen keys."""
+    fresh = candidates.join(seen.select(key).distinct(), key, "left_anti")
+    return fresh.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("_nth = 1").drop("_nth")
 
 
 def with_support(candidates: DataFrame, pending: DataFrame, order: str) -> DataFrame:

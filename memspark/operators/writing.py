@@ -46,6 +46,11 @@ def object_key(ref: Column, obj: Column) -> Column:
     return F.coalesce(F.concat(F.lit("[["), ref, F.lit("]]")), link_name(obj))
 
 
+def fact_parts() -> list[Column]:
+    """What a fact says and since when, of which its id is a hash."""
+    return [F.col("src"), F.col("predicate"), object_key(F.col("object_ref"), F.col("object")), F.col("claimed_at")]
+
+
 def built_facts(rows: DataFrame, by: str | None = None, now: int | None = None) -> DataFrame:
     """rows with the fact that each becomes (FACT_COLUMNS); the id hashes what the fact says and since when, not when it was written.
 
@@ -54,7 +59,7 @@ def built_facts(rows: DataFrame, by: str | None = None, now: int | None = None)
     """
     made = {
         "type": F.col("predicate"), "dst": F.col("object_ref"), "value": F.when(F.col("object_ref").isNull(), link_name(F.col("object"))), "valid_from": F.col("claimed_at"), "valid_to": F.lit(None).cast("long"),
-        "fact_id": F.concat(F.lit("f-"), short_hash(F.col("src"), F.col("predicate"), object_key(F.col("object_ref"), F.col("object")), F.col("claimed_at"))), "expired_at": F.lit(None).cast("long"),
+        "fact_id": F.concat(F.lit("f-"), short_hash(*fact_parts())), "expired_at": F.lit(None).cast("long"),
         "conf": F.lit(1.0) if by == "user" else F.coalesce(F.col("confidence").cast("double"), F.lit(1.0)),
     }
     if by is not None:
@@ -186,10 +191,12 @@ def consolidation(candidates: DataFrame, names: DataFrame, current: DataFrame, p
     candidates = candidates.filter("trim(subject) <> '' AND trim(predicate) <> '' AND trim(object) <> ''")
     held = current.filter("expired_at IS NULL AND valid_to IS NULL").withColumn("object_key", object_key(F.col("dst"), F.col("value")))
     queue, refused = claim_of(pending, names), claim_of(rejected, names)
-    key = lambda t: t.withColumn("key", c.candidate_key(F.coalesce("subject_ref", "subject"), F.col("predicate"), F.col("object_key"), F.col("episode")))
-    known = held.select(c.candidate_key(F.col("src"), F.col("type"), F.col("object_key"), F.coalesce("provenance", F.lit(""))).alias("key"))
-    seen = key(queue).select("key").unionByName(key(refused).select("key")).unionByName(known)
-    fresh = c.new_candidates(key(claim_of(candidates, names)), seen, "seq")
+    key_of = lambda n: c.candidate_key(F.coalesce("subject_ref", "subject"), F.col("predicate"), F.col("object_key"), F.col("episode"), n)
+    key = lambda t: t.withColumn("key", key_of(10))
+    same_as = lambda t: t.withColumn("_same", key_of(c.WHOLE))
+    known = held.select(c.candidate_key(F.col("src"), F.col("type"), F.col("object_key"), F.coalesce("provenance", F.lit("")), c.WHOLE).alias("_same"))
+    seen = same_as(queue).select("_same").unionByName(same_as(refused).select("_same")).unionByName(known)
+    fresh = key(c.new_candidates(same_as(claim_of(candidates, names)), seen, "seq", "_same").drop("_same"))
     fresh = c.with_support(fresh, queue.select("claim", "episode", "by"), "seq").drop("confidence_by_support")
     fresh = fresh.join(refused.select("claim", F.lit(True).alias("rejected")).distinct(), "claim", "left").withColumn("rejected", F.coalesce("rejected", F.lit(False)))
     # A claim that holds already gets surer, before the gate sees it.
@@ -214,8 +221,9 @@ def consolidation(candidates: DataFrame, names: DataFrame, current: DataFrame, p
     named = rows.withColumn("src", F.coalesce("subject_ref", slug(F.col("subject")))).withColumn("object_ref", F.when(F.col("new_object"), slug(link_name(F.col("object")))).otherwise(F.col("object_ref")))
     sure = F.when(F.startswith(F.col("reason"), F.lit("corroborated by")), support_confidence(F.col("support"))).otherwise(F.col("confidence"))
     made = built_facts(named.withColumn("confidence", sure).filter(written), by="agent", now=now)
-    # A claim of several episodes is one fact of each; one of equal id is written once.
-    made = made.withColumn("_nth", F.row_number().over(Window.partitionBy("fact_id").orderBy("seq"))).filter("_nth = 1").drop("_nth")
+    # A claim of several episodes is one fact; what it says and since when tells facts apart, not the short id.
+    one = Window.partitionBy(short_hash(*fact_parts(), n=c.WHOLE)).orderBy("seq")
+    made = made.withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").drop("_nth")
     columns = ("id", "src", "type", "object", "valid_from", "valid_to", "expired_at")
     as_facts = lambda t, i: t.withColumns({"id": F.col(i).cast("string"), "object": F.coalesce(F.concat(F.lit("[["), "dst", F.lit("]]")), "value")}).select(*columns)
     closing = as_facts(made.filter("action = 'supersede'"), "fact_id")

@@ -79,6 +79,15 @@ def test_nulls_and_odd_names_wait(spark, names):
     assert {r["reason"] for r in out["decided"] if r["seq"] == 2} == {"entity object not resolvable"} and out["written"] == []
 
 
+def test_short_keys_that_meet_by_chance_lose_no_claim(spark, names):
+    """Two claims of one 40-bit key are two decisions."""
+    rows = [claim(n, "ann", "likes", o, "e1") for n, o in enumerate(("o301007", "o547800"))]
+    out = night(spark, names, rows)
+    assert len({r["key"] for r in out["decided"]}) == 1 and {r["object"] for r in out["decided"]} == {"o301007", "o547800"}
+    later = night(spark, names, rows[1:], pending=[("ann", "likes", "o301007", "e1", "user")])
+    assert [r["object"] for r in later["decided"]] == ["o547800"]
+
+
 def test_review(spark, names):
     records = spark.createDataFrame([(1, "Ada", "works_at", "[[Beta Corp]]", "e1", 900), (2, "Ada", "likes", "tea", "e1", None), (3, "Bob", "likes", "tea", "e1", 5), (4, "Ada", "likes", "x", "e1", 5)], "key int, subject string, predicate string, object string, episode string, claimed_at bigint")
     decisions = spark.createDataFrame([(1, "accept", None), (2, "reject", None), (3, "accept", None), (4, "edit", "coffee")], "key int, decision string, object string").withColumns({"subject": F.lit(None).cast("string"), "predicate": F.lit(" ")})
