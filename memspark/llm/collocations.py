@@ -9,16 +9,18 @@ and everything is counted by language.
 2. A slice is a shard. Each place in it gives one path, the (up to) WIDTH words from there on; the sorted distinct
    paths with their counts are the shard's trie, serialised front-coded (the words shared with the path before, then the
    rest), in blocks of BLOCK paths.
-3. Paths are dealt out by ranges. The ranges' limits are quantiles of the blocks' first paths, whole paths and not
-   first words, so that a frequent word is split like anything else; a block is cut where a limit falls in it.
+3. Paths are dealt out by ranges. The ranges' limits are quantiles of a sample of the paths, evenly spaced in each block from
+   a place of its own, whole paths and not first words, so that a frequent word is split like anything else; a block is cut where a
+   limit falls in it. The blocks' first paths would not do: shards are alike, so the first paths of their n-th blocks stand together,
+   and the range after them would hold a whole block of every shard.
    A range's task merges its sorted blocks as they come by their first path, adds the counts of equal paths, and reads off the
    nodes of every depth. What a limit cuts in two is written out on both sides and added up after.
 4. A node's key is its path. Walking up the trie gives the left part of each cut of a phrase, following suffix links
    (the path without its first word) the right part: both are joins of the node table with itself and the words.
    Scores are exact in decimals of 38 digits.
 
-Memory: a slice, or the blocks of a range that overlap (at most one of each shard, RANGE paths together while there are
-fewer than MOST_RANGES ranges). The driver gets the ranges' limits and one row a partition of words.
+Memory: a slice, or a range (about RANGE paths while there are fewer than MOST_RANGES ranges). Slices meet their answers in
+as many partitions as there are slices. The driver gets a sample of SAMPLE paths a range, the limits and one row a partition of words.
 
 Defined results: null text is empty; null language is `und`; empty texts and pieces give nothing; texts are read whole
 however long; repeated rows count each; an empty table gives an empty table; extra columns are ignored. There may
@@ -27,6 +29,7 @@ be up to 2**32 - 2 words met often enough.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +49,9 @@ FOLD = bytes.maketrans(bytes(range(65, 91)) + MARKS, bytes(range(97, 123)) + STO
 
 #: Bytes of text of a shard: sorting its paths takes about 15 times that.
 SHARD = 8 << 20
-BLOCK = 1 << 16
-RANGE, MOST_RANGES = 1 << 22, 1 << 16
+#: Paths of a block, and how many of a full one are sampled.
+BLOCK, SAMPLED = 1 << 16, 16
+RANGE, MOST_RANGES = 1 << 21, 1 << 16
 SAMPLE = 64
 #: Merged paths that wait in a task before those that are complete leave it.
 PENDING = 1 << 21
@@ -159,6 +163,7 @@ def shard(seq: np.ndarray, width: int, bits: int) -> tuple[np.ndarray, np.ndarra
 
 
 TRIE = "first binary, paths int, trie binary"
+WITH_SAMPLE = f"{TRIE}, sample array<binary>"
 
 
 def tries(found: DataFrame, width: int) -> DataFrame:
@@ -182,9 +187,16 @@ def tries(found: DataFrame, width: int) -> DataFrame:
                 paths, counts = shard(np.insert(rank[tokens], ends, 0), width, max(1, len(ids).bit_length()))
                 paths = name[paths]
                 rows = [(paths[s : s + BLOCK], counts[s : s + BLOCK]) for s in range(0, len(paths), BLOCK)]
-                yield blocks(rows)
+                part = blocks(rows)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([sampled(p, max(1, BLOCK // SAMPLED)) for p, _ in rows], pa.list_(pa.binary()))], names=[*part.schema.names, "sample"])
 
-    return found.mapInArrow(run, TRIE)
+    return found.mapInArrow(run, WITH_SAMPLE)
+
+
+def sampled(paths: np.ndarray, every: int) -> list[bytes]:
+    """Paths of a block, so many apart, the first at a place that differs from block to block; none of many a short block."""
+    start = zlib.crc32(paths.tobytes()) % every
+    return [row.tobytes() for row in paths[start::every].astype(">u4")]
 
 
 def blocks(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -194,12 +206,13 @@ def blocks(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def limits(table: DataFrame, ranges: int) -> list[bytes]:
-    """Paths that cut the table's into so many ranges of about a size: quantiles of a sample of the blocks' first paths. They decide who merges, not what."""
+    """Paths that cut the table's into so many ranges of about a size: quantiles of the sampled paths. They decide who merges, not what."""
     if ranges < 2:
         return []
-    n = table.count()
+    n = table.agg(F.sum(F.size("sample"))).head()[0] or 0
     share = min(1.0, SAMPLE * ranges / max(n, 1))
-    found = sorted(bytes(r[0]) for r in (table.sample(share, seed=1) if share < 1 else table).select("first").collect())  # about SAMPLE a range
+    each = table.select(F.explode("sample"))
+    found = sorted(bytes(r[0]) for r in (each.sample(share, seed=1) if share < 1 else each).collect())  # about SAMPLE a range
     return sorted({found[len(found) * k // ranges] for k in range(1, ranges)}) if found else []
 
 
@@ -289,12 +302,12 @@ def mine_phrases(docs: DataFrame, width: int = WIDTH, least: int = LEAST, top: i
     totals = every.filter(real).groupBy("group").agg(F.sum("f").alias("n"))
     words = written(numbered(every.filter(often)), "phrase-ids")
     ids = words.select("group", "word", "id").unionByName(every.filter(~often).select("group", "word", F.lit(0).cast("bigint").alias("id")))
-    answers = slices.answered(asked.select("slice", "at", "group", "word").join(ids, ["group", "word"]), ["id"])
+    answers = slices.answered(asked.select("slice", "at", "group", "word").join(ids, ["group", "word"]), ["id"], table.count())
     table = written(tries(table.select("slice", F.size("words").alias("size"), "lengths", "tokens").join(answers, "slice"), width), "tries")
     paths = table.agg(F.sum("paths")).head()[0] or 0
     wanted = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-paths // RANGE)))
     at = limits(table, wanted)
-    nodes = written(merged(dealt(table, at, width), len(at) + 1, width, least), "nodes")
+    nodes = written(merged(dealt(table.drop("sample"), at, width), len(at) + 1, width, least), "nodes")
     return scored(nodes, words, totals, top, percent)
 
 

@@ -102,7 +102,12 @@ def asked(table: DataFrame) -> DataFrame:
     return table.select("slice", each).select("slice", "at", F.col("x.words").alias("word"), F.col("x.groups").alias("group"), F.col("x.counts").alias("n"))
 
 
-def answered(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """rows (slice, at, columns) gathered by slice: `at` and each column as arrays in one order. A slice's words bound a group."""
+def answered(rows: DataFrame, columns: list[str], n: int | None = None) -> DataFrame:
+    """rows (slice, at, columns) gathered by slice: `at` and each column as arrays in one order. A slice's words bound a group.
+
+    n: how many slices there are; a task then gathers a few of them, however many fit a partition of the usual size.
+    """
+    if n is not None:
+        rows = rows.repartition(max(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "slice")
     each = rows.groupBy("slice").agg(F.collect_list(F.struct("at", *columns)).alias("_all"))
     return each.select("slice", *[F.col(f"_all.{c}").alias(c) for c in ("at", *columns)])

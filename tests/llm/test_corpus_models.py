@@ -222,6 +222,22 @@ def test_collocations(spark, monkeypatch, block, ranged, pending, size):
         assert df.count() > 20
 
 
+def test_ranges_are_even_where_shards_are_alike(spark):
+    """The n-th blocks of all shards start at about the same path; no range may hold a block of each."""
+    rng = np.random.default_rng(3)
+    every, rows = [], []
+    for _ in range(48):
+        paths, counts = collocations.shard(rng.integers(1, 60, 6000).astype(np.uint32), 5, 6)
+        every.append(paths)
+        cut = [paths[s : s + 1500] for s in range(0, len(paths), 1500)]
+        of = collocations.blocks([(p, counts[: len(p)]) for p in cut])
+        rows += zip(*(c.to_pylist() for c in of.columns), [collocations.sampled(p, 1500 // collocations.SAMPLED) for p in cut], strict=True)
+    at = collocations.limits(spark.createDataFrame(rows, collocations.WITH_SAMPLE), 24)
+    cuts = np.array(at, dtype="S20")
+    sizes = np.bincount(np.concatenate([np.searchsorted(cuts, collocations.binary(p), side="right") for p in every]))
+    assert len(sizes) == 24 and sizes.max() < 1.5 * sizes.mean()
+
+
 def test_collocations_trie_round_trip():
     rng = np.random.default_rng(3)
     seq = rng.integers(0, 6, 5000)
