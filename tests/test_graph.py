@@ -131,6 +131,15 @@ def test_paths_meet_in_the_middle(spark):
     both = both.join(both.groupBy("a").count().withColumnsRenamed({"a": "b", "count": "degree"}), "b")
     seen, met = graph.meetings(spark.createDataFrame([(1, "s", "t")], "pair_id int, src string, dst string"), both, 5)
     assert met.count() >= 1 and seen.count() < 12
+    # Both ends are leaves of hubs, so one hub must be opened: its other leaves are not walked, in neither direction.
+    stars = edges(spark, [("root", "h1", 1.0), ("root", "h2", 1.0)] + [(h, f"{h}-{i}", 1.0) for h in ("h1", "h2") for i in range(300)])
+    pair = spark.createDataFrame([(1, "h1-1", "h2-2"), (2, "h1-1", "h1-3"), (3, "h1-1", "h1"), (4, "h1-1", "gone")], "pair_id int, src string, dst string")
+    got = {r["pair_id"]: r["nodes"] for r in graph.shortest_paths(pair, stars).collect()}
+    assert got == {1: ["h1-1", "h1", "root", "h2", "h2-2"], 2: ["h1-1", "h1", "h1-3"], 3: ["h1-1", "h1"]}
+    one = stars.select(stars.src.alias("a"), stars.dst.alias("b"))
+    both = one.unionByName(one.selectExpr("b AS a", "a AS b"))
+    both = both.join(both.groupBy("a").count().withColumnsRenamed({"a": "b", "count": "degree"}), "b")
+    assert graph.meetings(pair, both, 5)[0].count() < 30
 
 
 def test_budget_skips_what_is_too_large(spark):
