@@ -30,6 +30,8 @@ from .vector import unit_rows
 
 MOST_LISTS, SAMPLE, STEPS = 4096, 64, 8
 CHUNK, QUERIES = 1 << 14, 1 << 12
+#: Queries of a block that meet a chunk in one matrix product: CHUNK x ROWS numbers, 32 MiB.
+ROWS = 1 << 8
 #: Radians that rounding in a cosine near 1 may cost.
 SLACK = 1e-6
 
@@ -48,6 +50,16 @@ class Lists:
         return spark.read.schema(f"id {self.id_type}, vector array<double>, list int").parquet(f"{self.path}/vectors")
 
 
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Unit rows of a column of vectors, from Arrow's numbers themselves where all are of one length and without nulls."""
+    whole = column.combine_chunks()
+    flat = whole.flatten()
+    n = len(whole)
+    if n and not whole.null_count and not flat.null_count and len(flat) % n == 0 and (np.diff(whole.offsets.to_numpy()) == len(flat) // n).all():
+        return unit_rows(flat.to_numpy(zero_copy_only=False).reshape(n, -1))
+    return unit_rows(column.to_pylist())
+
+
 def centroids_of(sample: np.ndarray, lists: int) -> np.ndarray:
     """Spherical k-means, started from evenly spaced rows of the sample."""
     now = sample[np.linspace(0, len(sample) - 1, lists).astype(int)].copy()
@@ -142,16 +154,19 @@ def met(index: Lists, asked: DataFrame, k: int) -> DataFrame:
         if not left.num_rows or not right.num_rows:
             return arrow.empty_table()
         ids = np.array(right.column("id").to_pylist())
-        s = unit_rows(left.column("vector").to_pylist()) @ unit_rows(right.column("vector").to_pylist()).T
-        key = np.round(s, 9)
-        row, col = [], []
-        for i in range(len(s)):
-            some = np.flatnonzero(key[i] >= np.partition(key[i], len(ids) - k)[len(ids) - k]) if len(ids) > k else np.arange(len(ids))
-            some = some[np.lexsort((ids[some], -key[i][some]))[:k]]
-            row.append(np.full(len(some), i))
-            col.append(some)
+        u, v = matrix(left.column("vector")), matrix(right.column("vector"))
+        row, col, score = [], [], []
+        for start in range(0, len(u), ROWS):
+            s = u[start : start + ROWS] @ v.T
+            for i in range(len(s)):
+                key = np.round(s[i], 9)
+                some = np.flatnonzero(key >= np.partition(key, len(ids) - k)[len(ids) - k]) if len(ids) > k else np.arange(len(ids))
+                some = some[np.lexsort((ids[some], -key[some]))[:k]]
+                row.append(np.full(len(some), start + i))
+                col.append(some)
+                score.append(s[i, some])
         row, col = np.concatenate(row), np.concatenate(col)
-        return pa.Table.from_arrays([left.column("query_id").take(pa.array(row)), right.column("id").take(pa.array(col)), pa.chunked_array([s[row, col]])], schema=arrow)
+        return pa.Table.from_arrays([left.column("query_id").take(pa.array(row)), right.column("id").take(pa.array(col)), pa.chunked_array([np.concatenate(score)])], schema=arrow)
 
     key = ["list", "chunk", "block"]
     return mine.select(*key, "query_id", "vector").groupBy(*key).cogroup(held.select(*key, "id", "vector").groupBy(*key)).applyInArrow(run, out)

@@ -4,10 +4,11 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from memspark import session as S
 from memspark.config import Config, merged
-from memspark.operators import index, keyword, lists, postings, vector
+from memspark.operators import graph, index, keyword, lists, postings, vector
 from memspark.sources import models, state
 from memspark.storage import read_text, write_text
 from tests.test_notes import BASE, PUMP, rows_of
@@ -37,6 +38,40 @@ def test_stored_search_is_the_plain_one(spark, tmp_path):
     assert postings.search(nothing, q, 5).count() == 0 and postings.search(held, q.limit(0), 5).count() == 0
 
 
+def test_overlap_sends_few_rows(spark, monkeypatch):
+    """Every passage holds a word of every query: what leaves a batch is bounded by the queries, and ties go by id over batches."""
+    monkeypatch.setattr(keyword, "COUNTED", 7)
+    monkeypatch.setattr(keyword, "QUERY_BLOCK", 3)
+    rng = random.Random(8)
+    texts = {f"p{i:03}": ["common", *(f"w{rng.randrange(5)}" for _ in range(rng.randrange(4)))] for i in range(200)}
+    asked = {q: {"common", f"w{q % 5}", f"w{q * 3 % 5}", "nowhere"} for q in range(8)}
+    p = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()] + [("none", None)], "passage_id string, text string").repartition(3)
+    q = spark.createDataFrame([(k, " ".join(sorted(v))) for k, v in asked.items()] + [(99, "")], "query_id int, text string")
+    want = {(k, i, n + 1) for k, t in asked.items() for n, (_, i) in enumerate(sorted((-len(t & set(v)), i) for i, v in texts.items())[:4])}
+    assert {(r["query_id"], r["passage_id"], r["rank"]) for r in keyword.overlap_search(q, p, 4).collect()} == want
+    batch = pa.RecordBatch.from_arrays([pa.array(list(texts)), pa.array([list(set(v)) for v in texts.values()])], names=["passage_id", "t"])
+    out = list(keyword.counting([1], {"common": [0]}, 4, [pa.int32(), pa.string()])(iter([batch, batch])))
+    assert sum(b.num_rows for b in out) <= 4 * 2 * -(-len(texts) // 7)
+
+
+def test_a_chunk_meets_its_queries_in_small_products(spark, monkeypatch):
+    """A block of 4,096 queries and a chunk of 16,384 vectors would be a product of half a gigabyte."""
+    assert lists.CHUNK * lists.ROWS * 8 <= 1 << 26
+    monkeypatch.setattr(lists, "ROWS", 3)
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)]
+    table = spark.createDataFrame(rows, "id int, vector array<float>")
+    asked = table.filter("id < 20").withColumnRenamed("id", "query_id")
+    plain = lambda df: sorted((r["query_id"], r["rank"], r["id"]) for r in df.collect())
+    assert plain(lists.search(lists.build(table), asked, 5)) == plain(vector.top_cosine(asked, table, 5))
+
+
+def test_a_scope_is_worked_out_for_its_hits(spark):
+    nodes = spark.createDataFrame([("d1", "note", None, "a", ["en"]), ("d1#0", "passage", "d1", "a", ["en"]), ("d1#1", "passage", "d1", "a", ["en"]), ("d2", "note", None, "b", ["fr"]), ("d2#0", "passage", "d2", "b", ["fr"])], "id string, kind string, note_id string, path string, tags array<string>")
+    among = spark.createDataFrame([("d1#1",), ("d2#0",), ("d2#0",), ("gone",)], "id string")
+    for scope, want in (("tag:en", ["d1#1"]), ("tag:fr", ["d2#0"]), ("tag:de", []), ("a", ["d1#1"])):
+        assert [r["id"] for r in graph.scope_ids(nodes, scope, among=among).collect()] == want
+
+
 def test_the_index_is_updated_in_place(spark, tmp_path):
     root, store = tmp_path / "v", f"file://{tmp_path}/store"
     extra = [(f"entities/n{i}.md", f"---\ntype: entity\nid: n{i}\n---\n# N{i}\nSee [[n{(i + 1) % 12}]].\n", 1) for i in range(12)]
