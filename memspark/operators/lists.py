@@ -16,15 +16,17 @@ import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..storage import new_path, read_text, write_text, written
+from ..storage import filesystem, new_path, read_text, write_text, written
 from .keyword import ranked
 from .vector import unit_rows
 
@@ -32,6 +34,8 @@ MOST_LISTS, SAMPLE, STEPS = 4096, 64, 8
 CHUNK, QUERIES = 1 << 14, 1 << 12
 #: Queries of a block that meet a chunk in one matrix product: CHUNK x ROWS numbers, 32 MiB.
 ROWS = 1 << 8
+#: Lists of a tile's side: a task that finds similar pairs holds twice so many chunks.
+TILE = 8
 #: Radians that rounding in a cosine near 1 may cost.
 SLACK = 1e-6
 
@@ -201,30 +205,38 @@ def similar_pairs(index: Lists, spark: SparkSession, threshold: float) -> DataFr
     tasks = written(tasks.filter("one < two OR x <= y").select("one", "x", "two", "y"), "pair-tasks")
     sizes = spark.createDataFrame(pa.table({"list": np.arange(len(chunks), dtype=np.int32), "chunks": chunks}))  # MOST_LISTS rows
     held = index.vectors(spark).join(F.broadcast(sizes), "list").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).select("list", "chunk", "id", "vector")
-    key = ["one", "x", "two", "y"]
-    left = tasks.join(held.withColumnsRenamed({"list": "one", "chunk": "x"}), ["one", "x"]).select(*key, F.lit(0).alias("side"), "id", "vector")
-    right = tasks.join(held.withColumnsRenamed({"list": "two", "chunk": "y"}), ["two", "y"]).select(*key, F.lit(1).alias("side"), "id", "vector")
+    # A chunk is written once, however many others it meets; tasks read the two chunks that they compare.
+    path = new_path(spark, "chunks")
+    held.repartition("list", "chunk").write.partitionBy("list", "chunk").parquet(path)
     kind = held.schema["id"].dataType
     out = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("score", T.DoubleType())])
     arrow = to_arrow_schema(out)
 
-    def run(group: tuple, both: pa.Table) -> pa.Table:
-        side = both.column("side").to_numpy()
-        p, q = (both.take(pa.array(np.flatnonzero(side == n))) for n in (0, 1))
-        if not p.num_rows or not q.num_rows:
-            return arrow.empty_table()
-        a, b = (np.array(t.column("id").to_pylist()) for t in (p, q))
-        u, v = (unit_rows(t.column("vector").to_pylist()) for t in (p, q))
-        same = (group[0].as_py(), group[1].as_py()) == (group[2].as_py(), group[3].as_py())
-        found = []
-        for start in range(0, len(a), 1024):
-            s = u[start : start + 1024] @ v.T
-            i, j = np.nonzero(s >= threshold)
-            x, y, s = a[start + i], b[j], s[i, j]
-            keep = x < y if same else x != y
-            low = np.where(x < y, x, y)
-            found.append((low[keep], np.where(x < y, y, x)[keep], s[keep]))
-        first, second, score = (np.concatenate(c) for c in zip(*found, strict=True))
-        return pa.Table.from_arrays([pa.chunked_array([pa.array(first.tolist(), arrow.field("a").type)]), pa.chunked_array([pa.array(second.tolist(), arrow.field("b").type)]), pa.chunked_array([score])], schema=arrow)
-
-    return left.unionByName(right).groupBy(*key).applyInArrow(run, out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, where = filesystem(path)
+
+        @lru_cache(2 * TILE)
+        def chunk(number: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+            folder = f"{where}/list={number}/chunk={part}"
+            if files.get_file_info(folder).type.name == "NotFound":
+                return np.zeros(0), np.zeros((0, 1))
+            got = ds.dataset(folder, filesystem=files, format="parquet").to_table(columns=["id", "vector"])
+            return np.array(got.column("id").to_pylist()), matrix(got.column("vector"))
+
+        for batch in batches:
+            for one, x, two, y in zip(*(batch.column(c).to_pylist() for c in ("one", "x", "two", "y")), strict=True):
+                (a, u), (b, v) = chunk(one, x), chunk(two, y)
+                for start in range(0, len(a) if len(b) else 0, 1024):
+                    s = u[start : start + 1024] @ v.T
+                    i, j = np.nonzero(s >= threshold)
+                    p, q, s = a[start + i], b[j], s[i, j]
+                    keep = p < q if (one, x) == (two, y) else p != q
+                    p, q, s = p[keep], q[keep], s[keep]
+                    if len(p):
+                        low, high = np.where(p < q, p, q), np.where(p < q, q, p)
+                        yield pa.RecordBatch.from_arrays([pa.array(low.tolist(), arrow.field("a").type), pa.array(high.tolist(), arrow.field("b").type), pa.array(s)], schema=arrow)
+
+    # Tiles of TILE x TILE lists are dealt out, so that a chunk that was read meets several others.
+    tile = [F.floor(F.col(c) / TILE).alias(f"{c}_tile") for c in ("one", "two")]
+    dealt_out = tasks.select("*", *tile).repartition("one_tile", "two_tile", "x").sortWithinPartitions("one_tile", "two_tile", "x", "one", "two", "y")
+    return dealt_out.select("one", "x", "two", "y").mapInArrow(run, out)

@@ -38,6 +38,17 @@ def test_stored_search_is_the_plain_one(spark, tmp_path):
     assert postings.search(nothing, q, 5).count() == 0 and postings.search(held, q.limit(0), 5).count() == 0
 
 
+def test_pairs_move_no_vectors(spark):
+    """Each list meets each other one; vectors are written once and not shuffled for every pair of lists."""
+    rng = np.random.default_rng(4)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(120, 4)))], "id int, vector array<double>")
+    pairs = lists.similar_pairs(lists.build(table), spark, 0.4)
+    assert "vector" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    x = np.array([r["vector"] for r in table.orderBy("id").collect()])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == set(zip(*np.nonzero(np.triu(x @ x.T >= 0.4, 1)), strict=True))
+
+
 def test_overlap_sends_few_rows(spark, monkeypatch):
     """Every passage holds a word of every query: what leaves a batch is bounded by the queries, and ties go by id over batches."""
     monkeypatch.setattr(keyword, "COUNTED", 7)
