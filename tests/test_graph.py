@@ -65,6 +65,33 @@ def test_push_stays_within_its_bound(spark, bucket_edges, hub, tolerance):
         assert (np.abs(mine - mass) <= 2 * tolerance * degree / degree.sum() + 1e-12).all()
 
 
+def test_rounds_leave_nothing_behind(spark, monkeypatch):
+    """With many buckets a round writes a row for a query and bucket, not for each pair of buckets, and the round before is deleted, as is a graph that was made for the call."""
+    import glob
+
+    from memspark import storage
+
+    most, store = [], push.store
+
+    def counted(df, path, *by):
+        store(df, path, *by)
+        if "/push-" in path:
+            most.append((spark.read.parquet(path).count(), len(glob.glob(path.rsplit("/", 1)[0].removeprefix("file://") + "/push-*"))))
+
+    monkeypatch.setattr(push, "store", counted)
+    rng = random.Random(3)
+    rows = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}", 1.0) for _ in range(120)]
+    seeds = spark.createDataFrame([(1, rows[0][0], 1.0), (2, rows[1][0], 1.0)], "query_id int, node string, value double")
+    g = push.prepared(graph.adjacency(edges(spark, rows), "weight"), bucket_edges=60)
+    assert 2 < g.buckets < 10
+    before = len(storage._made)
+    assert graph.pagerank(seeds, g, tolerance=1e-2).count() > 2
+    assert most and max(n for n, _ in most) <= 2 * g.buckets and max(folders for _, folders in most) <= 2
+    made = graph.pagerank(seeds, graph.adjacency(edges(spark, rows), "weight"))
+    left = [p.rsplit("/", 1)[1].split("-")[0] for _, p in storage._made[before:] if storage.exists(spark, p)]
+    assert made.count() > 2 and sorted(left) == ["asked", "asked", "masses", "masses"]
+
+
 def test_graphs_are_stored_once(spark, tmp_path):
     made = []
 
