@@ -92,6 +92,14 @@ def test_rounds_leave_nothing_behind(spark, monkeypatch):
     assert made.count() > 2 and sorted(left) == ["asked", "asked", "masses", "masses"]
 
 
+def test_isolated_seeds_leave_the_masses_where_they_are(spark):
+    mass = spark.range(5000).selectExpr("CAST(id % 5 AS INT) AS query_id", "concat('n', id) AS node", "1d AS mass")
+    seeds = spark.createDataFrame([(0, "n5", 2.0), (1, "n5", 4.0), (0, "gone", 6.0)], "query_id int, node string, value double")
+    out = graph.with_isolated(mass, seeds, 0.5)
+    assert {(r["query_id"], r["node"], r["mass"]) for r in out.filter("mass > 1").collect()} == {(1, "n5", 2.0), (0, "gone", 3.0)} and out.count() == 5002
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 1  # of the masses only the seeds' rows go on
+
+
 def test_graphs_are_stored_once(spark, tmp_path):
     made = []
 
