@@ -92,6 +92,18 @@ def test_rounds_leave_nothing_behind(spark, monkeypatch):
     assert made.count() > 2 and sorted(left) == ["asked", "asked", "masses", "masses"]
 
 
+def test_few_senders_touch_few_nodes(spark):
+    """On a long chain one sender reaches its two neighbours, and only these are looked at next, not every node of the bucket."""
+    g = push.prepared(graph.adjacency(edges(spark, [(f"n{i:04}", f"n{i + 1:04}", 1.0) for i in range(900)]), "weight"))
+    b = push.Bucket(g.path, 0)
+    y = np.zeros(b.n)
+    got = b.pull(y, 0, b.n, np.array([500]), np.array([0.5]))
+    assert sorted(got) == [499, 501] and y[499] == y[501] == 0.5 and y.sum() == 1.0
+    amount, sent = b.push(y, got, 0.5, 1e-9)
+    assert list(amount) == [0.5, 0.5] and list(sent) == [0.125, 0.125] and not y.any()
+    assert len(push.packed(b.n, got, sent)) < 100
+
+
 def test_isolated_seeds_leave_the_masses_where_they_are(spark):
     mass = spark.range(5000).selectExpr("CAST(id % 5 AS INT) AS query_id", "concat('n', id) AS node", "1d AS mass")
     seeds = spark.createDataFrame([(0, "n5", 2.0), (1, "n5", 4.0), (0, "gone", 6.0)], "query_id int, node string, value double")
