@@ -112,6 +112,41 @@ def test_isolated_seeds_leave_the_masses_where_they_are(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 1  # of the masses only the seeds' rows go on
 
 
+def test_isolated_seeds_are_those_without_a_node(spark):
+    """A seed in the graph that isn't among the heaviest isn't isolated, and looking for isolated ones doesn't read the masses."""
+    e = edges(spark, [("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0)])
+    seeds = spark.createDataFrame([(1, "a", 90.0), (1, "d", 1.0), (1, "gone", 6.0), (2, "gone", 2.0)], "query_id int, node string, value double")
+    out = graph.pagerank(seeds, graph.adjacency(e, "weight"), top=1, isolated=True)
+    assert {(r["query_id"], r["node"]): round(r["mass"], 9) for r in out.filter("node = 'gone'").collect()} == {(1, "gone"): 3.0, (2, "gone"): 1.0}
+    assert {(r["query_id"], r["node"]) for r in out.collect()} == {(1, "a"), (1, "gone"), (2, "gone")}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edges_meet_their_numbers_one_end_at_a_time(spark, monkeypatch):
+    """No step of the build shuffles all edges more than once, and each deletes what it has read, the table behind the edges first."""
+    from memspark import storage
+
+    at, seen, store = storage.new_path(spark, "edges"), [], push.store
+
+    def counted(df, path, *by):
+        store(df, path, *by)
+        tag = path.rsplit("/", 1)[1].split("-")[0]
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        seen.append((tag, plan.count("Join "), sorted(p.rsplit("/", 1)[1].split("-")[0] for _, p in storage._made[before:] if storage.exists(spark, p))))
+
+    before = len(storage._made) - 1
+    monkeypatch.setattr(push, "store", counted)
+    rows = [(f"n{i % 7}", f"n{i % 11 + 3}", 1.0) for i in range(60)]
+    g = push.prepared(graph.adjacency(push.stored(edges(spark, rows), at), "weight"), bucket_edges=20, source=at)
+    steps = [(tag, joins) for tag, joins, _ in seen]
+    assert 4 < g.buckets < 13  # on four cores, each deal of four buckets at most
+    assert steps == [("edges", 0), ("adjacency", 0), ("degrees", 0), ("nodes", 0), ("numbered", 1), ("numbered", 1)] + [("edges", 0)] * -(-g.buckets // 4)
+    assert seen[1][2] == ["adjacency", "edges"] and seen[2][2] == ["adjacency", "degrees"] and seen[-1][2] == ["degrees", "graph", "numbered"]
+    assert [p.rsplit("/", 1)[1].split("-")[0] for _, p in storage._made[before:] if storage.exists(spark, p)] == ["graph"]
+    adjacent = graph.adjacency(edges(spark, rows), "weight")
+    assert spark.read.parquet(f"{g.path}/edges").count() == adjacent.count()
+
+
 def test_graphs_are_stored_once(spark, tmp_path):
     made = []
 
