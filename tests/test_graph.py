@@ -104,6 +104,21 @@ def test_few_senders_touch_few_nodes(spark):
     assert len(push.packed(b.n, got, sent)) < 100
 
 
+def test_many_senders_need_no_fresh_arrays(spark):
+    """When all nodes send, what moves over the edges goes through one array of the bucket's: no array of all edges is made anew."""
+    import tracemalloc
+
+    g = push.prepared(graph.adjacency(spark.range(60_000).selectExpr("concat('n', id % 300) AS src", "concat('n', id DIV 300) AS dst", "1d AS weight"), "weight"))
+    b = push.Bucket(g.path, 0)
+    x, y = np.arange(b.n) / b.n, np.zeros(b.n)
+    want = np.bincount(b.dst, x[b.src] * b.w, b.n)
+    tracemalloc.start()
+    got = b.pull(y, 0, b.n, None, x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got is None and np.array_equal(y, want) and len(b.dst) > 50_000 and most < 4 * len(b.dst)
+
+
 def test_isolated_seeds_leave_the_masses_where_they_are(spark):
     mass = spark.range(5000).selectExpr("CAST(id % 5 AS INT) AS query_id", "concat('n', id) AS node", "1d AS mass")
     seeds = spark.createDataFrame([(0, "n5", 2.0), (1, "n5", 4.0), (0, "gone", 6.0)], "query_id int, node string, value double")
