@@ -162,6 +162,13 @@ def test_edges_meet_their_numbers_one_end_at_a_time(spark, monkeypatch):
     assert spark.read.parquet(f"{g.path}/edges").count() == adjacent.count()
 
 
+def test_a_graph_is_not_built_over_another(spark):
+    e = graph.adjacency(edges(spark, [("a", "b", 1.0)]), "weight")
+    g = push.prepared(e)
+    with pytest.raises(FileExistsError):
+        push.prepared(e, g.path)
+
+
 def test_graphs_are_stored_once(spark, tmp_path):
     made = []
 
