@@ -162,6 +162,47 @@ def test_edges_meet_their_numbers_one_end_at_a_time(spark, monkeypatch):
     assert spark.read.parquet(f"{g.path}/edges").count() == adjacent.count()
 
 
+def test_nodes_and_orders_are_not_broadcast(spark, sf_dir, monkeypatch):
+    """Under Spark's own limit for small tables, which a compact file of a million nodes stays below."""
+    from memspark.plans import inputs
+
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    plan, seen, store = lambda df: df._jdf.queryExecution().executedPlan().toString(), [], push.store
+    monkeypatch.setattr(push, "store", lambda df, path, *by: (seen.append((path.rsplit("/", 1)[1].split("-")[0], plan(df))), store(df, path, *by)))
+    g = push.prepared(graph.adjacency(edges(spark, [(f"n{i % 7}", f"n{i % 11 + 3}", 1.0) for i in range(60)]), "weight"), bucket_edges=20)
+    seeds = spark.createDataFrame([(1, "n1", 1.0), (1, "gone", 1.0)], "query_id int, node string, value double")
+    push.ranked(seeds, g)
+    joins = [p for tag, p in seen if tag in ("numbered", "asked")] + [plan(inputs.link_pairs(spark, sf_dir))]
+    assert len(joins) == 4 and all("SortMergeJoin" in p and "Broadcast" not in p for p in joins)
+
+
+def test_a_task_holds_one_bucket(spark, monkeypatch):
+    """The old bucket is let go before the new one is read, and unsorted edges are put in order."""
+    made = push.Bucket.__init__
+
+    def alone(self, *at):
+        assert not push._held
+        made(self, *at)
+
+    monkeypatch.setattr(push.Bucket, "__init__", alone)
+    g = push.prepared(graph.adjacency(edges(spark, [(f"n{i % 7}", f"n{i % 11 + 3}", 1.0) for i in range(60)]), "weight"), bucket_edges=20)
+    held = [push.bucket_of(g.path, i) for i in range(g.buckets)]
+    assert push.bucket_of(g.path, g.buckets - 1) is held[-1]
+    every = spark.read.parquet(f"{g.path}/edges").orderBy("w", "dst")
+    mixed = push.Graph(f"{g.path}-mixed", g.buckets, g.volume, g.size)
+    every.coalesce(1).write.partitionBy("bucket").parquet(f"{mixed.path}/edges")
+    g.nodes(spark).write.partitionBy("bucket").parquet(f"{mixed.path}/nodes")
+    for i, b in enumerate(held):
+        other = push.bucket_of(mixed.path, i)
+        y, z = np.zeros(b.n), np.zeros(b.n)
+        for source, block in b.blocks.items():
+            n = held[source].n
+            b.pull(y, source, n, None, np.arange(n) + 1.0)
+            other.pull(z, source, n, None, np.arange(n) + 1.0)
+            assert (np.diff(b.src[block]) >= 0).all() and block == other.blocks[source]
+        assert np.allclose(y, z) and y.any()
+
+
 def test_a_graph_is_not_built_over_another(spark):
     e = graph.adjacency(edges(spark, [("a", "b", 1.0)]), "weight")
     g = push.prepared(e)
