@@ -172,8 +172,8 @@ def test_nodes_and_orders_are_not_broadcast(spark, sf_dir, monkeypatch):
     g = push.prepared(graph.adjacency(edges(spark, [(f"n{i % 7}", f"n{i % 11 + 3}", 1.0) for i in range(60)]), "weight"), bucket_edges=20)
     seeds = spark.createDataFrame([(1, "n1", 1.0), (1, "gone", 1.0)], "query_id int, node string, value double")
     push.ranked(seeds, g)
-    joins = [p for tag, p in seen if tag in ("numbered", "asked")] + [plan(inputs.link_pairs(spark, sf_dir))]
-    assert len(joins) == 4 and all("SortMergeJoin" in p and "Broadcast" not in p for p in joins)
+    joins = [p for tag, p in seen if tag in ("numbered", "asked")] + [plan(push.outside(seeds, g)), plan(inputs.link_pairs(spark, sf_dir))]
+    assert len(joins) == 5 and all("SortMergeJoin" in p and "Broadcast" not in p for p in joins)
 
 
 def test_a_task_holds_one_bucket(spark, monkeypatch):
