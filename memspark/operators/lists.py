@@ -34,6 +34,8 @@ MOST_LISTS, SAMPLE, STEPS = 4096, 64, 8
 CHUNK, QUERIES = 1 << 14, 1 << 12
 #: Queries of a block that meet a chunk in one matrix product: CHUNK x ROWS numbers, 32 MiB.
 ROWS = 1 << 8
+#: Numbers that a task holds at once while it finds rows' lists, 32 MiB: angles and copies of vectors come in slices of a batch.
+NUMBERS = 1 << 22
 #: Lists of a tile's side: a task that finds similar pairs holds twice so many chunks.
 TILE = 8
 #: Radians that rounding in a cosine near 1 may cost.
@@ -64,6 +66,14 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return unit_rows(column.to_pylist())
 
 
+def slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of NUMBERS / width rows, where a row comes to `width` numbers."""
+    rows = max(1, NUMBERS // max(1, width))
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
+
+
 def centroids_of(sample: np.ndarray, lists: int) -> np.ndarray:
     """Spherical k-means, started from evenly spaced rows of the sample."""
     now = sample[np.linspace(0, len(sample) - 1, lists).astype(int)].copy()
@@ -89,12 +99,11 @@ def build(vectors: DataFrame, path: str | None = None, lists: int | None = None)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                s = unit_rows(b.column("vector").to_pylist()) @ centroids.T
-                of = np.argmax(s, axis=1)
-                angle = np.arccos(np.clip(s[np.arange(len(of)), of], -1, 1))
-                yield pa.RecordBatch.from_arrays([b.column("id").cast(arrow.field("id").type), b.column("vector").cast(arrow.field("vector").type), pa.array(of, pa.int32()), pa.array(angle)], schema=arrow)
+        for b in slices(batches, lists):
+            s = unit_rows(b.column("vector").to_pylist()) @ centroids.T
+            of = np.argmax(s, axis=1)
+            angle = np.arccos(np.clip(s[np.arange(len(of)), of], -1, 1))
+            yield pa.RecordBatch.from_arrays([b.column("id").cast(arrow.field("id").type), b.column("vector").cast(arrow.field("vector").type), pa.array(of, pa.int32()), pa.array(angle)], schema=arrow)
 
     dealt = rows.mapInArrow(run, schema).repartition("list", F.pmod(F.xxhash64("id"), F.lit(16)))
     dealt.write.partitionBy("list").parquet(f"{path}/vectors")
@@ -126,8 +135,8 @@ def dealt(index: Lists, queries: DataFrame, probes: int, found: bool) -> DataFra
     centroids, radius, size = index.centroids, index.radius, index.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows or not size.any():
+        for b in slices(batches, centroids.size):  # a query can meet all lists, with its vector for each
+            if not size.any():
                 continue
             angle = np.arccos(np.clip(unit_rows(b.column("vector").to_pylist()) @ centroids.T, -1, 1))
             angle[:, size == 0] = np.inf

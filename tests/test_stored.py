@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import types as T
 
 from memspark import session as S
 from memspark.config import Config, merged
@@ -182,3 +183,25 @@ def test_vector_lists(spark, tmp_path, sf_dir, monkeypatch):
     pairs = lists.similar_pairs(held, spark, 0.8)
     assert {(r["a"], r["b"]) for r in pairs.collect()} == {(f"v{a:04}", f"v{b:04}") for a, b in zip(i, j, strict=True)} and pairs.count() == len(i)
     assert lists.similar_pairs(lists.build(table.limit(0)), spark, 0.5).count() == 0
+
+
+def test_queries_are_dealt_to_many_lists_in_slices(monkeypatch):
+    """A batch's vectors aren't copied for all lists at once, however many there are, and the rows are those of one piece."""
+
+    class Asked:
+        schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vector", T.ArrayType(T.DoubleType()))])
+        mapInArrow = staticmethod(lambda run, schema: run)
+
+    rng = np.random.default_rng(1)
+    made = rng.normal(size=(60, 8))
+    index = lists.Lists("", "bigint", made / np.linalg.norm(made, axis=1)[:, None], np.full(60, 3.0), np.full(60, 5))
+    batch = pa.record_batch({"query_id": pa.array(range(50), pa.int64()), "vector": pa.array(rng.normal(size=(50, 8)).tolist())})
+    whole = pa.Table.from_batches(lists.dealt(index, Asked, 8, False)(iter([batch])))
+    floor = batch.append_column("floor", pa.array([None] * 50, pa.float64()))
+    rest = pa.Table.from_batches(lists.dealt(index, Asked, 8, True)(iter([floor])))
+    assert whole.num_rows == 50 * 8 and rest.num_rows == 50 * 52
+    monkeypatch.setattr(lists, "NUMBERS", 4 * 60 * 8)
+    for found, given, want in ((False, batch, whole), (True, floor, rest)):
+        got = list(lists.dealt(index, Asked, 8, found)(iter([given])))
+        assert all(b.num_rows * 8 <= lists.NUMBERS for b in got) and len(got) == 13
+        assert pa.Table.from_batches(got).equals(want)
